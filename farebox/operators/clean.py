@@ -25,8 +25,8 @@ def aggregate_slots(raw: DataFrame) -> DataFrame:
     """
     return raw.groupBy(*SLOT_KEYS).agg(
         F.min("Linea").alias("Linea"),
-        F.sum(F.col("Entradas_E").cast("long")).alias("entradas"),
-        F.sum(F.col("Salidas_S").cast("long")).alias("salidas"),
+        F.coalesce(F.sum(F.col("Entradas_E").cast("long")), F.lit(0)).alias("entradas"),
+        F.coalesce(F.sum(F.col("Salidas_S").cast("long")), F.lit(0)).alias("salidas"),
     )
 
 
