@@ -42,7 +42,7 @@ def within_distance_of_lines(points: DataFrame, routes: DataFrame, metres: float
     planar = routes.select(
         F.transform("points", lambda p: F.struct(*[c.alias(n) for c, n in zip(crs.project(p["lon"], p["lat"]), "xy")])).alias("p")
     )
-    segs = planar.select(
+    segs = planar.where(F.size("p") >= 2).select(
         F.explode(
             F.transform(
                 F.sequence(F.lit(1), F.size("p") - 1),
