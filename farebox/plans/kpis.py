@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.functions.calendar import hour_of_clock
-from farebox.functions.text import display_name, dotted_thousands, hour_band
+from farebox.functions.text import dotted_thousands, hour_band
 from farebox.operators.dims import first_line_of_station, named, with_aliases
 from farebox.operators.panels import sum_by, top_overall, top_per_group
 from farebox.schemas import MANUAL_STATION_NAMES, STATION_ALIASES
@@ -66,7 +66,7 @@ def line_table(facts: DataFrame, lines: DataFrame, stations: DataFrame) -> DataF
     table = named(table, lines, "codigo_linea", "nombre_linea", LINE_FALLBACK)
     table = named(table, stations, "codigo_estacion", "nombre_estacion", STATION_FALLBACK)
     return table.select(
-        "codigo_linea", F.col("nombre_linea").alias("Linea"), display_name("nombre_estacion").alias("Top_Estacion"),
+        "codigo_linea", F.col("nombre_linea").alias("Linea"), F.col("nombre_estacion").alias("Top_Estacion"),
         dotted_thousands("total_linea").alias("Entradas"), "total_linea",
     )
 
