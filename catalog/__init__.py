@@ -1,0 +1,12 @@
+"""Registered queries: each name has a Spark function and, where SQL can say it, the same query as SQL."""
+
+from __future__ import annotations
+
+
+def registry() -> dict:
+    from catalog import cleaning, panels
+
+    merged = {}
+    for module in (cleaning, panels):
+        merged.update(module.QUERIES)
+    return merged

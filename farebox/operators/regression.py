@@ -31,7 +31,8 @@ from farebox.functions.distributions import Z975, f_upper, normal_two_sided, t_q
 from farebox.session import attach_row
 
 MAX_SQL_SUMS = 60  # above this the sums no longer compile into one generated loop
-PIVOT_TOL = 1e-10
+PIVOT_TOL = 1e-10  # share of a column's variation that earlier columns must leave
+CENTRE_TOL = 1e-18  # centred against raw sum of squares, below which a column is constant
 FULL_LEVERAGE = 1 - 1e-9
 
 
@@ -303,6 +304,7 @@ def ols_fit(
     extras = (
         [F.col("_ss"), F.col("_n"), F.col("_n") / F.col("_ne")]
         + [F.col("_n") * F.col(f"{c}_m") for c in [*x, "_y"]]
+        + [F.col("_n") * F.col(f"{c}_m") * F.col(f"{c}_m") for c in x]
     )
     sums = _sum_products(centred, by, [*x, "_y"], "_n", extras)
 
@@ -321,10 +323,13 @@ def ols_fit(
                 n, absorbed = tail[1], round(tail[2])
                 if n <= 0:
                     continue
+                level = tail[3 + p + 1:]
+                for k in np.flatnonzero(np.diag(gram)[:p] <= CENTRE_TOL * level):
+                    gram[k, :] = gram[:, k] = 0.0  # rounding noise of a constant column
                 beta, inv, kept, rss = _solve(gram, range(p))
                 packed = gram[np.triu_indices(p + 1)]
                 out.append([*[rec[c] for c in by], n, absorbed, n - len(kept) - absorbed, rss, gram[p, p],
-                            beta, inv.ravel(), np.array(kept, dtype=np.int32), tail[3:] / n, packed])
+                            beta, inv.ravel(), np.array(kept, dtype=np.int32), tail[3:3 + p + 1] / n, packed])
             yield pd.DataFrame(out, columns=base_schema.names)
 
     base = sums.mapInPandas(solve, base_schema)

@@ -83,7 +83,7 @@ def model_metrics(model: RandomForestRegressionModel, held_out: DataFrame, scale
 def denormalise(pred, low=None, high=None):
     """Scaled prediction to passengers: half-even rounding, never below zero."""
     value = pred * (high - low) + low if low is not None else pred * MAX_DEMAND_FALLBACK
-    return F.greatest(F.rint(value), F.lit(0.0)).cast("long")
+    return F.when(value.isNotNull(), F.greatest(F.rint(value), F.lit(0.0))).cast("long")
 
 
 def score_scenarios(scenarios: DataFrame, model: RandomForestRegressionModel, scaler: DataFrame | None) -> DataFrame:

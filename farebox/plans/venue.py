@@ -209,9 +209,15 @@ def festival_ratio_means(ratios: DataFrame) -> DataFrame:
     return ratios.groupBy("tipo").agg(F.avg("r20").alias("r20"), F.avg("r23").alias("r23"))
 
 
-def night_ratios(panel: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Every day's demand at 18, 20 and 23 h against the mean of uncatalogued days."""
+def night_ratios(panel: DataFrame, calendar: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Every day's demand at 18, 20 and 23 h against the mean of uncatalogued days.
+
+    ``days`` lists all days of the table where ``panel`` holds only nearby stations; a day
+    without any of their rows then counts as zero.
+    """
     at = lambda h: F.coalesce(F.sum(F.when(F.col("hora_int") == h, F.col("total"))), F.lit(0)).alias(f"h{h}")
+    if days is not None:
+        panel = days.select("fecha").distinct().join(panel, "fecha", "left")
     nights = panel.groupBy("fecha").agg(at(18), at(20), at(23))
     kinds = calendar.groupBy("fecha").agg(
         F.max(F.when(F.col("tipo") == "concierto", F.col("nombre"))).alias("_conc"), F.max("tipo").alias("_any")
