@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def registry() -> dict:
-    from catalog import cleaning, panels
+    from catalog import cleaning, panels, studies
 
     merged = {}
-    for module in (cleaning, panels):
+    for module in (cleaning, panels, studies):
         merged.update(module.QUERIES)
     return merged
