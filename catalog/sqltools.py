@@ -73,12 +73,12 @@ def ols_ctes(source: str, xs: list[str], y: str, by: list[str] = (), absorb: str
         entity = f"count(DISTINCT {absorb})" if absorb else "1"
         ctes += f""",
 {name}_s AS (SELECT {bys}sum(e * e) AS rss, count(*) - {entity} AS nn FROM {name}_e {fgroup}),
-{name}_cov AS (SELECT {fby}f.n, [[f.a[i][j] * s.rss / nullif(s.nn - len(list_filter(f.kept, t -> t)), 0)
+{name}_cov AS (SELECT {fby}f.n, [[f.a[i][j] * s.rss / nullif(s.nn - len(list_filter(f.kept, lambda t: t)), 0)
     for j in range(1, {p + 1})] for i in range(1, {p + 1})] AS v
   FROM {name}_fit f JOIN {name}_s s ON {on.replace('a.', 's.')})"""
         return ctes
     meat = ", ".join("[" + ", ".join(f"sum(w * zz[{i}] * zz[{j}])" for j in range(1, p + 1)) + "]" for i in range(1, p + 1))
-    factor = f"f.n / nullif(f.n - len(list_filter(f.kept, t -> t)), 0)" if cov == "cluster" else "1.0"
+    factor = f"f.n / nullif(f.n - len(list_filter(f.kept, lambda t: t)), 0)" if cov == "cluster" else "1.0"
     prod = (
         f"[[list_sum([list_sum([f.a[i][k] * q.meat[k][l] * f.a[l][j] for l in range(1, {p + 1})]) for k in range(1, {p + 1})])"
         f" * {factor} for j in range(1, {p + 1})] for i in range(1, {p + 1})]"

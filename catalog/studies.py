@@ -103,7 +103,7 @@ PRE = [E.offset_name(k) for k in range(-5, -1)]
 F_SQL = f"""WITH RECURSIVE {EVENT_DAYS},
 {ols_ctes('off', DOW_M + TERMS, 'log_total', cov='nonrobust', name='full')},
 {ols_ctes('off', DOW_M + [t for t in TERMS if t not in PRE], 'log_total', cov='nonrobust', name='small')},
-k AS (SELECT f.n - len(list_filter(f.kept, t -> t)) - 1 AS df, len(list_filter(f.kept, t -> t)) - len(list_filter(s.kept, t -> t)) AS q
+k AS (SELECT f.n - len(list_filter(f.kept, lambda t: t)) - 1 AS df, len(list_filter(f.kept, lambda t: t)) - len(list_filter(s.kept, lambda t: t)) AS q
   FROM full_fit f, small_fit s)
 SELECT CAST(q AS INTEGER) AS q, df AS df_resid, {r('((b.rss - a.rss) / q) / (a.rss / df)')} AS f FROM full_s a, small_s b, k"""
 

@@ -33,12 +33,15 @@ def event_time_join(
         .select(F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("_k"), "_d")
         .select(F.date_add("_d", F.col("_k")).alias(key), "_k")
         .groupBy(key)
-        .agg(*[F.max((F.col("_k") == k).cast("int")).alias(n) for k, n in zip(range(lo, hi + 1), names)])
+        .agg(
+            *[F.max((F.col("_k") == k).cast("int")).alias(n) for k, n in zip(range(lo, hi + 1), names)],
+            # Event dates are distinct, so a day meets each offset at most once.
+            F.count("*").cast("int").alias(overlap or "_overlap"),
+        )
     )
-    out = days.join(touched, key, "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in names})
-    if overlap:
-        out = out.withColumn(overlap, sum((F.col(n) for n in names), F.lit(0)))
-    return out
+    added = [*names, *([overlap] if overlap else [])]
+    touched = touched.select(key, *added)
+    return days.join(touched, key, "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in added})
 
 
 def nearest_same_weekday(events: DataFrame, days: DataFrame, n: int, excluded: DataFrame | None = None,

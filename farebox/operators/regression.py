@@ -7,9 +7,8 @@ How a fit runs on Spark:
    estimator here and combines before the shuffle.
 2. Cells are centred on their entity mean (or on their group mean when no effect is
    absorbed). Means are aggregated and joined, so a dominant entity is never held by one task.
-3. One aggregation gives the cross products: as sums of column products for few columns, as
-   per-batch matrix products in Arrow batches for many. Only that vector, of size
-   (regressors + 1)^2 per group, is solved.
+3. One aggregation gives the cross products. Only that vector, of size (regressors + 1)^2 per
+   group, is solved.
 4. Robust or clustered errors take one more pass over the cells, again ending in sums.
 
 Regressors that are linear combinations of earlier ones (controls come first) get null
@@ -23,78 +22,20 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from farebox.operators.normal_equations import ColumnEquations, VectorEquations, join_groups, unpack
 from farebox.functions.distributions import Z975, f_upper, normal_two_sided, t_quantile_975, t_two_sided
-from farebox.session import attach_row
 
-MAX_SQL_SUMS = 60  # above this the sums no longer compile into one generated loop
+FEW_REGRESSORS = 4  # up to here every sum is a plain column expression
 PIVOT_TOL = 1e-10  # share of a column's variation that earlier columns must leave
 CENTRE_TOL = 1e-18  # centred against raw sum of squares, below which a column is constant
-FULL_LEVERAGE = 1 - 1e-9
-
-
-# ---- sums of outer products -------------------------------------------------------------
-
-def _triangle(q: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(q) for j in range(i, q)]
-
-
-def _sum_products(df: DataFrame, by: list[str], columns: list[str], weight: str, extras: list[Column]) -> DataFrame:
-    """Per group: ``_gram`` = [sum w*ci*cj for i<=j] + [sum of extras]."""
-    pairs = _triangle(len(columns))
-    if len(pairs) + len(extras) <= MAX_SQL_SUMS:
-        terms = [F.col(weight) * F.col(columns[i]) * F.col(columns[j]) for i, j in pairs] + extras
-        sums = df.groupBy(*by).agg(*[F.sum(t).alias(f"_s{k}") for k, t in enumerate(terms)])
-        return sums.select(*by, F.array(*[F.coalesce(f"_s{k}", F.lit(0.0)) for k in range(len(terms))]).alias("_gram"))
-
-    rows, cols = np.triu_indices(len(columns))
-    extra_names = [f"_e{k}" for k in range(len(extras))]
-    narrow = df.select(*by, weight, *columns, *[e.cast("double").alias(n) for e, n in zip(extras, extra_names)])
-    schema = T.StructType([narrow.schema[c] for c in by] + [T.StructField("_gram", T.ArrayType(T.DoubleType()))])
-
-    def partial(batches):
-        for pdf in batches:
-            groups = pdf.groupby(by, sort=False, dropna=False) if by else [((), pdf)]
-            for key, part in groups:
-                z = part[columns].to_numpy(dtype=float)
-                gram = (z * part[[weight]].to_numpy(dtype=float)).T @ z
-                vec = np.concatenate([gram[rows, cols], part[extra_names].to_numpy(dtype=float).sum(axis=0)])
-                yield pd.DataFrame([[*key, vec]], columns=[*by, "_gram"])
-
-    parts = narrow.mapInPandas(partial, schema).select(*by, F.posexplode("_gram").alias("_pos", "_v"))
-    sums = parts.groupBy(*by, "_pos").agg(F.sum("_v").alias("_v"))
-    # The list below has one entry per pair of regressors, whatever the number of rows.
-    packed = F.array_sort(F.collect_list(F.struct("_pos", "_v")))
-    return sums.groupBy(*by).agg(F.transform(packed, lambda s: s["_v"]).alias("_gram"))
-
-
-def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Equality join that also matches null keys; without keys ``right`` is one row."""
-    if not keys:
-        return attach_row(left, right)
-    cond = None
-    for k in keys:
-        right = right.withColumnRenamed(k, f"_r_{k}")
-        eq = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        cond = eq if cond is None else cond & eq
-    return left.join(right, cond).drop(*[f"_r_{k}" for k in keys])
 
 
 # ---- small dense algebra on one group's vector ------------------------------------------
 
-def _unpack(vec, q: int) -> tuple[np.ndarray, np.ndarray]:
-    vec = np.asarray(vec, dtype=float)
-    m = q * (q + 1) // 2
-    gram = np.zeros((q, q))
-    iu = np.triu_indices(q)
-    gram[iu] = vec[:m]
-    gram = gram + gram.T - np.diag(np.diag(gram))
-    return gram, vec[m:]
-
-
 def _solve(gram: np.ndarray, use: Sequence[int]) -> tuple[np.ndarray, np.ndarray, list[int], float]:
     """Regress the last column on columns ``use``: coefficients, inverse, kept columns, RSS.
 
@@ -222,7 +163,7 @@ class OlsModel:
         gone = list(drop)
 
         def rows(rec, names):
-            gram, _ = _unpack(rec["_gram"], len(names) + 1)
+            gram, _ = unpack(rec["_gram"], len(names) + 1)
             _, _, full, rss = _solve(gram, range(len(names)))
             _, _, small, rss_small = _solve(gram, [i for i, t in enumerate(names) if t not in gone])
             q, df = len(full) - len(small), float(rec["df_resid"])
@@ -239,7 +180,7 @@ class OlsModel:
         wanted = list(terms) if terms is not None else list(self.xs)
 
         def rows(rec, names):
-            gram, _ = _unpack(rec["_gram"], len(names) + 1)
+            gram, _ = unpack(rec["_gram"], len(names) + 1)
             _, inv, kept, _ = _solve(gram, range(len(names)))
             for t in wanted:
                 i = names.index(t)
@@ -273,43 +214,29 @@ def ols_fit(
         raise ValueError(f"unknown covariance {cov!r}")
     by, names = list(by), [*controls, *xs]
     entity = [absorb] if absorb else []
-    cluster = cluster or absorb if cov == "cluster" else None
+    cluster = (cluster or absorb) if cov == "cluster" else None
+    if cov == "cluster" and cluster is None:
+        raise ValueError("clustered errors need a cluster or an absorbed effect")
     extra_key = [cluster] if cluster and cluster not in by + entity else []
-    keys = by + entity + extra_key
+    kind = ColumnEquations if len(names) <= FEW_REGRESSORS else VectorEquations
+    eq = kind(names, by, entity, extra_key)
     p = len(names)
-    x = [f"_x{i}" for i in range(p)]
-
-    rows = df.select(
-        *keys, *[F.col(c).cast("double").alias(a) for c, a in zip(names, x)], F.col(y).cast("double").alias("_y")
-    ).na.drop(subset=[*x, "_y", *entity])
-    if compress:
-        cells = (
-            rows.groupBy(*keys, *x)
-            .agg(F.count("*").cast("double").alias("_n"), F.avg("_y").alias("_y"), F.var_pop("_y").alias("_var"))
-            .select(*keys, *x, "_y", "_n", (F.col("_n") * F.col("_var")).alias("_m2"))
-        )
+
+    centred = eq.centre(eq.cells(df, y, compress))
+    base = _solve_groups(eq.gram(centred), by, p)
+    if cov == "nonrobust":
+        s2 = F.col("rss") / F.nullif(F.col("df_resid"), F.lit(0.0))
+        frame = base.withColumn("v", F.when(F.col("df_resid") > 0, F.transform("a", lambda e: e * s2)))
     else:
-        cells = rows.withColumns({"_n": F.lit(1.0), "_m2": F.lit(0.0)})
-
-    weighted = [(F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(f"{c}_m") for c in [*x, "_y"]]
-    means = cells.groupBy(*by, *entity).agg(F.sum("_n").alias("_ne"), F.sum("_m2").alias("_m2e"), *weighted)
-    # Squared deviations inside cells enter totals half through the cell and half through its
-    # entity. The sum is the same, and as every branch of the plan then needs the same
-    # columns, Spark shuffles the cells once and reuses that exchange everywhere.
-    centred = _join(cells, means, by + entity).withColumns({
-        **{c: F.col(c) - F.col(f"{c}_m") for c in [*x, "_y"]},
-        "_ss": (F.col("_m2") + F.col("_m2e") * F.col("_n") / F.col("_ne")) / 2,
-    }).drop("_m2e")
-
-    extras = (
-        [F.col("_ss"), F.col("_n"), F.col("_n") / F.col("_ne")]
-        + [F.col("_n") * F.col(f"{c}_m") for c in [*x, "_y"]]
-        + [F.col("_n") * F.col(f"{c}_m") * F.col(f"{c}_m") for c in x]
-    )
-    sums = _sum_products(centred, by, [*x, "_y"], "_n", extras)
-
-    key_schema = T.StructType([sums.schema[c] for c in by])
-    base_schema = T.StructType(key_schema.fields + T._parse_datatype_string(
+        meat = eq.meat(centred, base, cov, cluster).withColumnRenamed("_gram", "meat")
+        frame = _sandwich(join_groups(base, meat, by), p, cov)
+    law = inference or ("z" if cov == "hc3" else "t")
+    return OlsModel(frame, by, names, list(xs), law, intercept=absorb is None)
+
+
+def _solve_groups(sums: DataFrame, by: list[str], p: int) -> DataFrame:
+    """Coefficients, inverse and sums of squares of every group from its cross products."""
+    schema = T.StructType([sums.schema[c] for c in by] + T._parse_datatype_string(
         "n double, absorbed double, df_resid double, rss double, tss double, b array<double>, "
         "a array<double>, kept array<int>, means array<double>, _gram array<double>"
     ).fields)
@@ -318,7 +245,9 @@ def ols_fit(
         for pdf in batches:
             out = []
             for rec in pdf.to_dict("records"):
-                gram, tail = _unpack(rec["_gram"], p + 1)
+                if rec["_gram"] is None:
+                    continue
+                gram, tail = unpack(rec["_gram"], p + 1)
                 gram[p, p] += tail[0]
                 n, absorbed = tail[1], round(tail[2])
                 if n <= 0:
@@ -327,86 +256,12 @@ def ols_fit(
                 for k in np.flatnonzero(np.diag(gram)[:p] <= CENTRE_TOL * level):
                     gram[k, :] = gram[:, k] = 0.0  # rounding noise of a constant column
                 beta, inv, kept, rss = _solve(gram, range(p))
-                packed = gram[np.triu_indices(p + 1)]
                 out.append([*[rec[c] for c in by], n, absorbed, n - len(kept) - absorbed, rss, gram[p, p],
-                            beta, inv.ravel(), np.array(kept, dtype=np.int32), tail[3:3 + p + 1] / n, packed])
-            yield pd.DataFrame(out, columns=base_schema.names)
-
-    base = sums.mapInPandas(solve, base_schema)
-
-    if cov == "nonrobust":
-        s2 = F.col("rss") / F.nullif(F.col("df_resid"), F.lit(0.0))
-        frame = base.withColumn("v", F.transform("a", lambda e: e * s2))
-        frame = frame.withColumn("v", F.when(F.col("df_resid") > 0, F.col("v")))
-    else:
-        scored = _scores(centred, base, by, x, cov)
-        if cov == "hc3":
-            meat = _sum_products(scored, by, x, "_w", [F.col("_bad"), F.col("_rss")])
-        else:
-            per_cluster = scored.groupBy(*by, cluster).agg(
-                *[F.sum(F.col("_n") * F.col("_e") * F.col(c)).alias(c) for c in x], F.sum("_rss").alias("_rss")
-            ).withColumn("_w", F.lit(1.0))
-            meat = _sum_products(per_cluster, by, x, "_w", [F.lit(0.0), F.col("_rss")])
-        frame = _sandwich(_join(base, meat.withColumnRenamed("_gram", "meat"), by), p, cov)
-
-    law = inference or ("z" if cov == "hc3" else "t")
-    return OlsModel(frame, by, names, list(xs), law, intercept=absorb is None)
-
-
-def _scores(centred: DataFrame, base: DataFrame, by: list[str], x: list[str], cov: str) -> DataFrame:
-    """Residual per cell, and for HC3 the weight (sum e^2) / (1 - leverage)^2.
-
-    A cell with full leverage and no variation of its own (a lone row of an entity) says
-    nothing about the coefficients and weighs zero; full leverage with variation is flagged.
-    """
-    p = len(x)
-    need = ["b", "a"] if cov == "hc3" else ["b"]
-    joined = _join(centred, base.select(*by, *need), by)
-    if p <= 8:
-        fitted = sum((F.col("b")[i] * F.col(x[i]) for i in range(p)), F.lit(0.0))
-        out = joined.withColumn("_e", F.col("_y") - fitted)
-        out = out.withColumn("_rss", F.col("_ss") + F.col("_n") * F.col("_e") * F.col("_e"))
-        if cov != "hc3":
-            return out.drop("b")
-        lever = 1 / F.col("_ne") + sum(
-            (F.col("a")[i * p + j] * F.col(x[i]) * F.col(x[j]) for i in range(p) for j in range(p)), F.lit(0.0)
-        )
-        size = F.greatest(*[F.abs(F.col(c)) for c in x], F.lit(0.0))
-        full = lever >= FULL_LEVERAGE
-        return (
-            out.withColumns({"_full": full, "_one_minus": 1 - lever})
-            .withColumns({
-                "_w": F.when(F.col("_full"), 0.0).otherwise(
-                    (F.col("_m2") + F.col("_n") * F.col("_e") ** 2) / (F.col("_one_minus") * F.col("_one_minus"))
-                ),
-                "_bad": F.when(F.col("_full") & (size > 1e-9), 1.0).otherwise(0.0),
-            })
-            .drop("b", "a", "_full", "_one_minus")
-        )
-
-    keep = [c for c in centred.columns if not c.endswith("_m")]
-    schema = T.StructType([centred.schema[c] for c in keep] + [
-        T.StructField(c, T.DoubleType()) for c in ("_e", "_w", "_bad", "_rss")
-    ])
+                            beta, inv.ravel(), np.array(kept, dtype=np.int32), tail[3:3 + p + 1] / n,
+                            gram[np.triu_indices(p + 1)]])
+            yield pd.DataFrame(out, columns=schema.names)
 
-    def run(batches):
-        for pdf in batches:
-            groups = pdf.groupby(by, sort=False, dropna=False) if by else [((), pdf)]
-            for _, part in groups:
-                z = part[x].to_numpy(dtype=float)
-                e = part["_y"].to_numpy(dtype=float) - z @ np.asarray(part["b"].iloc[0], dtype=float)
-                w, bad = np.zeros(len(part)), np.zeros(len(part))
-                if cov == "hc3":
-                    a = np.asarray(part["a"].iloc[0], dtype=float).reshape(p, p)
-                    lever = 1 / part["_ne"].to_numpy(dtype=float) + np.einsum("ij,jk,ik->i", z, a, z, optimize=True)
-                    full = lever >= FULL_LEVERAGE
-                    ss = part["_m2"].to_numpy(dtype=float) + part["_n"].to_numpy(dtype=float) * e * e
-                    w = np.where(full, 0.0, ss / np.where(full, 1.0, 1 - lever) ** 2)
-                    bad = (full & (np.abs(z).max(axis=1) > 1e-9)).astype(float)
-                rss = part["_ss"].to_numpy(dtype=float) + part["_n"].to_numpy(dtype=float) * e * e
-                yield part[keep].assign(_e=e, _w=w, _bad=bad, _rss=rss)
-
-    return joined.select(*keep, *need).mapInPandas(run, schema)
+    return sums.mapInPandas(solve, schema)
 
 
 def _sandwich(frame: DataFrame, p: int, cov: str) -> DataFrame:
@@ -418,7 +273,7 @@ def _sandwich(frame: DataFrame, p: int, cov: str) -> DataFrame:
         for pdf in batches:
             out = []
             for rec in pdf.to_dict("records"):
-                meat, tail = _unpack(rec.pop("meat"), p)
+                meat, tail = unpack(rec.pop("meat"), p)
                 a = np.asarray(rec["a"], dtype=float).reshape(p, p)
                 v = a @ meat @ a
                 if cov == "cluster":
