@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def registry() -> dict:
-    from catalog import cleaning, panels, studies
+    from catalog import cleaning, panels, studies, suspension
 
     merged = {}
-    for module in (cleaning, panels, studies):
+    for module in (cleaning, panels, studies, suspension):
         merged.update(module.QUERIES)
     return merged
