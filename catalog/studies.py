@@ -502,7 +502,9 @@ dt AS (SELECT *, CASE WHEN isodow(fecha) >= 6 THEN 'fds' ELSE 'hab' END AS tipo_
 
 @query(hourly_fit_sql(DAYTYPE, "dt", ["tipo_dia", "hora_int"], min_rows=4))
 def hourly_event_study_by_daytype(spark, sf):
-    return hourly_out(venue.by_day_kind(Venue(spark, sf).festival_panel()), ["tipo_dia", "hora_int"])
+    v = Venue(spark, sf)
+    out = venue.by_day_kind(v.panel, venue.festival_days(v.calendar, v.holidays), v.festival_controls())
+    return hourly_out(out, ["tipo_dia", "hora_int"])
 
 
 SPILL = f"""{VENUE_BASE}, {DIST[len(S.HOURLY) + 2:]},

@@ -68,9 +68,15 @@ EPSG_3116 = TransverseMercator()
 
 
 def project_tm(df, lon: str = "lon", lat: str = "lat", crs: TransverseMercator = EPSG_3116):
-    """Add planar ``x`` and ``y`` in metres."""
+    """Add planar ``x`` and ``y`` in metres.
+
+    The coordinates come out of one struct-valued step, so later expressions refer to the
+    result instead of each repeating the series.
+    """
     x, y = crs.project(lon, lat)
-    return df.withColumns({"x": x, "y": y})
+    return df.withColumn("_xy", F.struct(x.alias("x"), y.alias("y"))).withColumns(
+        {"x": F.col("_xy.x"), "y": F.col("_xy.y")}
+    ).drop("_xy")
 
 
 def haversine(lon1, lat1, lon2, lat2, radius: float = 6_371_008.8) -> Column:

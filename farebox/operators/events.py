@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from farebox.session import pin
+
 WINDOW = 5
 
 
@@ -99,10 +101,20 @@ def nearest_pooled(events: DataFrame, days: DataFrame, n: int, excluded: DataFra
     return best.withColumn("orden", F.row_number().over(w)).where(F.col("orden") <= n)
 
 
-def event_panel(panel: DataFrame, events: DataFrame, controls: DataFrame, key: str = "fecha") -> DataFrame:
-    """Rows of event days (``event_d`` = 1) and control days (``event_d`` = 0)."""
-    tag = (
-        events.select(F.col(key), F.lit(1).alias("event_d")).distinct()
-        .unionByName(controls.select(F.col("control").alias(key), F.lit(0).alias("event_d")).distinct())
+def day_tags(events: DataFrame, controls: DataFrame) -> DataFrame:
+    """Event days (``event_d`` = 1) and control days (``event_d`` = 0); a day may be both."""
+    return (
+        events.select("fecha", F.lit(1).alias("event_d")).distinct()
+        .unionByName(controls.select(F.col("control").alias("fecha"), F.lit(0).alias("event_d")).distinct())
     )
-    return panel.join(tag, key)
+
+
+def event_panel(panel: DataFrame, tags: DataFrame) -> DataFrame:
+    """Rows of the tagged days with the tag columns.
+
+    Tags are pinned first: only the listed days are read from a table partitioned by day.
+    """
+    pinned, rows = pin(tags)
+    if rows is not None:
+        panel = panel.where(F.col("fecha").isin(sorted({r["fecha"] for r in rows})))
+    return panel.join(pinned, "fecha")

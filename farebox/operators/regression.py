@@ -97,10 +97,10 @@ class OlsModel:
         return self.frame.mapInPandas(run, schema)
 
     def coefficients(self, terms: Sequence[str] | None = None, critical: str | float = "exact") -> DataFrame:
-        """One row per group and term: b, se, stat, p, lo, hi, n, df_resid, r2, r2_adj.
+        """One row per group and term: b, se, stat, p, lo, hi, n, df_resid, r2, r2_adj, mean.
 
         ``critical`` is ``"exact"`` for the quantile of the inference law or a number such
-        as 1.96. Unidentified terms have null b; an unusable covariance has null se.
+        as 1.96. ``mean`` is the term's mean over the rows used. Unidentified terms have null b; an unusable covariance has null se.
         """
         wanted = list(terms) if terms is not None else list(self.xs)
         law = self.inference
@@ -119,19 +119,20 @@ class OlsModel:
                 crit = float(critical)
             for term in wanted:
                 i = names.index(term)
+                mean = float(rec["means"][i])
                 if i not in kept:
-                    yield [term, None, None, None, None, None, None, int(n), int(df), r2, adj]
+                    yield [term, None, None, None, None, None, None, int(n), int(df), r2, adj, mean]
                     continue
                 var = v[i, i] if v is not None else math.nan
                 se = math.sqrt(var) if var >= 0 else math.nan
                 stat = b[i] / se if se > 0 else math.nan
                 pval = (normal_two_sided(stat) if law == "z" else t_two_sided(stat, df)) if not math.isnan(stat) else math.nan
-                yield [term, b[i], se, stat, pval, b[i] - crit * se, b[i] + crit * se, int(n), int(df), r2, adj]
+                yield [term, b[i], se, stat, pval, b[i] - crit * se, b[i] + crit * se, int(n), int(df), r2, adj, mean]
 
         frame = self._map(
             rows,
             "term string, b double, se double, stat double, p double, lo double, hi double, "
-            "n long, df_resid long, r2 double, r2_adj double",
+            "n long, df_resid long, r2 double, r2_adj double, mean double",
         )
         doubles = ["b", "se", "stat", "p", "lo", "hi", "r2", "r2_adj"]
         return frame.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in doubles})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from farebox.functions.calendar import day_kind, day_name
 from farebox.functions.numeric import distance_bin, log_floor_one, percent, stars
-from farebox.operators.events import event_panel, nearest_pooled, nearest_same_weekday
+from farebox.operators.events import day_tags, event_panel, nearest_pooled, nearest_same_weekday
 from farebox.operators.panels import dense_hours, profile, sum_by
 from farebox.operators.regression import OlsModel, ols_fit
 from farebox.session import attach_row
@@ -50,7 +50,8 @@ def big_night_controls(nights: DataFrame, calendar: DataFrame, holidays: DataFra
 
 
 def study_panel(panel: DataFrame, events: DataFrame, controls: DataFrame) -> DataFrame:
-    return event_panel(panel, events, controls).withColumn("log_total", log_floor_one("total"))
+    """Event and control days of the panel with the event indicator and log demand."""
+    return event_panel(panel, day_tags(events, controls)).withColumn("log_total", log_floor_one("total"))
 
 
 def fit_hourly(panel: DataFrame, cov: str = "hc3", by=("hora_int",)) -> OlsModel:
@@ -58,12 +59,10 @@ def fit_hourly(panel: DataFrame, cov: str = "hc3", by=("hora_int",)) -> OlsModel
     return ols_fit(panel, "log_total", ["event_d"], absorb="codigo_estacion", by=list(by), cov=cov)
 
 
-def group_sizes(panel: DataFrame, by: list[str]) -> DataFrame:
-    """Rows and treated rows per regression, for the rules that skip thin groups."""
-    return panel.groupBy(*by).agg(
-        F.count("*").alias("_rows"), F.sum("event_d").alias("_treated"),
-        F.count_distinct("event_d").alias("_levels"),
-    )
+def thick_enough(min_rows: int, min_treated: int = 0):
+    """Both treatment levels, enough rows and enough treated rows, read off the fitted sums."""
+    treated = F.round(F.col("mean") * F.col("n"))
+    return (F.col("n") >= min_rows) & (treated >= max(min_treated, 1)) & (treated < F.col("n"))
 
 
 def event_study_hourly(
@@ -76,9 +75,7 @@ def event_study_hourly(
     ``min_treated`` treated rows give a null row (or none, with ``dense`` off).
     """
     by = list(by)
-    coefs = fit_hourly(panel, cov, by).coefficients().join(group_sizes(panel, by), by)
-    usable = (F.col("_levels") == 2) & (F.col("_rows") >= min_rows) & (F.col("_treated") >= min_treated)
-    coefs = coefs.where(usable).select(
+    coefs = fit_hourly(panel, cov, by).coefficients().where(thick_enough(min_rows, min_treated)).select(
         *by, "b", "se", "lo", "hi", "p", percent("b").alias("pct"), percent("lo").alias("pct_lo"),
         percent("hi").alias("pct_hi"), stars("p").alias("sig"), "n",
     )
@@ -93,22 +90,27 @@ def peak_effect(effects: DataFrame) -> DataFrame:
     return effects.agg(F.max_by("hora_int", "pct").alias("hora_int"), F.max("pct").alias("pct"))
 
 
-def by_day_kind(panel: DataFrame) -> DataFrame:
+def tags_by_day_kind(tags: DataFrame) -> DataFrame:
+    """Tags per kind of day: events of that kind, and controls of the same weekdays."""
+    events = tags.where("event_d = 1").withColumn("tipo_dia", day_kind("fecha"))
+    kinds = events.select("tipo_dia", F.weekday("fecha").alias("_dow")).distinct()
+    controls = tags.where("event_d = 0").withColumn("_dow", F.weekday("fecha")).join(kinds, "_dow")
+    return events.unionByName(controls.select(*events.columns))
+
+
+def by_day_kind(panel: DataFrame, events: DataFrame, controls: DataFrame) -> DataFrame:
     """Event study for weekend and working-day events, controls of the same weekdays, 4-row rule."""
-    kinds = []
-    for kind in ("fds", "hab"):
-        events = panel.where(F.col("event_d") == 1).where(day_kind("fecha") == kind)
-        dows = events.select(F.weekday("fecha").alias("_dow")).distinct()
-        controls = panel.where(F.col("event_d") == 0).withColumn("_dow", F.weekday("fecha"))
-        part = events.unionByName(controls.join(dows, "_dow", "left_semi").drop("_dow"))
-        kinds.append(part.withColumn("tipo_dia", F.lit(kind)))
-    both = kinds[0].unionByName(kinds[1])
+    both = event_panel(panel, tags_by_day_kind(day_tags(events, controls)))
+    both = both.withColumn("log_total", log_floor_one("total"))
     return event_study_hourly(both, min_rows=4, by=("tipo_dia", "hora_int"), dense=False)
 
 
 def spillover_by_distance(panel: DataFrame, distances: DataFrame) -> DataFrame:
     """Event study per distance band for the late hours, with the number of stations."""
-    near = distances.select("codigo_estacion", distance_bin("dist_m", DISTANCE_EDGES).alias("dist_bin"))
+    # One distance per station. Grouping also keeps the optimizer from copying the projection
+    # series into every later use of the band.
+    near = distances.groupBy("codigo_estacion").agg(F.min("dist_m").alias("dist_m"))
+    near = near.select("codigo_estacion", distance_bin("dist_m", DISTANCE_EDGES).alias("dist_bin"))
     df = panel.join(near, "codigo_estacion").where("dist_bin IS NOT NULL")
     df = df.where(F.col("hora_int").between(*SPILLOVER_HOURS))
     by = ["dist_bin", "hora_int"]
@@ -127,15 +129,15 @@ def compare_event_types(concert_panel: DataFrame, festival_panel: DataFrame) ->
     model = ols_fit(
         both, "log_total", ["event_d", "fdv_flag", "event_x_fdv"], absorb="codigo_estacion", by=["hora_int"], cov="hc3"
     )
-    enough = group_sizes(both, ["hora_int"]).where("_rows >= 8 AND _levels = 2").select("hora_int")
     coefs = model.coefficients()
     pick = lambda t: F.max(F.when(F.col("term") == t, F.col("b")))
+    event = F.col("term") == "event_d"
     effects = coefs.groupBy("hora_int").agg(
         pick("event_d").alias("b_conc"), pick("event_x_fdv").alias("b_int"),
-        # The F statistic of one zero restriction is the squared ratio; its law uses residual df.
-    ).where("b_conc IS NOT NULL AND b_int IS NOT NULL")
+        F.max("n").alias("n"), F.max(F.when(event, F.col("mean"))).alias("mean"),
+    ).where(F.col("b_conc").isNotNull() & F.col("b_int").isNotNull() & thick_enough(8))
     tests = model.wald({"igual": {"event_x_fdv": 1.0}}).select("hora_int", "f", "p")
-    out = effects.join(tests, "hora_int").join(enough, "hora_int", "left_semi")
+    out = effects.join(tests, "hora_int")
     b_fdv = F.col("b_conc") + F.col("b_int")
     return out.select(
         "hora_int", "b_conc", percent("b_conc").alias("pct_conc"), b_fdv.alias("b_fdv"), percent(b_fdv).alias("pct_fdv"),

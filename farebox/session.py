@@ -79,3 +79,32 @@ def literal_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataF
     if not structs:
         return spark.createDataFrame([], columns)
     return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+MAX_PINNED_ROWS = 5_000
+
+
+def pin(df: DataFrame, limit: int = MAX_PINNED_ROWS) -> tuple[DataFrame, list | None]:
+    """A calendar-sized table (event days, control days) as literal rows.
+
+    The rows become part of the plan, so the optimizer knows their size and later scans can
+    be pruned to the listed days at planning time. A table larger than ``limit`` is
+    checkpointed instead and no row list is returned.
+    """
+    spark = df.sparkSession
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return materialize(df), None
+    if not rows:
+        return spark.createDataFrame([], df.schema), []
+
+    def lit(value, kind: str) -> str:
+        if value is None:
+            return f"CAST(NULL AS {kind})"
+        text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+        return f"CAST('{text}' AS {kind})"
+
+    kinds = [t for _, t in df.dtypes]
+    values = ", ".join("(" + ", ".join(lit(v, k) for v, k in zip(row, kinds)) + ")" for row in rows)
+    names = ", ".join(f"`{c}`" for c in df.columns)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})"), rows
