@@ -67,7 +67,8 @@ def fit_demand_model(training: DataFrame, scaler: DataFrame, seed: int = 42, tre
     """Random forest of depth 5 on scaled features and target. Persist the model with ``.save``."""
     data = assemble(minmax_scale(training, scaler, [*FEATURES, TARGET]))
     forest = RandomForestRegressor(
-        featuresCol="features", labelCol=TARGET, predictionCol="pred", maxDepth=5, numTrees=trees, seed=seed
+        featuresCol="features", labelCol=TARGET, predictionCol="pred", maxDepth=5, numTrees=trees, seed=seed,
+        featureSubsetStrategy="all",
     )
     return forest.fit(data.select("features", TARGET))
 
