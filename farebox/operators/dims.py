@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farebox.functions.text import head_to_portal, normalize_name
+from farebox.session import materialize
 
 
 def name_counts(df: DataFrame, code: str, name: str) -> DataFrame:
@@ -63,18 +64,23 @@ def upsert_dim(old: DataFrame, new: DataFrame, key: str, value: str, mode: str =
 
 
 def build_dimensions(named: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Line names, station names and stations per line from cleaned rows that carry names."""
-    lines = most_frequent_name(
-        normalized_counts(name_counts(named, "codigo_linea", "nombre_linea"), "codigo_linea", "nombre_linea"),
-        "codigo_linea", "nombre_linea",
+    """Line names, station names and stations per line from cleaned rows that carry names.
+
+    One pass counts the distinct combinations of labels; the three tables come from that
+    small count table.
+    """
+    counts = materialize(
+        named.groupBy("codigo_linea", "nombre_linea", "codigo_estacion", "nombre_estacion").agg(F.count("*").alias("len"))
     )
-    stations = most_frequent_name(
-        normalized_counts(
-            name_counts(named, "codigo_estacion", "nombre_estacion"), "codigo_estacion", "nombre_estacion", portal=True
-        ),
-        "codigo_estacion", "nombre_estacion",
+
+    def names(code: str, name: str, portal: bool) -> DataFrame:
+        return most_frequent_name(normalized_counts(counts, code, name, portal), code, name)
+
+    return (
+        names("codigo_linea", "nombre_linea", False),
+        names("codigo_estacion", "nombre_estacion", True),
+        line_stations(counts),
     )
-    return lines, stations, line_stations(named)
 
 
 def named(df: DataFrame, names: DataFrame, code: str, name: str, fallback: str) -> DataFrame:

@@ -46,11 +46,6 @@ def unpack(vec, q: int) -> tuple[np.ndarray, np.ndarray]:
     return gram + gram.T - np.diag(np.diag(gram)), vec[m:]
 
 
-# Squared deviations inside cells enter totals half through the cell and half through its
-# entity. The sum is the same, and as every branch of the plan then needs the same columns,
-# Spark shuffles the cells once and reuses that exchange everywhere.
-SHARED_SS = "(_m2 + _m2e * _n / _ne) / 2"
-
 
 class ColumnEquations:
     def __init__(self, names: list[str], by: list[str], entity: list[str], extra_key: list[str]):
@@ -69,12 +64,10 @@ class ColumnEquations:
         cols = [*self.x, "_y"]
         weighted = [(F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(f"{c}_m") for c in cols]
         means = cells.groupBy(*self.by, *self.entity).agg(
-            F.sum("_n").alias("_ne"), F.sum("_m2").alias("_m2e"), *weighted
+            F.sum("_n").alias("_ne"), *weighted
         )
         joined = join_groups(cells, means, self.by + self.entity)
-        return joined.withColumns(
-            {**{c: F.col(c) - F.col(f"{c}_m") for c in cols}, "_ss": F.expr(SHARED_SS)}
-        ).drop("_m2e")
+        return joined.withColumns({c: F.col(c) - F.col(f"{c}_m") for c in cols})
 
     def _sums(self, df: DataFrame, columns: list[str], weight: Column, extras: list[Column]) -> DataFrame:
         terms = [
@@ -88,7 +81,7 @@ class ColumnEquations:
     def gram(self, centred: DataFrame) -> DataFrame:
         n = F.col("_n")
         cols = [*self.x, "_y"]
-        extras = [F.col("_ss"), n, n / F.col("_ne")]
+        extras = [F.col("_m2"), n, n / F.col("_ne")]
         extras += [n * F.col(f"{c}_m") for c in cols] + [n * F.col(f"{c}_m") * F.col(f"{c}_m") for c in self.x]
         return self._sums(centred, cols, n, extras)
 
@@ -102,7 +95,7 @@ class ColumnEquations:
         df = join_groups(centred, base.select(*self.by, "b", *(["a"] if cov == "hc3" else [])), self.by)
         fitted = sum((F.col("b")[i] * F.col(c) for i, c in enumerate(x)), F.lit(0.0))
         df = df.withColumn("_e", F.col("_y") - fitted)
-        df = df.withColumn("_rss", F.expr("_ss + _n * _e * _e"))
+        df = df.withColumn("_rss", F.expr("_m2 + _n * _e * _e"))
         if cov == "cluster":
             scores = df.groupBy(*self.by, *([cluster] if cluster not in self.by else [])).agg(
                 *[F.sum(F.col("_n") * F.col("_e") * F.col(c)).alias(c) for c in x], F.sum("_rss").alias("_rss")
@@ -135,13 +128,13 @@ class VectorEquations:
     def centre(self, cells: DataFrame) -> DataFrame:
         vector = array_to_vector(F.concat("_x", F.array("_y")))
         means = cells.groupBy(*self.by, *self.entity).agg(
-            F.sum("_n").alias("_ne"), F.sum("_m2").alias("_m2e"),
+            F.sum("_n").alias("_ne"),
             Summarizer.metrics("mean").summary(vector, F.col("_n")).alias("_s"),
         )
         means = means.where("_ne IS NOT NULL").select(
-            *self.by, *self.entity, "_ne", "_m2e", vector_to_array("_s.mean").alias("_mean")
+            *self.by, *self.entity, "_ne", vector_to_array("_s.mean").alias("_mean")
         )
-        return join_groups(cells, means, self.by + self.entity).withColumn("_ss", F.expr(SHARED_SS)).drop("_m2e")
+        return join_groups(cells, means, self.by + self.entity)
 
     def _fold(self, df: DataFrame, columns: list[str], product) -> DataFrame:
         """Apply ``product`` to the rows of each group in each batch and add up the vectors."""
@@ -171,10 +164,10 @@ class VectorEquations:
             mean = np.stack(part["_mean"].to_numpy())
             z = np.column_stack([np.stack(part["_x"].to_numpy()), part["_y"].to_numpy(dtype=float)]) - mean
             gram = (z * n[:, None]).T @ z
-            tail = [part["_ss"].sum(), n.sum(), (n / part["_ne"].to_numpy(dtype=float)).sum()]
+            tail = [part["_m2"].sum(), n.sum(), (n / part["_ne"].to_numpy(dtype=float)).sum()]
             return np.concatenate([gram[iu], tail, n @ mean, n @ (mean[:, :-1] ** 2)])
 
-        return self._fold(centred, ["_x", "_y", "_mean", "_n", "_ne", "_ss"], product)
+        return self._fold(centred, ["_x", "_y", "_mean", "_n", "_ne", "_m2"], product)
 
     def meat(self, centred: DataFrame, base: DataFrame, cov: str, cluster: str | None) -> DataFrame:
         p = len(self.names)
@@ -184,19 +177,19 @@ class VectorEquations:
             return self._cluster_meat(df, cluster)
 
         def product(part):
-            n, ne, ss = (part[c].to_numpy(dtype=float) for c in ("_n", "_ne", "_ss"))
+            n, ne, m2 = (part[c].to_numpy(dtype=float) for c in ("_n", "_ne", "_m2"))
             mean = np.stack(part["_mean"].to_numpy())
             z = np.stack(part["_x"].to_numpy()) - mean[:, :-1]
             e = part["_y"].to_numpy(dtype=float) - mean[:, -1] - z @ np.asarray(part["b"].iloc[0], dtype=float)
             a = np.asarray(part["a"].iloc[0], dtype=float).reshape(p, p)
             lever = 1 / ne + ((z @ a) * z).sum(axis=1)
             full = lever >= FULL_LEVERAGE
-            squares = part["_m2"].to_numpy(dtype=float) + n * e * e
+            squares = m2 + n * e * e
             w = np.where(full, 0.0, squares / np.where(full, 1.0, 1 - lever) ** 2)
             bad = float((full & (np.abs(z).max(axis=1) > 1e-9)).sum())
-            return np.concatenate([((z * w[:, None]).T @ z)[iu], [bad, (ss + n * e * e).sum()]])
+            return np.concatenate([((z * w[:, None]).T @ z)[iu], [bad, squares.sum()]])
 
-        return self._fold(df, ["_x", "_y", "_mean", "_n", "_m2", "_ne", "_ss", "b", "a"], product)
+        return self._fold(df, ["_x", "_y", "_mean", "_n", "_m2", "_ne", "b", "a"], product)
 
     def _cluster_meat(self, df: DataFrame, cluster: str) -> DataFrame:
         iu = np.triu_indices(len(self.names))
@@ -205,7 +198,7 @@ class VectorEquations:
         df = df.withColumn("_e", F.expr(
             "_y - element_at(_mean, -1) - aggregate(zip_with(_z, b, (v, w) -> v * w), 0.0D, (s, v) -> s + v)"
         ))
-        df = df.withColumns({"_rss": F.expr("_ss + _n * _e * _e"), "_score": F.expr("transform(_z, v -> v * _n * _e)")})
+        df = df.withColumns({"_rss": F.expr("_m2 + _n * _e * _e"), "_score": F.expr("transform(_z, v -> v * _n * _e)")})
         keys = self.by + ([cluster] if cluster not in self.by else [])
         scores = df.groupBy(*keys).agg(
             Summarizer.metrics("sum").summary(array_to_vector("_score")).alias("_s"), F.sum("_rss").alias("_rss")

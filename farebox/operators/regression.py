@@ -4,7 +4,8 @@ How a fit runs on Spark:
 
 1. Rows with equal regressors (and equal group, entity, cluster) are merged into cells that
    keep their count, mean outcome and squared deviation. This loses nothing for any
-   estimator here and combines before the shuffle.
+   estimator here and combines before the shuffle. The cells are written once to the
+   checkpoint folder, so whatever produced the rows runs a single time.
 2. Cells are centred on their entity mean (or on their group mean when no effect is
    absorbed). Means are aggregated and joined, so a dominant entity is never held by one task.
 3. One aggregation gives the cross products. Only that vector, of size (regressors + 1)^2 per
@@ -26,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farebox.operators.normal_equations import ColumnEquations, VectorEquations, join_groups, unpack
 from farebox.functions.distributions import Z975, f_upper, normal_two_sided, t_quantile_975, t_two_sided
+from farebox.operators.normal_equations import ColumnEquations, VectorEquations, join_groups, unpack
+from farebox.session import materialize
 
 FEW_REGRESSORS = 4  # up to here every sum is a plain column expression
 PIVOT_TOL = 1e-10  # share of a column's variation that earlier columns must leave
@@ -223,7 +225,8 @@ def ols_fit(
     eq = kind(names, by, entity, extra_key)
     p = len(names)
 
-    centred = eq.centre(eq.cells(df, y, compress))
+    # The means, the products and the scores all read the cells: write them once.
+    centred = eq.centre(materialize(eq.cells(df, y, compress)))
     base = _solve_groups(eq.gram(centred), by, p)
     if cov == "nonrobust":
         s2 = F.col("rss") / F.nullif(F.col("df_resid"), F.lit(0.0))

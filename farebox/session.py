@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +50,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, so several outputs share one computation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage: write the rows once to the shared checkpoint folder and read them back.
+
+    Several outputs then share one computation, a lost executor costs a re-read only, and
+    later steps read just the columns they need. The folder is the cluster's to clean.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/farebox-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
