@@ -54,12 +54,17 @@ class ColumnEquations:
         self.x = [f"_x{i}" for i in range(len(names))]
 
     def cells(self, df: DataFrame, y: str, compress: bool) -> DataFrame:
-        rows = df.where(usable_rows([*self.names, y], self.entity)).select(
+        rows = df.where(usable_outcome(y, self.entity)).select(
             *self.keys, *[F.col(c).cast("double").alias(a) for c, a in zip(self.names, self.x)],
             F.col(y).cast("double").alias("_y"),
         )
         return merge_cells(rows, [*self.keys, *self.x], compress)
 
+    def complete(self, cells: DataFrame) -> DataFrame:
+        """Cells without missing regressors. Meant for cells read back from storage: on derived
+        columns such conditions multiply in the optimizer, on stored ones they are plain filters."""
+        return cells.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in self.x))
+
     def centre(self, cells: DataFrame) -> DataFrame:
         cols = [*self.x, "_y"]
         weighted = [(F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(f"{c}_m") for c in cols]
@@ -120,11 +125,15 @@ class VectorEquations:
 
     def cells(self, df: DataFrame, y: str, compress: bool) -> DataFrame:
         packed = F.expr("array(" + ", ".join(f"CAST(`{c}` AS DOUBLE)" for c in self.names) + ")")
-        rows = df.where(usable_rows([*self.names, y], self.entity)).select(
+        rows = df.where(usable_outcome(y, self.entity)).select(
             *self.keys, packed.alias("_x"), F.col(y).cast("double").alias("_y")
         )
         return merge_cells(rows, [*self.keys, "_x"], compress)
 
+    def complete(self, cells: DataFrame) -> DataFrame:
+        """Cells without missing regressors, for cells read back from storage."""
+        return cells.where("forall(_x, v -> v IS NOT NULL AND NOT isnan(v))")
+
     def centre(self, cells: DataFrame) -> DataFrame:
         vector = array_to_vector(F.concat("_x", F.array("_y")))
         means = cells.groupBy(*self.by, *self.entity).agg(
@@ -211,13 +220,8 @@ class VectorEquations:
         return self._fold(scores, ["_score", "_rss"], product)
 
 
-def usable_rows(numbers: list[str], keys: list[str]) -> str:
-    """Condition that keeps complete rows.
-
-    One condition per column: a single one over all columns (as na.drop writes it) makes the
-    optimizer enumerate every mix of column names and aliases.
-    """
-    parts = [f"`{c}` IS NOT NULL AND NOT isnan(CAST(`{c}` AS DOUBLE))" for c in dict.fromkeys(numbers)]
+def usable_outcome(y: str, keys: list[str]) -> str:
+    parts = [f"`{y}` IS NOT NULL AND NOT isnan(CAST(`{y}` AS DOUBLE))"]
     return " AND ".join(parts + [f"`{c}` IS NOT NULL" for c in keys])
 
 

@@ -226,7 +226,7 @@ def ols_fit(
     p = len(names)
 
     # The means, the products and the scores all read the cells: write them once.
-    centred = eq.centre(materialize(eq.cells(df, y, compress)))
+    centred = eq.centre(eq.complete(materialize(eq.cells(df, y, compress))))
     base = _solve_groups(eq.gram(centred), by, p)
     if cov == "nonrobust":
         s2 = F.col("rss") / F.nullif(F.col("df_resid"), F.lit(0.0))
