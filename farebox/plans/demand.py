@@ -92,7 +92,8 @@ def score_scenarios(scenarios: DataFrame, model: RandomForestRegressionModel, sc
 
     Without a scaler the features enter as they are and the published maximum is used.
     """
-    df = demand_features(scenarios)
+    # Feature names differ from scenario fields by case only, so the fields are kept aside.
+    df = demand_features(scenarios.withColumn("_in", F.struct(*scenarios.columns)))
     if scaler is not None:
         ready = minmax_scale(df, scaler, FEATURES)
         low, high = F.col(f"{TARGET}_min"), F.col(f"{TARGET}_max")
@@ -102,7 +103,7 @@ def score_scenarios(scenarios: DataFrame, model: RandomForestRegressionModel, sc
     scored = model.transform(ready.withColumn("features", vector))
     pred = F.when(F.col("exito"), F.col("pred"))
     return scored.select(
-        *scenarios.columns if set(scenarios.columns) <= set(scored.columns) else df.columns,
+        "_in.*",
         F.round(pred, 6).alias("prediccion_normalizada"),
         denormalise(pred, low, high).alias("prediccion_entradas"),
         F.lit(MODEL_NAME).alias("modelo_utilizado"), "exito", "mensaje",
