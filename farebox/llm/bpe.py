@@ -38,8 +38,7 @@ RAGGED = f"(?s)^{_WS}|{_WS}$|{_WS} | {_WS}"
 
 LEAF = 24
 NEVER = np.int32(2**31 - 1)
-TEXT_BYTES = 16 << 20
-ROWS = 1 << 16
+ROWS = 1 << 15
 
 
 class Vocabulary:
@@ -55,48 +54,53 @@ class Vocabulary:
         self.bytes = pa.array(self.tokens, pa.large_binary())
         single = [self.ranks[bytes([b])] for b in range(256)]
         self.single = np.array(single, np.int32)
-        pairs = {}
+        self._stable: dict[tuple[int, int], bool] = {}
+
+    def pair(self, a: int, b: int) -> int | None:
+        """Rank of the token that two tokens merge to."""
+        return self.ranks.get(self.tokens[a] + self.tokens[b])
+
+    @functools.cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash table of all pairs that merge: keys and ranks by slot. Decoding never builds it."""
+        keys, values = [], []
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    pairs[(a << 32) | b] = rank
-        self.pairs = pairs
-        self._fill_table()
-        self._stable: dict[tuple[int, int], bool] = {}
-
-    def _fill_table(self) -> None:
-        keys = np.fromiter(self.pairs.keys(), np.uint64, len(self.pairs))
-        values = np.fromiter(self.pairs.values(), np.int32, len(self.pairs))
+                    keys.append((a << 32) | b)
+                    values.append(rank)
+        keys, values = np.array(keys, np.uint64), np.array(values, np.int32)
         bits = max(8, int(len(keys) * 3).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self.keys = np.full(1 << bits, np.uint64(2**64 - 1))
-        self.values = np.full(1 << bits, NEVER)
+        slots, ranks = np.full(1 << bits, np.uint64(2**64 - 1)), np.full(1 << bits, NEVER)
         slot = self._slot(keys)
         while len(keys):
-            free = np.flatnonzero(self.keys[slot] == np.uint64(2**64 - 1))
+            free = np.flatnonzero(slots[slot] == np.uint64(2**64 - 1))
             at, first = np.unique(slot[free], return_index=True)
             placed = free[first]
-            self.keys[at], self.values[at] = keys[placed], values[placed]
+            slots[at], ranks[at] = keys[placed], values[placed]
             left = np.ones(len(keys), bool)
             left[placed] = False
             keys, values, slot = keys[left], values[left], (slot[left] + 1) & self.mask
+        return slots, ranks
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair's token; NEVER where the pair can't merge."""
+        slots, ranks = self.table
         keys = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
         slot = self._slot(keys)
-        out, found = self.values[slot], self.keys[slot]
+        out, found = ranks[slot], slots[slot]
         todo = np.flatnonzero((found != keys) & (found != np.uint64(2**64 - 1)))
         out[found != keys] = NEVER
         while len(todo):
             slot[todo] = (slot[todo] + 1) & self.mask
-            found = self.keys[slot[todo]]
+            found = slots[slot[todo]]
             hit = found == keys[todo]
-            out[todo[hit]] = self.values[slot[todo[hit]]]
+            out[todo[hit]] = ranks[slot[todo[hit]]]
             todo = todo[~hit & (found != np.uint64(2**64 - 1))]
         return out
 
@@ -105,7 +109,7 @@ class Vocabulary:
         tokens = [int(self.single[b]) for b in data]
         end = len(tokens)
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-        rank = [self.pairs.get((a << 32) | b) for a, b in zip(tokens, tokens[1:])] + [None]
+        rank = [self.pair(a, b) for a, b in zip(tokens, tokens[1:])] + [None]
         heap = [(r, i) for i, r in enumerate(rank) if r is not None]
         heapq.heapify(heap)
         while heap:
@@ -119,7 +123,7 @@ class Vocabulary:
                 before[after[i]] = i
             for left, right in ((before[i], i), (i, after[i])):
                 if left >= 0:
-                    rank[left] = self.pairs.get((tokens[left] << 32) | tokens[right]) if right < end else None
+                    rank[left] = self.pair(tokens[left], tokens[right]) if right < end else None
                     if rank[left] is not None:
                         heapq.heappush(heap, (rank[left], left))
         return [t for t in tokens if t >= 0]
@@ -306,14 +310,16 @@ def encode_texts(texts: pa.Array, vocab: Vocabulary, pattern: str, leaf: int = L
     return list_array(flat.astype(np.int32), limit[begins + per_row] - limit[begins])
 
 
-def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", leaf: int = LEAF) -> DataFrame:
+def encode(
+    df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", leaf: int = LEAF, keep: list[str] | None = None
+) -> DataFrame:
     """Add the ids of every text. ``ranks`` is the content of a rank file, read on the driver."""
     fields = T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(texts):
         return [encode_texts(texts, vocabulary(ranks), pattern, leaf)]
 
-    return append_columns(df, text, fields, run, TEXT_BYTES)
+    return append_columns(df, text, fields, run, keep=keep)
 
 
 def decode_ids(rows: pa.Array, vocab: Vocabulary) -> pa.Array:
@@ -340,8 +346,8 @@ def decode(df: DataFrame, ranks: bytes, ids: str = "ids", decoded: str = "decode
 
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
                 arrays = [part.column(c) for c in names] + [decode_ids(part.column(source), vocabulary(ranks))]
                 yield pa.RecordBatch.from_arrays(arrays, names=names + [decoded])
 
