@@ -58,18 +58,20 @@ def append_columns(
     fields: T.StructType,
     function: Callable[[pa.Array], list[pa.Array]],
     limit: int = SLICE_BYTES,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Add what ``function`` makes of the texts in ``column``, a slice of rows at a time.
+    """Add what ``function`` makes of the values in ``column``, a slice of rows at a time.
 
-    Every row is kept with its other columns; one that is named like a result is replaced by
-    it. The function is a generator's worth of pure work: it holds nothing between slices, so a
-    task can be run again anywhere.
+    Every row is kept, with its other columns or those in ``keep``; one that is named like a
+    result is replaced by it. The function holds nothing between slices but what it was made
+    with, so a task can be run again anywhere.
     """
     new = {f.name.lower() for f in fields}
-    keep = [c for c in df.columns if c.lower() not in new]
-    source = fresh(df, "text_in")[0]
-    df = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias(source))
-    schema = T.StructType([f for f in df.schema if f.name != source] + list(fields))
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
+    source = column if column in keep else fresh(df, "column_in")[0]
+    sent = [F.col(f"`{c}`") for c in keep] + ([] if column in keep else [F.col(f"`{column}`").alias(source)])
+    df = df.select(*sent)
+    schema = T.StructType([f for f in df.schema if f.name in keep] + list(fields))
 
     def run(batches):
         for batch in batches:
@@ -109,7 +111,11 @@ def span_text(spans: Column) -> Column:
 def span_digests(spans: Column, kinds: list[str]) -> list[Column]:
     """Counts of the base spans by kind, the digest of the base spans, and all spans as text."""
     base = F.filter(spans, lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in kinds]
     return [*counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(spans).alias("spans")]
 
 

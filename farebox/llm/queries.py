@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.llm import bpe
+from farebox.llm import bpe, secret_scan, simhash
+from farebox.llm import decontaminate as dc
+from farebox.llm.arrays import span_digests
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +21,18 @@ def rank_file(name: str = "byte_bpe_50k.tiktoken") -> bytes:
         return file.read()
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document as spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.find_secrets(docs, keep=["doc_id"])
+    return found.select("doc_id", *span_digests("secrets", secret_scan.BASE_KINDS))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the bytes they decode to, as digests."""
     ranks = rank_file()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
+    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"])
     return bpe.decode(ids, ranks).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -32,6 +41,57 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside benchmark passages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = dc.match_benchmark(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    found = marked.select("doc_id", "n_words", dc.n_hit("matches").alias("n_hit"), dc.item_list("matches").alias("items"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        dc.contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
+    )
+
+
+# Words of documents and items; A-Z alone are lower-cased.
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+items AS (
+    SELECT item_id, least(len(w), 13) AS m,
+        unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), i -> array_to_string(w[i:i + 12], ' '))) AS win
+    FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT m FROM items),
+places AS (
+    SELECT r, m, unnest(range(1, len(w) - m + 2)) AS p,
+        unnest(list_transform(range(1, len(w) - m + 2), i -> array_to_string(w[i:i + m - 1], ' '))) AS win
+    FROM d, sizes WHERE len(w) >= m),
+hits AS (SELECT r, p, m, item_id FROM places JOIN items USING (m, win)),
+hit_words AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + m)) AS q FROM hits) GROUP BY r),
+found AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hits GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+    sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+    coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit_words USING (r) LEFT JOIN found USING (r)
+"""
+
+
 QUERIES = {
+    "op2_secret_scan": (op2_secret_scan, None),
     "op4_bpe": (op4_bpe, None),
+    "op7_simhash": (op7_simhash, None),
+    "op9_decontaminate": (op9_decontaminate, OP9_SQL),
 }
