@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.llm import bpe, secret_scan, simhash
+from farebox.llm import bpe, kneser_ney, pii, secret_scan, simhash
 from farebox.llm import decontaminate as dc
 from farebox.llm.arrays import span_digests
 
@@ -21,6 +21,13 @@ def rank_file(name: str = "byte_bpe_50k.tiktoken") -> bytes:
         return file.read()
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document as spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, keep=["doc_id"])
+    return found.select("doc_id", *span_digests("personal", pii.KINDS))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document as spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -41,6 +48,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document, and whether it is within its language's bound."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return kneser_ney.rate(docs, labels, keep=["doc_id", "lang"])
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -90,8 +103,10 @@ FROM d LEFT JOIN hit_words USING (r) LEFT JOIN found USING (r)
 
 
 QUERIES = {
+    "op1_pii": (op1_pii, None),
     "op2_secret_scan": (op2_secret_scan, None),
     "op4_bpe": (op4_bpe, None),
+    "op6_kneser_ney": (op6_kneser_ney, None),
     "op7_simhash": (op7_simhash, None),
     "op9_decontaminate": (op9_decontaminate, OP9_SQL),
 }
