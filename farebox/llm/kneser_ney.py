@@ -43,8 +43,10 @@ from farebox.session import materialize
 ORDER = 5
 # Entries of the model that a task holds at a time.
 SHARD_ENTRIES = 2_000_000
+# Text bytes that are scored or counted at a time; each takes some hundred bytes of arrays.
+SLICE = 1 << 20
 # Different grams that a task gathers before it hands them on.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 # One in so many trusted documents sets the bounds and isn't counted.
 HELD_OUT = 4
 # Share of the held-out trusted documents under the quantile, and how far a document may lie under it.
@@ -86,7 +88,7 @@ def count_grams(texts: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts, held = [], [], 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 code, count = np.unique(grams(*text_buffer(part.column("text"))), return_counts=True)
                 codes, counts, held = [*codes, code], [*counts, count], held + len(code)
                 if held > GATHERED:
@@ -245,7 +247,7 @@ class Model:
         for k, shared in enumerate(self.shared):
             last = k == len(self.shared) - 1
             held = keep + [before] * (k > 0) + [source] * (not last)
-            docs = append_columns(docs, source, fields, scorer(*shared), keep=held)
+            docs = append_columns(docs, source, fields, scorer(*shared), SLICE, held)
             total = F.col(part) + F.col(before) if k else F.col(part)
             docs = docs.withColumn(part, total).drop(before).withColumnRenamed(part, part if last else before)
         mean = F.col(part) / F.nullif(F.col(size), F.lit(0))
@@ -302,8 +304,9 @@ def rate(
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in named]
     trusted = labels.where(F.col(quality) == 1).select(F.col(doc_id).alias("id")).where("id IS NOT NULL").distinct()
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-    rows = sieve(rows, trusted, "id").join(trusted, "id", "left_semi")
-    model = Model(count_grams(rows.where(~held_out("id")), "text"), shard_entries)
+    # An inner join with different ids: a semi join would be moved before the sieve.
+    rows = sieve(rows, trusted, "id").join(trusted, "id")
+    model = Model(materialize(count_grams(rows.where(~held_out("id")), "text")), shard_entries)
     rated = model.score(rows.where(held_out("id")), keep=["lang"]).where("n_bytes > 0")
     step = F.floor(allowed("mean_logp", "n_bytes") * STEPS).alias("step")
     steps = materialize(rated.select("lang", step).groupBy("lang", "step").agg(F.count("*").alias("n")))

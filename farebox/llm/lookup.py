@@ -8,11 +8,11 @@ EMPTY = np.uint64(2**64 - 1)
 
 
 class Lookup:
-    """Values of different keys (below 2**64 - 1); slots are three times the keys at least."""
+    """Values of different keys (below 2**64 - 1); slots are 1.5 to 3 times the keys."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         keys = keys.astype(np.uint64)
-        bits = max(8, int(len(keys) * 3).bit_length())
+        bits = max(8, int(len(keys) * 3 // 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.keys, self.values = np.full(1 << bits, EMPTY), np.zeros(1 << bits, values.dtype)
         slot = self._slot(keys)
