@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.llm import bpe, kneser_ney, pii, secret_scan, simhash
+from farebox.llm import bpe, kneser_ney, langid, mtree, pii, secret_scan, simhash, warc
 from farebox.llm import decontaminate as dc
 from farebox.llm.arrays import span_digests
+from farebox.session import checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +38,21 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *span_digests("secrets", secret_scan.BASE_KINDS))
 
 
+def op3_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every fiftieth vector."""
+    return mtree.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+OP3_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+    FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the bytes they decode to, as digests."""
     ranks = rank_file()
@@ -48,6 +66,26 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives in the shared folder and read back."""
+    path = f"{checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    records = warc.read_archives(spark.read.parquet(path), payload=False)
+    return records.select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "problem"
+    )
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+    CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to, NULL::VARCHAR AS problem
+FROM w
+"""
+
+
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document, and whether it is within its language's bound."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -62,6 +100,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    known = langid.references(docs)
+    found = langid.identify(docs.select("doc_id", "text"), known, keep=["doc_id"])
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside benchmark passages."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -105,8 +151,11 @@ FROM d LEFT JOIN hit_words USING (r) LEFT JOIN found USING (r)
 QUERIES = {
     "op1_pii": (op1_pii, None),
     "op2_secret_scan": (op2_secret_scan, None),
+    "op3_mtree": (op3_mtree, OP3_SQL),
     "op4_bpe": (op4_bpe, None),
+    "op5_warc": (op5_warc, OP5_SQL),
     "op6_kneser_ney": (op6_kneser_ney, None),
     "op7_simhash": (op7_simhash, None),
     "op9_decontaminate": (op9_decontaminate, OP9_SQL),
+    "op10_langid": (op10_langid, None),
 }
