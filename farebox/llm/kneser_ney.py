@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from farebox.llm.arrays import append_columns, fresh, slices, text_buffer
 from farebox.llm.lookup import Lookup
+from farebox.llm.sieve import sieve
 from farebox.session import materialize
 
 ORDER = 5
@@ -56,8 +57,6 @@ MARGIN = 0.1
 ALLOWANCE = 4.0
 # Steps of a quantile in one unit of log probability.
 STEPS = 1000
-# Size of the sieve that spares untrusted documents the shuffle, in bits.
-SIEVE_BITS = 1 << 23
 
 
 def grams(raw: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -254,21 +253,6 @@ class Model:
         return docs.select(*[F.col(f"`{c}`") for c in keep], mean.alias(out[0]), F.col(size).alias(out[1]))
 
 
-def sieve(docs: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
-    """Rows whose id may be among ``ids``: a bitmap of a fixed size (1 MB) spares others the join's shuffle."""
-    spot = F.pmod(F.xxhash64(F.col(f"`{doc_id}`")), F.lit(SIEVE_BITS)) + 1
-    bits = ids.groupBy(F.bitmap_bucket_number(spot).alias("number")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")
-    )
-    number, held, place = fresh(docs, "number", "bits", "place")
-    bits = bits.select(F.col("number").alias(number), F.col("bits").alias(held))
-    rows = docs.withColumn(number, F.bitmap_bucket_number(spot)).withColumn(place, F.bitmap_bit_position(spot))
-    rows = rows.join(F.broadcast(bits), number)
-    byte = F.conv(F.hex(F.substring(held, (F.floor(F.col(place) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    hit = F.floor(byte / F.pow(F.lit(2), F.pmod(place, F.lit(8)))) % 2 == 1
-    return rows.where(hit).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def held_out(doc_id: str) -> Column:
     return F.pmod(F.crc32(F.col(f"`{doc_id}`").cast("string")), F.lit(HELD_OUT)) == 0
 
@@ -304,8 +288,9 @@ def rate(
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in named]
     trusted = labels.where(F.col(quality) == 1).select(F.col(doc_id).alias("id")).where("id IS NOT NULL").distinct()
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-    # An inner join with different ids: a semi join would be moved before the sieve.
-    rows = sieve(rows, trusted, "id").join(trusted, "id")
+    # An inner join with different ids: a semi join would be moved before the sieve. Its plan is
+    # stated, so that it is the same however many labels there are.
+    rows = sieve(rows, trusted, "id").join(trusted.hint("merge"), "id")
     model = Model(materialize(count_grams(rows.where(~held_out("id")), "text")), shard_entries)
     rated = model.score(rows.where(held_out("id")), keep=["lang"]).where("n_bytes > 0")
     step = F.floor(allowed("mean_logp", "n_bytes") * STEPS).alias("step")
