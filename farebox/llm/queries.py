@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.llm import bpe, kneser_ney, langid, mtree, pii, secret_scan, simhash, warc
+from farebox.llm import bpe, kneser_ney, langid, mtree, pii, secret_scan, simhash, toxicity, warc
 from farebox.llm import decontaminate as dc
 from farebox.llm.arrays import span_digests
 from farebox.session import checkpoint_dir
@@ -100,6 +100,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from those that aren't held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels)
+    found = toxicity.rate(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.DECIDE).cast("int").alias("predicted"),
+    )
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -156,6 +169,7 @@ QUERIES = {
     "op5_warc": (op5_warc, OP5_SQL),
     "op6_kneser_ney": (op6_kneser_ney, None),
     "op7_simhash": (op7_simhash, None),
+    "op8_toxicity": (op8_toxicity, None),
     "op9_decontaminate": (op9_decontaminate, OP9_SQL),
     "op10_langid": (op10_langid, None),
 }
