@@ -44,8 +44,8 @@ def op3_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH e AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
     FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
@@ -144,12 +144,12 @@ WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM document
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 items AS (
     SELECT item_id, least(len(w), 13) AS m,
-        unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), i -> array_to_string(w[i:i + 12], ' '))) AS win
+        unnest([array_to_string(w[i:i + 12], ' ') for i in range(1, greatest(len(w) - 12, 1) + 1)]) AS win
     FROM b WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT m FROM items),
 places AS (
     SELECT r, m, unnest(range(1, len(w) - m + 2)) AS p,
-        unnest(list_transform(range(1, len(w) - m + 2), i -> array_to_string(w[i:i + m - 1], ' '))) AS win
+        unnest([array_to_string(w[i:i + m - 1], ' ') for i in range(1, len(w) - m + 2)]) AS win
     FROM d, sizes WHERE len(w) >= m),
 hits AS (SELECT r, p, m, item_id FROM places JOIN items USING (m, win)),
 hit_words AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + m)) AS q FROM hits) GROUP BY r),
