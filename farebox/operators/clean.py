@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from farebox.functions.calendar import clock_text, parse_ts
@@ -13,6 +12,7 @@ from farebox.schemas import (
     INTERMEDIATE_GATE_LINE, INTERMEDIATE_GATE_NAME, MERGED_LINE_FROM, MERGED_LINE_NAME,
     MERGED_LINE_TO, SLOT_KEYS, STATION_VARIANTS,
 )
+from farebox.session import materialize
 
 MEASURES = ["entradas", "salidas", "total"]
 
@@ -65,10 +65,9 @@ def consolidate_variants(df: DataFrame, mapping: dict[int, int] | None = None, m
     timestamp; variants without a principal row there disappear, and so do rows without a
     station code. ``regroup``: codes are replaced and rows regrouped; nothing is lost.
 
-    The sums come from one window over (timestamp, principal code): a single shuffle of the
-    aggregated slots, where a join of three filtered copies would rebuild the slots three
-    times. A window group holds the rows of one station at one timestamp; rows whose
-    timestamp could not be parsed are spread by a hash, as they match nothing.
+    The variants alone are summed by (timestamp, principal code) and joined to the other rows:
+    a few codes, so Spark can broadcast the sums and leave the rows where they are. ``df`` is read
+    twice; hand over a stored table.
     """
     mapping = STATION_VARIANTS if mapping is None else mapping
     code = F.col("codigo_estacion")
@@ -88,20 +87,18 @@ def consolidate_variants(df: DataFrame, mapping: dict[int, int] | None = None, m
     if mode != "parity":
         raise ValueError(f"unknown mode {mode!r}")
     is_variant = code.isin(list(mapping))
-    is_principal = code.isin(list(set(mapping.values())))
-    spread = F.when(F.col("timestamp").isNull(), F.xxhash64(*df.columns))
-    w = W.partitionBy("timestamp", recode("codigo_estacion", mapping), spread)
-    out = {
-        m: F.col(m) + F.when(
-            is_principal & F.col("timestamp").isNotNull(),
-            F.coalesce(F.sum(F.when(is_variant, F.col(m))).over(w), F.lit(0)),
-        ).otherwise(F.lit(0))
-        for m in MEASURES
-    }
-    summed = df.select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns])
-    return summed.where(code.isNotNull() & ~is_variant)
+    sums = df.where(is_variant & F.col("timestamp").isNotNull()).groupBy(
+        F.col("timestamp").alias("_at"), recode("codigo_estacion", mapping).alias("_main")
+    ).agg(*[F.sum(m).alias(f"_{m}") for m in MEASURES])
+    rest = df.where(code.isNotNull() & ~is_variant)
+    joined = rest.join(sums, (F.col("timestamp") == F.col("_at")) & (code == F.col("_main")), "left")
+    out = {m: F.col(m) + F.coalesce(f"_{m}", F.lit(0)) for m in MEASURES}
+    return joined.select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns])
 
 
 def clean(raw: DataFrame, mode: str = "parity") -> DataFrame:
-    """Raw rows to fact rows that still carry the raw line and station names."""
-    return consolidate_variants(recode_lines(derive_fields(aggregate_slots(raw))), mode=mode)
+    """Raw rows to fact rows that still carry the raw line and station names.
+
+    The slots are written once: the raw files are read and shuffled a single time.
+    """
+    return consolidate_variants(materialize(recode_lines(derive_fields(aggregate_slots(raw)))), mode=mode)

@@ -93,11 +93,15 @@ def named(df: DataFrame, names: DataFrame, code: str, name: str, fallback: str)
 def with_aliases(stats: DataFrame, aliases: DataFrame) -> DataFrame:
     """Copy rows under a second code; the copy replaces a row that already has that code.
 
-    ``aliases`` has (codigo_estacion, alias).
+    ``aliases`` has (codigo_estacion, alias). One pass: every row is listed under its own code and
+    its aliases, and of the rows with one code a copy wins; among copies that of the smallest code.
     """
-    copies = (
-        stats.join(aliases, "codigo_estacion").drop("codigo_estacion")
-        .withColumnRenamed("alias", "codigo_estacion").select(*stats.columns)
-    )
-    kept = stats.join(copies.select("codigo_estacion"), "codigo_estacion", "left_anti")
-    return kept.select(*stats.columns).unionByName(copies)
+    lists = aliases.groupBy("codigo_estacion").agg(F.collect_set("alias").alias("_aliases"))
+    rest = [c for c in stats.columns if c != "codigo_estacion"]
+    code = F.col("codigo_estacion")
+    own = F.array(F.struct(F.lit(1).alias("own"), code.alias("code")))
+    copies = F.transform(F.coalesce("_aliases", F.array().cast("array<bigint>")), lambda a: F.struct(F.lit(0).alias("own"), a.alias("code")))
+    listed = stats.join(lists, "codigo_estacion", "left").withColumn("_to", F.explode(F.concat(own, copies)))
+    ranked = F.struct(F.col("_to.own"), code.alias("from"), *rest)
+    best = listed.groupBy(F.col("_to.code").alias("_code")).agg(F.min(ranked).alias("_b"))
+    return best.select(F.col("_code").alias("codigo_estacion"), *[F.col(f"_b.{c}").alias(c) for c in rest]).select(*stats.columns)

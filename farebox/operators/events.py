@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from farebox.session import pin
-
 WINDOW = 5
 
 
-def offset_name(k: int, prefix: str = "") -> str:
-    """``es_m3`` for k = -3, ``es_p0`` for the event day."""
-    return f"{prefix}es_{'m' if k < 0 else 'p'}{abs(k)}"
+SIDES = {True: "m", False: "p"}  # before the event, from the event day on
 
 
 def offset_columns(lo: int = -WINDOW, hi: int = WINDOW, prefix: str = "") -> list[str]:
-    return [offset_name(k, prefix) for k in range(lo, hi + 1)]
+    """A column for each day from ``lo`` to ``hi``: ``es_m3`` is three days before, ``es_p0`` the event day."""
+    days = [(k < 0, str(k).lstrip("-")) for k in range(lo, hi + 1)]
+    return [prefix + "es_" + SIDES[early] + distance for early, distance in days]
+
+
+def offset_name(k: int, prefix: str = "") -> str:
+    return offset_columns(k, k, prefix)[0]
 
 
 def event_time_join(
@@ -112,9 +114,7 @@ def day_tags(events: DataFrame, controls: DataFrame) -> DataFrame:
 def event_panel(panel: DataFrame, tags: DataFrame) -> DataFrame:
     """Rows of the tagged days with the tag columns.
 
-    Tags are pinned first: only the listed days are read from a table partitioned by day.
+    An equality join on the day: a table partitioned by day is pruned to the tagged days at
+    run time, and Spark broadcasts the tags by their size.
     """
-    pinned, rows = pin(tags)
-    if rows is not None:
-        panel = panel.where(F.col("fecha").isin(sorted({r["fecha"] for r in rows})))
-    return panel.join(pinned, "fecha")
+    return panel.join(tags, "fecha")

@@ -1,9 +1,7 @@
-"""Cross products of centred regressors, for few and for many columns.
+"""Cross products of centred regressors.
 
-Both classes produce the same numbers. ``ColumnEquations`` writes every product as a column
-expression, which compiles into the aggregation. ``VectorEquations`` keeps the regressors in
-one array column: plans stay small with dozens of indicator columns, means and score sums
-are vector aggregates inside the JVM, and products are matrix products over Arrow batches.
+The regressors are one array column: plans stay small with dozens of indicator columns, means and
+score sums are vector aggregates inside the JVM, and products are matrix products over Arrow batches.
 
 The vector handed to the solver is, per group: the upper triangle of sum n*z*z' with
 z = (regressors, outcome) centred; squared deviations inside cells; rows; absorbed means;
@@ -13,10 +11,10 @@ sum n*mean per column; sum n*mean^2 per regressor.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +35,13 @@ def join_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return left.join(right, cond).drop(*[f"_r_{k}" for k in keys])
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """Numbers of a column; lists of one length as rows."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
 def unpack(vec, q: int) -> tuple[np.ndarray, np.ndarray]:
     """Symmetric q x q matrix from its upper triangle, and what follows it."""
     vec = np.asarray(vec, dtype=float)
@@ -46,79 +51,7 @@ def unpack(vec, q: int) -> tuple[np.ndarray, np.ndarray]:
     return gram + gram.T - np.diag(np.diag(gram)), vec[m:]
 
 
-
-class ColumnEquations:
-    def __init__(self, names: list[str], by: list[str], entity: list[str], extra_key: list[str]):
-        self.names, self.by, self.entity = names, by, entity
-        self.keys = by + entity + extra_key
-        self.x = [f"_x{i}" for i in range(len(names))]
-
-    def cells(self, df: DataFrame, y: str, compress: bool) -> DataFrame:
-        rows = df.where(usable_outcome(y, self.entity)).select(
-            *self.keys, *[F.col(c).cast("double").alias(a) for c, a in zip(self.names, self.x)],
-            F.col(y).cast("double").alias("_y"),
-        )
-        return merge_cells(rows, [*self.keys, *self.x], compress)
-
-    def complete(self, cells: DataFrame) -> DataFrame:
-        """Cells without missing regressors. Meant for cells read back from storage: on derived
-        columns such conditions multiply in the optimizer, on stored ones they are plain filters."""
-        return cells.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in self.x))
-
-    def centre(self, cells: DataFrame) -> DataFrame:
-        cols = [*self.x, "_y"]
-        weighted = [(F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(f"{c}_m") for c in cols]
-        means = cells.groupBy(*self.by, *self.entity).agg(
-            F.sum("_n").alias("_ne"), *weighted
-        )
-        joined = join_groups(cells, means, self.by + self.entity)
-        return joined.withColumns({c: F.col(c) - F.col(f"{c}_m") for c in cols})
-
-    def _sums(self, df: DataFrame, columns: list[str], weight: Column, extras: list[Column]) -> DataFrame:
-        terms = [
-            weight * F.col(a) * F.col(b) for i, a in enumerate(columns) for b in columns[i:]
-        ] + extras
-        sums = df.groupBy(*self.by).agg(*[F.sum(t).alias(f"_s{k}") for k, t in enumerate(terms)])
-        return sums.select(
-            *self.by, F.array(*[F.coalesce(f"_s{k}", F.lit(0.0)) for k in range(len(terms))]).alias("_gram")
-        )
-
-    def gram(self, centred: DataFrame) -> DataFrame:
-        n = F.col("_n")
-        cols = [*self.x, "_y"]
-        extras = [F.col("_m2"), n, n / F.col("_ne")]
-        extras += [n * F.col(f"{c}_m") for c in cols] + [n * F.col(f"{c}_m") * F.col(f"{c}_m") for c in self.x]
-        return self._sums(centred, cols, n, extras)
-
-    def meat(self, centred: DataFrame, base: DataFrame, cov: str, cluster: str | None) -> DataFrame:
-        """Sum of score products; then the count of unusable cells and the residual sum of squares.
-
-        A cell with full leverage and no variation of its own (a lone row of an entity) says
-        nothing about the coefficients and weighs zero; full leverage with variation is counted.
-        """
-        p, x = len(self.x), self.x
-        df = join_groups(centred, base.select(*self.by, "b", *(["a"] if cov == "hc3" else [])), self.by)
-        fitted = sum((F.col("b")[i] * F.col(c) for i, c in enumerate(x)), F.lit(0.0))
-        df = df.withColumn("_e", F.col("_y") - fitted)
-        df = df.withColumn("_rss", F.expr("_m2 + _n * _e * _e"))
-        if cov == "cluster":
-            scores = df.groupBy(*self.by, *([cluster] if cluster not in self.by else [])).agg(
-                *[F.sum(F.col("_n") * F.col("_e") * F.col(c)).alias(c) for c in x], F.sum("_rss").alias("_rss")
-            )
-            return self._sums(scores, x, F.lit(1.0), [F.lit(0.0), F.col("_rss")])
-        lever = 1 / F.col("_ne") + sum(
-            (F.col("a")[i * p + j] * F.col(x[i]) * F.col(x[j]) for i in range(p) for j in range(p)), F.lit(0.0)
-        )
-        size = F.greatest(*[F.abs(F.col(c)) for c in x], F.lit(0.0))
-        full = lever >= FULL_LEVERAGE
-        df = df.withColumns({"_full": full, "_left": 1 - lever, "_size": size}).withColumns({
-            "_w": F.expr("CASE WHEN _full THEN 0.0D ELSE (_m2 + _n * _e * _e) / (_left * _left) END"),
-            "_bad": F.expr("CASE WHEN _full AND _size > 1e-9 THEN 1.0D ELSE 0.0D END"),
-        })
-        return self._sums(df, x, F.col("_w"), [F.col("_bad"), F.col("_rss")])
-
-
-class VectorEquations:
+class NormalEquations:
     def __init__(self, names: list[str], by: list[str], entity: list[str], extra_key: list[str]):
         self.names, self.by, self.entity = names, by, entity
         self.keys = by + entity + extra_key
@@ -152,12 +85,21 @@ class VectorEquations:
         schema = T.StructType([narrow.schema[c] for c in by] + [T.StructField("_v", T.ArrayType(T.DoubleType()))])
 
         def run(batches):
-            for pdf in batches:
-                groups = pdf.groupby(by, sort=False, dropna=False) if by else [((), pdf)]
-                rows = [[*key, product(part)] for key, part in groups if len(part)]
-                yield pd.DataFrame(rows, columns=[*by, "_v"])
-
-        parts = narrow.mapInPandas(run, schema)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                data = {c: matrix(batch.column(c)) for c in columns}
+                number = np.zeros(batch.num_rows, np.int64)
+                if by:
+                    number = batch.select(by).to_pandas().groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+                order = np.argsort(number, kind="stable")
+                heads = np.flatnonzero(np.diff(number[order], prepend=-1))
+                vectors = [product({c: v[rows] for c, v in data.items()}) for rows in np.split(order, heads[1:])]
+                first = pa.array(order[heads])
+                keys = [batch.column(c).take(first) for c in by]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(vectors, pa.list_(pa.float64()))], names=[*by, "_v"])
+
+        parts = narrow.mapInArrow(run, schema)
         total = Summarizer.metrics("sum").summary(array_to_vector("_v")).alias("_s")
         # No parts at all leave a null vector; the solver skips it.
         return parts.groupBy(*by).agg(total, F.count("*").alias("_parts")).where("_parts > 0").select(
@@ -165,15 +107,13 @@ class VectorEquations:
         )
 
     def gram(self, centred: DataFrame) -> DataFrame:
-        q = len(self.names) + 1
-        iu = np.triu_indices(q)
+        iu = np.triu_indices(len(self.names) + 1)
 
         def product(part):
-            n = part["_n"].to_numpy(dtype=float)
-            mean = np.stack(part["_mean"].to_numpy())
-            z = np.column_stack([np.stack(part["_x"].to_numpy()), part["_y"].to_numpy(dtype=float)]) - mean
+            n, mean = part["_n"], part["_mean"]
+            z = np.column_stack([part["_x"], part["_y"]]) - mean
             gram = (z * n[:, None]).T @ z
-            tail = [part["_m2"].sum(), n.sum(), (n / part["_ne"].to_numpy(dtype=float)).sum()]
+            tail = [part["_m2"].sum(), n.sum(), (n / part["_ne"]).sum()]
             return np.concatenate([gram[iu], tail, n @ mean, n @ (mean[:, :-1] ** 2)])
 
         return self._fold(centred, ["_x", "_y", "_mean", "_n", "_ne", "_m2"], product)
@@ -186,11 +126,10 @@ class VectorEquations:
             return self._cluster_meat(df, cluster)
 
         def product(part):
-            n, ne, m2 = (part[c].to_numpy(dtype=float) for c in ("_n", "_ne", "_m2"))
-            mean = np.stack(part["_mean"].to_numpy())
-            z = np.stack(part["_x"].to_numpy()) - mean[:, :-1]
-            e = part["_y"].to_numpy(dtype=float) - mean[:, -1] - z @ np.asarray(part["b"].iloc[0], dtype=float)
-            a = np.asarray(part["a"].iloc[0], dtype=float).reshape(p, p)
+            n, ne, m2, mean = (part[c] for c in ("_n", "_ne", "_m2", "_mean"))
+            z = part["_x"] - mean[:, :-1]
+            e = part["_y"] - mean[:, -1] - z @ part["b"][0]
+            a = part["a"][0].reshape(p, p)
             lever = 1 / ne + ((z @ a) * z).sum(axis=1)
             full = lever >= FULL_LEVERAGE
             squares = m2 + n * e * e
@@ -214,7 +153,7 @@ class VectorEquations:
         ).select(*self.by, vector_to_array("_s.sum").alias("_score"), "_rss")
 
         def product(part):
-            s = np.stack(part["_score"].to_numpy())
+            s = part["_score"]
             return np.concatenate([(s.T @ s)[iu], [0.0, part["_rss"].sum()]])
 
         return self._fold(scores, ["_score", "_rss"], product)

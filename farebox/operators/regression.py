@@ -28,10 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from farebox.functions.distributions import Z975, f_upper, normal_two_sided, t_quantile_975, t_two_sided
-from farebox.operators.normal_equations import ColumnEquations, VectorEquations, join_groups, unpack
+from farebox.operators.normal_equations import NormalEquations, join_groups, unpack
 from farebox.session import materialize
 
-FEW_REGRESSORS = 4  # up to here every sum is a plain column expression
 PIVOT_TOL = 1e-10  # share of a column's variation that earlier columns must leave
 CENTRE_TOL = 1e-18  # centred against raw sum of squares, below which a column is constant
 
@@ -221,19 +220,19 @@ def ols_fit(
     if cov == "cluster" and cluster is None:
         raise ValueError("clustered errors need a cluster or an absorbed effect")
     extra_key = [cluster] if cluster and cluster not in by + entity else []
-    kind = ColumnEquations if len(names) <= FEW_REGRESSORS else VectorEquations
-    eq = kind(names, by, entity, extra_key)
+    eq = NormalEquations(names, by, entity, extra_key)
     p = len(names)
 
     # The means, the products and the scores all read the cells: write them once.
     centred = eq.centre(eq.complete(materialize(eq.cells(df, y, compress))))
-    base = _solve_groups(eq.gram(centred), by, p)
+    # A few numbers per group, read by the scores and by the result: solved once.
+    base = materialize(_solve_groups(eq.gram(centred), by, p))
     if cov == "nonrobust":
         s2 = F.col("rss") / F.nullif(F.col("df_resid"), F.lit(0.0))
         frame = base.withColumn("v", F.when(F.col("df_resid") > 0, F.transform("a", lambda e: e * s2)))
     else:
         meat = eq.meat(centred, base, cov, cluster).withColumnRenamed("_gram", "meat")
-        frame = _sandwich(join_groups(base, meat, by), p, cov)
+        frame = materialize(_sandwich(join_groups(base, meat, by), p, cov))
     law = inference or ("z" if cov == "hc3" else "t")
     return OlsModel(frame, by, names, list(xs), law, intercept=absorb is None)
 

@@ -6,30 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from farebox.operators.clean import clean
 from farebox.operators.dims import build_dimensions
-from farebox.session import materialize
-from farebox.sources.facts import write_validations
+from farebox.session import materialize, scratch
+from farebox.sources.facts import DAY_PARTS, write_validations
 from farebox.sources.raw import bad_inputs, extract_archives, extracted_rows, read_raw_csv
 from farebox.sources.sinks import write_dims, write_table
 
 
-def build_warehouse(raw: DataFrame, out: str, mode: str = "parity") -> DataFrame:
+def build_warehouse(raw: DataFrame, out: str, mode: str = "parity", day_parts: int = DAY_PARTS) -> None:
     """Clean raw rows, write ``validations`` and the three dimensions below ``out``.
 
-    The cleaned slots feed four outputs, so they are checkpointed once: the raw files are
-    read a single time, and a lost executor costs a re-read of the checkpoint only.
+    The slots feed both outputs and are in the checkpoint folder, so the raw files are read a single
+    time and a lost executor costs a re-read of that folder only. It is deleted when the outputs stand.
     """
-    named = materialize(clean(raw, mode))
-    write_validations(named, f"{out}/validations")
-    write_dims(*build_dimensions(named), f"{out}/dims")
-    return named
+    with scratch(raw.sparkSession):
+        named = clean(raw, mode)
+        write_validations(named, f"{out}/validations", day_parts=day_parts)
+        write_dims(*build_dimensions(named), f"{out}/dims")
 
 
-def run_from_csv(spark: SparkSession, csv_path, out: str, mode: str = "parity") -> DataFrame:
-    return build_warehouse(read_raw_csv(spark, csv_path), out, mode)
+def run_from_csv(spark: SparkSession, csv_path, out: str, mode: str = "parity") -> None:
+    build_warehouse(read_raw_csv(spark, csv_path), out, mode)
 
 
-def run_from_archives(spark: SparkSession, zip_path: str, out: str, mode: str = "parity") -> DataFrame:
+def run_from_archives(spark: SparkSession, zip_path: str, out: str, mode: str = "parity") -> None:
     """As :func:`run_from_csv` for ZIP archives; unreadable inputs are listed in ``bad_inputs``."""
-    extracted = materialize(extract_archives(spark, zip_path))
-    write_table(bad_inputs(extracted), f"{out}/bad_inputs")
-    return build_warehouse(extracted_rows(extracted), out, mode)
+    with scratch(spark):
+        extracted = materialize(extract_archives(spark, zip_path))
+        write_table(bad_inputs(extracted), f"{out}/bad_inputs")
+        build_warehouse(extracted_rows(extracted), out, mode)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,24 +41,55 @@ def local_session(app: str = "farebox", cores: int | str = "*", memory: str = "8
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a private one only where none is set (tests)."""
+    """The shared folder named by the cluster.
+
+    Only where driver and tasks are one process may it be missing: a private folder is used
+    then. On a cluster every executor would write to its own disk, so that is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {sc.master} share")
         current = tempfile.mkdtemp(prefix="farebox-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return current
 
 
+# Folders written since the innermost scratch() began; None outside of one.
+_SCRATCH: list[str] | None = None
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what :func:`materialize` writes inside the block when it ends.
+
+    For jobs that write their results before the block ends; a lazy result must not leave it.
+    """
+    global _SCRATCH
+    outer, _SCRATCH = _SCRATCH, []
+    try:
+        yield
+    finally:
+        written, _SCRATCH = _SCRATCH, outer
+        hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+        for path in written:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(hadoop).delete(folder, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write the rows once to the shared checkpoint folder and read them back.
 
     Several outputs then share one computation, a lost executor costs a re-read only, and
-    later steps read just the columns they need. The folder is the cluster's to clean.
+    later steps read just the columns they need. Inside :func:`scratch` the folder goes with
+    the block, else it is the cluster's to clean.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/farebox-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCRATCH is not None:
+        _SCRATCH.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -85,32 +118,3 @@ def literal_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataF
     if not structs:
         return spark.createDataFrame([], columns)
     return spark.range(1).select(F.inline(F.array(*structs)))
-
-
-MAX_PINNED_ROWS = 5_000
-
-
-def pin(df: DataFrame, limit: int = MAX_PINNED_ROWS) -> tuple[DataFrame, list | None]:
-    """A calendar-sized table (event days, control days) as literal rows.
-
-    The rows become part of the plan, so the optimizer knows their size and later scans can
-    be pruned to the listed days at planning time. A table larger than ``limit`` is
-    checkpointed instead and no row list is returned.
-    """
-    spark = df.sparkSession
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return materialize(df), None
-    if not rows:
-        return spark.createDataFrame([], df.schema), []
-
-    def lit(value, kind: str) -> str:
-        if value is None:
-            return f"CAST(NULL AS {kind})"
-        text = str(value).replace("\\", "\\\\").replace("'", "\\'")
-        return f"CAST('{text}' AS {kind})"
-
-    kinds = [t for _, t in df.dtypes]
-    values = ", ".join("(" + ", ".join(lit(v, k) for v, k in zip(row, kinds)) + ")" for row in rows)
-    names = ", ".join(f"`{c}`" for c in df.columns)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})"), rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from farebox.functions.calendar import hour_of_clock
 from farebox.schemas import FACT_COLUMNS
 from farebox.sources.raw import require_columns
 
@@ -13,11 +14,23 @@ def read_validations(spark: SparkSession, path: str, columns: list[str] | None =
     """The fact table as one DataFrame; ``columns`` limits the scan to those columns."""
     df = spark.read.parquet(path)
     if not df.columns:
-        raise RuntimeError(f"No se encontraron datos en {path}")
+        raise RuntimeError(f"sin columnas: {path}")
     wanted = columns or FACT_COLUMNS
     return require_columns(df, wanted, path).select(*wanted)
 
 
+def with_hours(facts: DataFrame) -> DataFrame:
+    """Facts with ``hora_int``, the hour of the clock text, as the hourly panels and KPIs need it."""
+    return facts if "hora_int" in facts.columns else facts.withColumn("hora_int", hour_of_clock("hora"))
+
+
+def regroup_slots(facts: DataFrame) -> DataFrame:
+    """One row for each slot where several loads brought parts of it. Sums don't need it; counts of rows do."""
+    keys = ["timestamp", "fecha", "hora", "codigo_estacion"]
+    sums = [F.sum(c).alias(c) for c in ("entradas", "salidas", "total")]
+    return facts.groupBy(*keys).agg(F.min("codigo_linea").alias("codigo_linea"), *sums).select(*FACT_COLUMNS)
+
+
 def read_dates(spark: SparkSession, path: str, dates: DataFrame, key: str = "fecha") -> DataFrame:
     """Only the rows of listed days.
 
@@ -26,24 +39,26 @@ def read_dates(spark: SparkSession, path: str, dates: DataFrame, key: str = "fec
     return read_validations(spark, path).join(dates.select(key).distinct(), key, "left_semi")
 
 
-def write_validations(
-    df: DataFrame, path: str, files_per_day: int = 1, extra_partitions: list[str] | None = None
-) -> None:
-    """Write the eight fact columns, one directory per day.
+# Stations of a day are dealt over so many tasks when the table is written.
+DAY_PARTS = 1
+
+
+def write_validations(df: DataFrame, path: str, load: int = 0, day_parts: int = DAY_PARTS) -> None:
+    """Write the eight fact columns below ``fecha=.../carga=...``; full loads are 0, stream batches count on.
 
-    Rows are range-partitioned by day and station: a day that outgrows one task is split
-    by station, and a task holds few days, so no (task x day) explosion of small files.
-    Days present in ``df`` replace the same days in the table; others stay.
+    Rows are hashed by day, so a day is one file and no sample has to be taken first. A table
+    whose days outgrow a task takes ``day_parts`` over 1: then a day's stations are dealt over that
+    many tasks. Days of this load that are in ``df`` replace those in the table; others stay.
     """
-    extra = extra_partitions or []
-    columns = [c for c in FACT_COLUMNS if c != "fecha"] + ["fecha"] + extra
+    part = F.pmod(F.xxhash64("codigo_estacion"), F.lit(day_parts))
+    columns = [c for c in FACT_COLUMNS if c != "fecha"] + ["fecha"]
     (
-        df.select(*columns)
-        .repartitionByRange(*[F.col(c) for c in ["fecha", *extra, "codigo_estacion"]])
-        .sortWithinPartitions("fecha", *extra, "codigo_estacion", "timestamp")
+        df.select(*columns, F.lit(load).alias("carga"))
+        .repartition("fecha", part)
+        .sortWithinPartitions("fecha", "codigo_estacion", "timestamp")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("fecha", *extra)
+        .partitionBy("fecha", "carga")
         .parquet(path)
     )
 

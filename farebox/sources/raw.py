@@ -2,37 +2,71 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
+import zlib
+from collections import defaultdict
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from farebox.functions.text import zip_links
-from farebox.schemas import RAW_COLUMNS
+from farebox.schemas import RAW_COLUMNS, RAW_SCHEMA
 
 
-def require_columns(df: DataFrame, columns: list[str], where: str = "la entrada") -> DataFrame:
-    """Fail early, naming the missing and the available columns."""
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"Columnas faltantes en {where}: {missing}. Columnas disponibles: {df.columns}")
+def require_columns(df: DataFrame, columns: list[str], where: str = "entrada") -> DataFrame:
+    """The frame itself if it has all ``columns``; otherwise an error that names what is absent."""
+    absent = sorted(set(columns).difference(df.columns))
+    if absent:
+        raise ValueError(f"Columnas faltantes ({where}): {', '.join(absent)}; hay {', '.join(df.columns)}")
     return df
 
 
+def header_of(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names in the first line of one file; compressed files are opened as such."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(conf).open(file)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file)
+        text = jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
+        line = jvm.java.io.BufferedReader(text).readLine() or ""
+    finally:
+        stream.close()
+    names = next(csv.reader([line.lstrip("\ufeff")]), [])
+    return tuple(n.strip() for n in names)
+
+
 def read_raw_csv(spark: SparkSession, path) -> DataFrame:
-    """Boarding counts as text columns; only the six known columns are kept.
+    """Boarding counts as text; the six known columns of every file, found by name.
 
-    The header names are checked against every file, so a file with another column order
-    is refused instead of being read by position.
+    Files may have further columns and any order of them. The first line of each is read on the
+    driver, as a listing would; files with the same header are one scan. No file is read to
+    infer anything.
     """
-    df = spark.read.option("header", True).option("enforceSchema", False).csv(path)
-    return require_columns(df, RAW_COLUMNS, str(path)).select(*RAW_COLUMNS)
+    files = sorted(spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).inputFiles())
+    scans = defaultdict(list)
+    for file in files:
+        scans[header_of(spark, file)].append(file)
+    if not scans:
+        return spark.createDataFrame([], RAW_SCHEMA)
+    parts = []
+    for header, group in scans.items():
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+        rows = require_columns(spark.createDataFrame([], schema), RAW_COLUMNS, group[0]) and spark.read.schema(schema)
+        parts.append(rows.option("header", True).csv(group).select(*RAW_COLUMNS))
+    return reduce(DataFrame.unionByName, parts)
 
 
 EXTRACT_SCHEMA = "archive string, member string, error string, " + ", ".join(f"{c} string" for c in RAW_COLUMNS)
+UNREADABLE = (
+    zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, pa.ArrowInvalid, UnicodeDecodeError, csv.Error,
+)
 
 
 def _rows_of_archives(batches):
@@ -46,45 +80,55 @@ def _rows_of_archives(batches):
         for archive, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             try:
                 zf = zipfile.ZipFile(io.BytesIO(content.as_py()))
-            except zipfile.BadZipFile:
-                yield problem(archive, None, "ZIP corrupto o inválido")
+            except zipfile.BadZipFile as exc:
+                yield problem(archive, None, f"archivo ilegible: {exc}")
                 continue
             for member in zf.namelist():
                 if not member.lower().endswith(".csv"):
                     continue
                 try:
                     with zf.open(member) as stream:
-                        header = stream.readline().decode("utf-8-sig").strip()
-                    columns = [c.strip().strip('"') for c in header.split(",")]
+                        header = next(csv.reader([stream.readline().decode("utf-8-sig")]), [])
+                    columns = [c.strip() for c in header]
                     missing = [c for c in RAW_COLUMNS if c not in columns]
                     if missing:
                         yield problem(archive, member, f"Columnas faltantes: {missing}")
                         continue
+                    # Only an empty field is null; the text NA is text, as for the CSV reader.
                     options = pacsv.ConvertOptions(
                         include_columns=RAW_COLUMNS,
                         column_types={c: pa.string() for c in RAW_COLUMNS},
                         strings_can_be_null=True,
+                        null_values=[""],
                     )
+                    reading = pacsv.ReadOptions(column_names=columns, skip_rows=1)
                     with zf.open(member) as stream:
-                        for part in pacsv.open_csv(stream, convert_options=options):
+                        for part in pacsv.open_csv(stream, read_options=reading, convert_options=options):
                             head = [pa.array([v] * part.num_rows, pa.string()) for v in (archive, member, None)]
                             yield pa.RecordBatch.from_arrays(head + list(part.columns), names)
-                except (zipfile.BadZipFile, pa.ArrowInvalid, UnicodeDecodeError) as exc:
+                except UNREADABLE as exc:
                     yield problem(archive, member, f"{type(exc).__name__}: {exc}")
 
 
 def extract_archives(spark: SparkSession, path: str) -> DataFrame:
     """Rows of every ``.csv`` member of every ZIP, with the archive and member they came from.
 
-    A corrupt archive or unreadable member gives one row with ``error`` set and no data.
-    Each archive is one row of the scan, so archives are spread over the cluster.
+    A corrupt archive or unreadable member gives one row with ``error`` set. Rows read before a
+    member broke are still here; :func:`extracted_rows` leaves such members out as a whole.
+    Each archive is one row of the scan and is held by one task, 2 GB at most.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
     return files.select("path", "content").mapInArrow(_rows_of_archives, EXTRACT_SCHEMA)
 
 
 def extracted_rows(extracted: DataFrame) -> DataFrame:
-    return extracted.where("error IS NULL").select(*RAW_COLUMNS)
+    """Rows of the members that were read to their end; of members with one name, those of one archive.
+
+    Archives may repeat a day. The copy in the first archive by name that could be read counts.
+    """
+    members = extracted.groupBy("member", "archive").agg(F.count("error").alias("errors"))
+    chosen = members.where("errors = 0 AND member IS NOT NULL").groupBy("member").agg(F.min("archive").alias("archive"))
+    return extracted.join(chosen, ["member", "archive"], "left_semi").select(*RAW_COLUMNS)
 
 
 def bad_inputs(extracted: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from farebox.schemas import EXTRA_STATIONS, WEATHER_SCHEMA
 from farebox.session import literal_table
+from farebox.sources.sinks import DIMS
 
 STATION_JSON = (
     "features array<struct<properties:struct<codigo_nodo_estacion:string,nombre_estacion:string>,"
@@ -39,14 +40,28 @@ def read_fuel(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dim(spark: SparkSession, path: str, value: str = "string") -> DataFrame:
-    """JSON object ``code -> value`` as rows; a missing file gives no rows."""
+    """A dimension as (codigo, valor): one JSON object ``code -> value``, or the rows that ``write_dims`` wrote.
+
+    A missing path gives no rows; text that is neither form is an error.
+    """
     schema = f"codigo long, valor {value}"
     try:
         text = spark.read.text(path, wholetext=True)
-    except AnalysisException:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    parsed = text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("codigo", "valor"))
-    return parsed.select(F.col("codigo").cast("long").alias("codigo"), "valor")
+    names = [name for _, key, column, kind in DIMS if kind == value for name in (key, column)]
+    row = "struct<" + ", ".join(f"{n}:{value if n in [d[2] for d in DIMS] else 'bigint'}" for n in dict.fromkeys(names)) + ">"
+    lines = text.where("trim(value) != ''").select(F.explode(F.split("value", r"\n(?=\{)")).alias("value"))
+    lines = lines.select("value", F.from_json("value", row).alias("r"), F.from_json("value", f"map<string,{value}>").alias("m"))
+    keys = F.coalesce(*[F.col(f"r.{d[1]}") for d in DIMS if d[3] == value])
+    values = F.coalesce(*[F.col(f"r.{d[2]}") for d in DIMS if d[3] == value])
+    from_rows = lines.where(keys.isNotNull()).select(keys.alias("codigo"), values.alias("valor"))
+    rest = lines.where(keys.isNull())
+    checked = F.coalesce("m", F.raise_error(F.concat(F.lit("not a dimension: "), F.substring("value", 1, 80))).cast(f"map<string,{value}>"))
+    from_object = rest.select(F.explode(checked).alias("codigo", "valor"))
+    return from_rows.unionByName(from_object.select(F.col("codigo").cast("long").alias("codigo"), "valor"))
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+# Dimension tables: folder, key, value and type of the value.
+DIMS = [
+    ("dim_linea", "codigo_linea", "nombre_linea", "string"),
+    ("dim_estacion", "codigo_estacion", "nombre_estacion", "string"),
+    ("linea_estaciones", "codigo_linea", "estaciones", "array<long>"),
+]
+
 
 def write_result_json(df: DataFrame, path: str) -> None:
-    """A small result table (KPIs, one row per line or station) as one JSON file."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """A small result table (KPIs, one row per line or station) as one JSON file.
+
+    The rows are gathered after they were computed, so only the result goes to one task.
+    """
+    df.repartition(1).write.mode("overwrite").json(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -16,5 +26,5 @@ def write_table(df: DataFrame, path: str) -> None:
 
 def write_dims(lines: DataFrame, stations: DataFrame, line_stations: DataFrame, path: str) -> None:
     """The three dimension tables as JSON lines below one folder."""
-    for name, df in (("dim_linea", lines), ("dim_estacion", stations), ("linea_estaciones", line_stations)):
-        write_result_json(df, f"{path}/{name}")
+    for (name, key, value, _), df in zip(DIMS, (lines, stations, line_stations)):
+        write_result_json(df.select(key, value), f"{path}/{name}")

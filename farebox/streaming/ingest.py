@@ -6,28 +6,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.operators.clean import clean
-from farebox.schemas import RAW_SCHEMA
+from farebox.operators.dims import build_dimensions, upsert_dim
+from farebox.session import materialize, scratch
 from farebox.sources.facts import write_validations
+from farebox.sources.raw import read_raw_csv
+from farebox.sources.reference import read_dim
+from farebox.sources.sinks import DIMS, write_dims
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
-def ingest_incremental(spark: SparkSession, source: str, table: str, checkpoint: str, mode: str = "parity") -> None:
+
+def refresh_dims(spark: SparkSession, named: DataFrame, folder: str) -> None:
+    """Merge the dimensions of new rows into those below ``folder``; new values win.
+
+    The merged tables are written elsewhere first, as a table can't be read and replaced at once.
+    """
+    merged = []
+    for (name, key, value, kind), new in zip(DIMS, build_dimensions(named)):
+        old = read_dim(spark, f"{folder}/{name}", kind).toDF(key, value)
+        merged.append(materialize(upsert_dim(old, new, key, value)))
+    write_dims(*merged, folder)
+
+
+def ingest_incremental(
+    spark: SparkSession, source: str, table: str, checkpoint: str, mode: str = "parity", dims: str | None = None
+) -> None:
     """Process all new CSV files below ``source`` and stop.
 
-    The stream's checkpoint is the list of finished files. Each micro-batch is cleaned as one
-    set and written under its own ``lote`` (batch number) below each day: a batch that is
-    replayed after a failure replaces exactly its own output, and a later batch for the same
-    day adds to the table instead of replacing it.
+    The stream only lists files (their content isn't read by it); its checkpoint is the list of
+    finished ones. Each micro-batch reads its files by column name, cleans them as one set and
+    writes them under its own ``carga`` below each day: a batch that is replayed after a failure
+    replaces exactly its own output. With ``dims`` the dimensions there are brought up to date,
+    which a replay repeats without effect.
     """
-    def write(batch: DataFrame, number: int) -> None:
-        rows = clean(batch, mode).withColumn("lote", F.lit(number))
-        write_validations(rows, table, extra_partitions=["lote"])
+    def process(batch: DataFrame, number: int) -> None:
+        files = [row.path for row in batch.select("path").collect()]
+        if not files:
+            return
+        with scratch(spark):
+            named = clean(read_raw_csv(spark, files), mode)
+            write_validations(named, table, load=number + 1)
+            if dims is not None:
+                refresh_dims(spark, named, dims)
 
-    stream = (
-        spark.readStream.schema(RAW_SCHEMA).option("header", True).option("enforceSchema", False)
-        .csv(source)
-    )
+    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).load(source).select(F.col("path"))
     query = (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        files.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from farebox.functions import distributions as dist
 from farebox.functions.numeric import distance_bin, distance_class, stars
 from farebox.functions.geo import haversine, project_tm
-from farebox.operators import regression, synth
+from farebox.operators import synth
 from farebox.operators.events import event_time_join, nearest_pooled, nearest_same_weekday
 from farebox.operators.regression import ols_fit
 from farebox.operators.spatial import distance_to_point, within_distance_of_lines
@@ -59,9 +59,7 @@ def sample():
 
 
 @pytest.mark.parametrize("cov", ["hc3", "nonrobust", "cluster"])
-@pytest.mark.parametrize("few", [True, False])
-def test_fixed_effects_fit(spark, sample, cov, few, monkeypatch):
-    monkeypatch.setattr(regression, "FEW_REGRESSORS", 4 if few else 0)
+def test_fixed_effects_fit(spark, sample, cov):
     for compress in (True, False):
         m = ols_fit(spark.createDataFrame(sample), "y", ["x1", "x2"], absorb="ent", cov=cov, compress=compress)
         got = m.coefficients().toPandas()
