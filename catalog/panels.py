@@ -162,14 +162,15 @@ def daily_moments(spark, sf):
 # ---- KPI tables ----
 
 def line_names(spark, sf):
-    return S.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("codigo_linea"), F.col("n_name").alias("nombre_linea")).where("n_regionkey <= 3")
+    # Keys are moved by four, so that the smallest line codes have no name.
+    return S.table(spark, sf, "nation").select((F.col("n_nationkey") + 4).cast("long").alias("codigo_linea"), F.col("n_name").alias("nombre_linea"))
 
 
 def station_names(spark, sf):
     return S.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("codigo_estacion"), F.col("s_name").alias("nombre_estacion"))
 
 
-LINE_NAME = "coalesce((SELECT n_name FROM nation WHERE n_nationkey = codigo_linea AND n_regionkey <= 3), 'Línea ' || codigo_linea)"
+LINE_NAME = "coalesce((SELECT n_name FROM nation WHERE n_nationkey + 4 = codigo_linea), 'Línea ' || codigo_linea)"
 STATION_NAME = "coalesce((SELECT s_name FROM supplier WHERE s_suppkey = codigo_estacion), 'Estación ' || codigo_estacion)"
 
 

@@ -162,18 +162,22 @@ CERCA = "CASE WHEN (codigo_estacion * 7) % 3 = 0 THEN 1 ELSE 0 END"
 
 
 def stations(facts: DataFrame) -> DataFrame:
-    """Every station of the data with coordinates in a box around the venue."""
+    """Every station of the data with coordinates: a third within some 3 km of the venue, the others in a box around it."""
     s = facts.select("codigo_estacion").distinct()
+    code, near = F.col("codigo_estacion"), F.col("codigo_estacion") % 3 == 0
     return s.select(
         "codigo_estacion",
-        (F.lit(-74.2) + ((F.col("codigo_estacion") * 53) % 100) / 400.0).alias("lon"),
-        (F.lit(4.5) + ((F.col("codigo_estacion") * 37) % 100) / 400.0).alias("lat"),
+        F.when(near, F.lit(-74.0785) + ((code * 53) % 41 - 20) / 1000.0).otherwise(F.lit(-74.2) + ((code * 53) % 100) / 400.0).alias("lon"),
+        F.when(near, F.lit(4.6476) + ((code * 37) % 43 - 21) / 1000.0).otherwise(F.lit(4.5) + ((code * 37) % 100) / 400.0).alias("lat"),
     )
 
 
 STATIONS = """stations AS (
-  SELECT codigo_estacion, -74.2::DOUBLE + ((codigo_estacion * 53) % 100) / 400.0::DOUBLE AS lon,
-         4.5::DOUBLE + ((codigo_estacion * 37) % 100) / 400.0::DOUBLE AS lat
+  SELECT codigo_estacion,
+    CASE WHEN codigo_estacion % 3 = 0 THEN -74.0785::DOUBLE + ((codigo_estacion * 53) % 41 - 20) / 1000.0::DOUBLE
+         ELSE -74.2::DOUBLE + ((codigo_estacion * 53) % 100) / 400.0::DOUBLE END AS lon,
+    CASE WHEN codigo_estacion % 3 = 0 THEN 4.6476::DOUBLE + ((codigo_estacion * 37) % 43 - 21) / 1000.0::DOUBLE
+         ELSE 4.5::DOUBLE + ((codigo_estacion * 37) % 100) / 400.0::DOUBLE END AS lat
   FROM (SELECT DISTINCT codigo_estacion FROM hourly))"""
 
 ROUTES = [

@@ -173,7 +173,7 @@ wl AS (SELECT * FROM wx JOIN bridge USING (codigo_estacion)),
 SELECT f.codigo_linea, coalesce(n_name, 'Línea ' || f.codigo_linea) AS nombre_linea, {r(f'f.b[{len(DOW_M) + 1}]')} AS b,
   {r(f'sqrt(c.v[{len(DOW_M) + 1}][{len(DOW_M) + 1}])')} AS se,
   {r(f'(exp(f.b[{len(DOW_M) + 1}] * 10) - 1) * 100', 2)} AS pct_10mm, f.n
-FROM wl_fit f JOIN wl_cov c ON f.codigo_linea = c.codigo_linea LEFT JOIN nation ON n_nationkey = f.codigo_linea AND n_regionkey <= 3
+FROM wl_fit f JOIN wl_cov c ON f.codigo_linea = c.codigo_linea LEFT JOIN nation ON n_nationkey + 4 = f.codigo_linea
 WHERE f.n >= 500""")
 def weather_by_line(spark, sf):
     from catalog.panels import line_names

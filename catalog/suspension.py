@@ -122,31 +122,47 @@ def other_units_mean(spark, sf):
     return rounded(synth.other_units_mean(S.unit_month(spark, sf), 4, "codigo_linea", "mes", "total"), "sys_mean", digits=4)
 
 
-@query(f"""WITH {NORM}, g AS (SELECT a.codigo_linea AS i, b.codigo_linea AS j, sum(a.norm * b.norm) AS v FROM norm a JOIN norm b USING (mes)
-  WHERE mes < {START} GROUP BY 1, 2) SELECT i, j, {r('v')} AS v FROM g""")
-def unit_gram(spark, sf):
-    m = synth.gram_matrix(norm(spark, sf).where(DESIGN.before), "codigo_linea", "mes", "norm")
-    rows = m.select("units", F.posexplode("gram").alias("_i", "_row")).select("units", "_i", F.posexplode("_row").alias("_j", "v"))
-    return rows.select(F.get("units", "_i").alias("i"), F.get("units", "_j").alias("j"), F.round("v", 6).alias("v"))
+GRAM = f"""{NORM}, g AS (SELECT a.codigo_linea AS i, b.codigo_linea AS j, avg(a.norm * b.norm) AS v, count(*) AS n
+  FROM norm a JOIN norm b USING (mes) WHERE mes < {START} GROUP BY 1, 2)"""
 
 
-@query()
+@query(f"WITH {GRAM} SELECT i, j, {r('v')} AS v, n FROM g")
+def unit_gram(spark, sf):
+    return rounded(synth.gram_cells(norm(spark, sf).where(DESIGN.before), "codigo_linea", "mes", "norm"), "v")
+
+
+# The best weights over the simplex solve the equations of some support with non-negative numbers: SQL
+# tries all 31 supports of the five donors and takes the smallest loss.
+_in = "(mask // CAST(pow(2, {0} - 1) AS BIGINT)) % 2 = 1".format
+WEIGHTS = f"""WITH RECURSIVE {GRAM},
+p AS (SELECT t.i AS treated, list(d.j ORDER BY d.j) AS ds, list(d.v ORDER BY d.j) AS cc FROM (SELECT DISTINCT i FROM g) t
+  JOIN g d ON d.i = t.i AND d.j <> t.i GROUP BY 1),
+gr AS (SELECT p.treated, g.i AS d, list(g.v ORDER BY g.j) AS gl FROM p JOIN g ON g.i <> p.treated AND g.j <> p.treated GROUP BY 1, 2),
+q AS (SELECT p.*, gg FROM p JOIN (SELECT treated, list(gl ORDER BY d) AS gg FROM gr GROUP BY 1) x USING (treated)),
+kkt AS (SELECT treated, ds, cc, gg, mask, 1 AS k, [[CAST(CASE
+    WHEN i <= 5 AND {_in('i')} THEN CASE WHEN j = 7 THEN cc[i] WHEN j = 6 THEN 1 WHEN {_in('j')} THEN gg[i][j] ELSE 0 END
+    WHEN i <= 5 THEN CASE WHEN i = j THEN 1 ELSE 0 END
+    WHEN j = 7 THEN 1 WHEN j = 6 THEN 0 WHEN {_in('j')} THEN 1 ELSE 0 END AS DOUBLE) for j in range(1, 8)] for i in range(1, 7)] AS m
+  FROM q, (SELECT unnest(range(1, 32)) AS mask)),
+steps AS (SELECT * FROM kkt UNION ALL SELECT treated, ds, cc, gg, mask, k + 1,
+    [[CASE WHEN i = k THEN m[k][c] / m[k][k] ELSE m[i][c] - m[i][k] * m[k][c] / m[k][k] END for c in range(1, 8)] for i in range(1, 7)]
+  FROM steps WHERE k <= 6),
+solved AS (SELECT treated, ds, cc, gg, [m[i][7] for i in range(1, 6)] AS w FROM steps WHERE k = 7),
+best AS (SELECT treated, any_value(ds) AS ds, arg_min(w, list_sum([list_sum([w[i] * w[j] * gg[i][j] for j in range(1, 6)]) - 2 * w[i] * cc[i] for i in range(1, 6)])) AS w
+  FROM solved WHERE list_min(w) >= -1e-9 GROUP BY 1),
+cut AS (SELECT treated, ds, [CASE WHEN x < 1e-4 THEN 0.0 ELSE x END for x in w] AS w FROM best),
+wts AS (SELECT treated, unnest(ds) AS donor, unnest([x / list_sum(w) for x in w]) AS w FROM cut)"""
+
+
+@query(f"{WEIGHTS} SELECT treated, donor, {r('w')} AS w FROM wts WHERE treated = 4")
 def synth_weights(spark, sf):
-    return suspension.weights(norm(spark, sf), DESIGN).withColumn("w", F.round("w", 6))
+    return rounded(suspension.weights(norm(spark, sf), DESIGN), "w")
 
 
-# With two donors the best weight has a closed form.
-@query(f"""WITH {NORM}, w AS (SELECT mes, max(norm) FILTER (codigo_linea = 4) AS y, max(norm) FILTER (codigo_linea = 0) AS a,
-  max(norm) FILTER (codigo_linea = 1) AS b FROM norm WHERE mes < {START} GROUP BY 1),
-q AS (SELECT greatest(0, least(1, sum((y - b) * (a - b)) / sum((a - b) ^ 2))) AS w FROM w)
-SELECT CAST(4 AS BIGINT) AS treated, CAST(0 AS BIGINT) AS donor, {r('w')} AS w FROM q
-UNION ALL SELECT 4, 1, {r('1 - w')} FROM q""")
-def synth_weights_two_donors(spark, sf):
-    three = norm(spark, sf).where(F.col("codigo_linea").isin(0, 1, DESIGN.treated))
-    return suspension.weights(three, DESIGN).withColumn("w", F.round("w", 6))
-
-
-@query()
+@query(f"""{WEIGHTS}, sy AS (SELECT treated, mes, sum(w * norm) AS synth FROM norm JOIN wts ON donor = codigo_linea GROUP BY 1, 2),
+rt AS (SELECT treated, sqrt(avg((n.norm - synth) ^ 2) FILTER (mes < {START})) AS pre,
+  sqrt(avg((n.norm - synth) ^ 2) FILTER (mes BETWEEN {START} AND {END})) AS post FROM norm n JOIN sy USING (mes) WHERE codigo_linea = treated GROUP BY 1)
+SELECT treated, {r('pre')} AS rmspe_pre, {r('post')} AS rmspe_post, {r('post / pre')} AS ratio FROM rt""")
 def placebo_space(spark, sf):
     n = norm(spark, sf)
     w = suspension.weights(n, DESIGN, all_units=True)
@@ -219,7 +235,7 @@ def demand_scores(spark, sf):
     rows = scenarios(spark, sf)
     training = demand.demand_features(rows).where("exito")
     scaler = materialize(demand.fit_scaler(training))
-    model = demand.fit_demand_model(training, scaler, trees=20)
+    model = demand.fit_demand_model(training, scaler)
     return demand.score_scenarios(rows.drop(demand.TARGET), model, scaler).select(
         "event_id", "prediccion_normalizada", "prediccion_entradas", "modelo_utilizado", "exito", "mensaje"
     )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from farebox.session import attach_row
+from farebox.session import attach_row, materialize
 
 MIN_WEIGHT = 1e-4  # fixed value: smaller donor weights are set to zero
 
@@ -22,53 +25,66 @@ def season_normalize(panel: DataFrame, before, unit: str, season: str, value: st
     return panel.join(means, [unit, season], "left").withColumn("norm", F.col(value) / F.col("dow_mean"))
 
 
-def gram_matrix(panel: DataFrame, unit: str, t: str, y: str) -> DataFrame:
-    """Cross products of all units over time as one row: ``units`` and ``gram`` (row lists).
+def gram_cells(panel: DataFrame, unit: str, t: str, y: str) -> DataFrame:
+    """Cross products of each pair of units as rows (i, j, v, n): ``v`` is the mean over the ``n``
+    times at which both units have a value.
 
-    Values of one time point are gathered into one row (one value per unit) and each Arrow
-    batch of time points gives a partial matrix, so no unit pairs are shuffled. Only times
-    at which every unit is present take part.
+    Every pair is averaged over its own times, so a unit with gaps doesn't shorten the others'
+    series. The values of one time are one row (one value per unit there); each Arrow batch of
+    times is a partial matrix, so what is shuffled are pairs per batch, not pairs per time.
     """
-    units = panel.agg(F.sort_array(F.collect_set(unit)).alias("units"))
-    by_time = panel.groupBy(t).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(y).cast("double").alias("y")))).alias("row")
-    )
-    wide = attach_row(by_time, units.withColumn("n", F.size("units"))).where(F.size("row") == F.col("n"))
-    wide = wide.select(F.transform("row", lambda s: s["y"]).alias("y"))
+    rows = panel.select(F.col(unit).alias("u"), F.col(t).alias("t"), F.col(y).cast("double").alias("y"))
+    rows = rows.where("u IS NOT NULL AND t IS NOT NULL AND y IS NOT NULL AND NOT isnan(y)")
+    by_time = rows.groupBy("t").agg(F.collect_list(F.struct("u", "y")).alias("row")).select("row")
+    kind = rows.schema["u"].dataType.simpleString()
 
     def partial(batches):
-        for pdf in batches:
-            if len(pdf):
-                m = np.stack(pdf["y"].to_numpy())
-                keep = ~np.isnan(m).any(axis=1)
-                g = m[keep].T @ m[keep]
-                yield pd.DataFrame({"i": np.arange(len(g)), "g": list(g)})
-
-    rows = wide.mapInPandas(partial, "i int, g array<double>")
-    cells = rows.select("i", F.posexplode("g").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    lines = cells.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s["v"]).alias("g"))
-    gram = lines.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "g"))), lambda s: s["g"]).alias("gram"))
-    return attach_row(units, gram)
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten()
+            names, number = np.unique(flat.field("u").to_numpy(zero_copy_only=False), return_inverse=True)
+            values = np.zeros((len(lists), len(names)))
+            here = np.zeros((len(lists), len(names)))
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            values[row, number], here[row, number] = flat.field("y").to_numpy(), 1.0
+            v, n = values.T @ values, (here.T @ here).astype(np.int64)
+            i, j = np.nonzero(n)
+            unit_type = flat.field("u").type
+            columns = [pa.array(names[i], unit_type), pa.array(names[j], unit_type), pa.array(v[i, j]), pa.array(n[i, j])]
+            yield pa.RecordBatch.from_arrays(columns, names=["i", "j", "v", "n"])
+
+    cells = by_time.mapInArrow(partial, f"i {kind}, j {kind}, v double, n long")
+    return cells.groupBy("i", "j").agg((F.sum("v") / F.sum("n")).alias("v"), F.sum("n").alias("n"))
 
 
 def simplex_weights(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
     """Minimise w'Gw - 2c'w over the unit simplex by an active-set method.
 
     Starts from the best single donor, adds the donor with the most negative reduced
-    gradient, and steps back to the boundary when a weight would turn negative.
+    gradient, and steps back to the boundary when a weight would turn negative. Raises if the
+    conditions of the optimum aren't reached.
     """
     j = len(cross)
     active = [int(np.argmin(np.diag(gram) - 2 * cross))]
     w = np.zeros(j)
     w[active[0]] = 1.0
     scale = max(float(np.abs(gram).max()), 1e-300)
-    for _ in range(50 * j + 50):
+    best, stuck = math.inf, 0
+    while True:
         grad = gram @ w - cross
         level = float(w @ grad)
         outside = [i for i in range(j) if i not in active]
         enter = min(outside, key=lambda i: grad[i], default=None)
         if enter is None or grad[enter] >= level - 1e-12 * scale:
             break
+        # Every step lowers the loss; rounding alone can keep it where it is.
+        loss = float(w @ gram @ w - 2 * cross @ w)
+        stuck = 0 if loss < best - 1e-15 * scale else stuck + 1
+        best = min(best, loss)
+        if stuck > j + 10:
+            if grad[enter] >= level - 1e-8 * scale:
+                break
+            raise ArithmeticError(f"donor weights did not converge: reduced gradient {grad[enter] - level:g}")
         active.append(enter)
         while True:
             k = len(active)
@@ -100,28 +116,43 @@ def simplex_weights(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
     return w / w.sum()
 
 
-def synthetic_control_weights(panel: DataFrame, unit: str, t: str, y: str, treated: list | None = None) -> DataFrame:
+def synthetic_control_weights(
+    panel: DataFrame, unit: str, t: str, y: str, treated: list | None = None, donors: int = 500
+) -> DataFrame:
     """Donor weights (treated, donor, w) from pre-intervention rows.
 
-    ``treated=None`` fits every unit against all others (placebos in space). Each treated
-    unit is one row of a repartitioned table, so the small problems run in parallel.
+    ``treated=None`` fits every unit against all others (placebos in space); each treated unit is a
+    task of its own. Its donor pool are the ``donors`` units closest to it by mean squared distance
+    (ties by code), so a task holds that many products of pairs at most; with no more units than
+    that the pool is everyone. A pair that never has values at the same time has no product: such a
+    donor is left out of the pool.
     """
-    matrix = gram_matrix(panel, unit, t, y)
+    cells = materialize(gram_cells(panel, unit, t, y))
     kind = panel.schema[unit].dataType.simpleString()
-    targets = F.col("units") if treated is None else F.array(*[F.lit(v).cast(kind) for v in treated])
-    tasks = matrix.select(F.explode(targets).alias("treated"), "units", "gram").repartition("treated")
-
-    def solve(batches):
-        for pdf in batches:
-            for rec in pdf.to_dict("records"):
-                units = list(rec["units"])
-                g = np.stack([np.asarray(r, dtype=float) for r in rec["gram"]])
-                i = units.index(rec["treated"])
-                others = [k for k in range(len(units)) if k != i]
-                w = simplex_weights(g[np.ix_(others, others)], g[others, i])
-                yield pd.DataFrame({"treated": rec["treated"], "donor": [units[k] for k in others], "w": w})
-
-    return tasks.mapInPandas(solve, f"treated {kind}, donor {kind}, w double")
+    own = cells.where("i = j").select(F.col("i").alias("u"), F.col("v").alias("square"))
+    pairs = cells.where("i != j").withColumnsRenamed({"i": "treated", "j": "donor", "v": "cross"}).drop("n")
+    if treated is not None:
+        pairs = pairs.where(F.col("treated").isin(treated))
+    pairs = pairs.join(own.withColumnsRenamed({"u": "donor", "square": "donor_square"}), "donor")
+    near = W.partitionBy("treated").orderBy(F.col("donor_square") - 2 * F.col("cross"), "donor")
+    pool = materialize(pairs.withColumn("place", F.row_number().over(near)).where(F.col("place") <= donors).drop("place"))
+    # Products among the donors of each pool: at most donors squared for every treated unit.
+    first, second = pool.select("treated", "donor", "cross"), pool.select("treated", F.col("donor").alias("other"))
+    among = first.join(second, "treated").join(cells.select(F.col("i").alias("donor"), F.col("j").alias("other"), "v"), ["donor", "other"], "left")
+
+    def solve(table: pa.Table) -> pa.Table:
+        frame = table.to_pandas().sort_values(["donor", "other"])
+        names = frame["donor"].drop_duplicates().to_numpy()
+        n = len(names)
+        gram, cross = frame["v"].to_numpy(dtype=float).reshape(n, n), frame["cross"].to_numpy(dtype=float).reshape(n, n)[:, 0]
+        while np.isnan(gram).any():  # leave out the donor that lacks the most pairs
+            keep = np.arange(len(names)) != np.isnan(gram).sum(axis=1).argmax()
+            names, gram, cross = names[keep], gram[np.ix_(keep, keep)], cross[keep]
+        w = simplex_weights(gram, cross)
+        one = pa.array([table.column("treated")[0].as_py()] * len(names), table.schema.field("treated").type)
+        return pa.table({"treated": one, "donor": pa.array(names, table.schema.field("donor").type), "w": pa.array(w)})
+
+    return among.groupBy("treated").applyInArrow(solve, f"treated {kind}, donor {kind}, w double")
 
 
 def synth_gap(panel: DataFrame, weights: DataFrame, unit: str, t: str, y: str) -> DataFrame:
@@ -175,7 +206,8 @@ def permutation_test(ratios: DataFrame, treated, limit: float = 2.0) -> DataFram
         F.max(F.when(is_t, F.col("rmspe_pre"))).alias("_pre"), F.max(F.when(is_t, F.col("ratio"))).alias("_ratio")
     )
     valid = ~is_t & (F.col("rmspe_pre") <= limit * F.col("_pre"))
-    reached = F.coalesce((F.col("ratio") >= F.col("_ratio")).cast("double"), F.lit(0.0))
+    # A placebo without a ratio (perfect fit) doesn't reach it; without one for the treated unit there is no p.
+    reached = F.when(F.col("_ratio").isNotNull(), F.coalesce((F.col("ratio") >= F.col("_ratio")).cast("double"), F.lit(0.0)))
     return attach_row(ratios, own).agg(
         F.max("_ratio").alias("ratio"),
         F.sum(valid.cast("long")).alias("n_placebos"),
