@@ -45,7 +45,7 @@ ORDER = 5
 # Entries of the model that a task holds at a time.
 SHARD_ENTRIES = 2_000_000
 # Text bytes that are scored or counted at a time; each takes some hundred bytes of arrays.
-SLICE = 1 << 20
+SLICE = 1 << 19
 # Different grams that a task gathers before it hands them on.
 GATHERED = 1_000_000
 # One in so many trusted documents sets the bounds and isn't counted.
