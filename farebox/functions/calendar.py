@@ -60,3 +60,8 @@ def day_kind(day: Column | str) -> Column:
 
 def in_hours(hour: Column | str, lo: int, hi: int) -> Column:
     return (F.col(hour) if isinstance(hour, str) else hour).between(lo, hi).cast("int")
+
+
+def with_hours(facts):
+    """Rows with ``hora_int``, taken from the clock text of the fact table where it is absent."""
+    return facts if "hora_int" in facts.columns else facts.withColumn("hora_int", hour_of_clock("hora"))

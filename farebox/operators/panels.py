@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from farebox.functions.calendar import with_hours
+
 
 def sum_by(df: DataFrame, keys: list[str], value: str = "total", name: str | None = None) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(value).alias(name or value))
@@ -28,8 +30,8 @@ def station_day(df: DataFrame, positive: bool = True) -> DataFrame:
 
 
 def station_hour(df: DataFrame, positive: bool = False) -> DataFrame:
-    """Station x day x hour totals."""
-    panel = sum_by(df, ["codigo_estacion", "fecha", "hora_int"])
+    """Station x day x hour totals, from facts with clock texts or hours."""
+    panel = sum_by(with_hours(df), ["codigo_estacion", "fecha", "hora_int"])
     return panel.where("total > 0") if positive else panel
 
 

@@ -5,23 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.functions.calendar import hour_of_clock
+from farebox.functions.calendar import with_hours
 from farebox.functions.text import dotted_thousands, hour_band
 from farebox.operators.dims import first_line_of_station, named, with_aliases
 from farebox.operators.panels import sum_by, top_overall, top_per_group
 from farebox.schemas import MANUAL_STATION_NAMES, STATION_ALIASES
-from farebox.session import literal_table
+from farebox.session import literal_table, materialize, scratch
+from farebox.sources.sinks import write_result_json
 
 LINE_FALLBACK, STATION_FALLBACK = "Línea %s", "Estación %s"
 
 
 def pre_aggregate(facts: DataFrame) -> DataFrame:
-    """Totals by line, station, date and hour: the input of every KPI.
-
-    Persist it when several KPIs are computed in one run.
-    """
-    hour = F.col("hora_int") if "hora_int" in facts.columns else hour_of_clock("hora")
-    return facts.groupBy("codigo_linea", "codigo_estacion", "fecha", hour.alias("hora_int")).agg(
+    """Totals by line, station, date and hour: the input of every KPI."""
+    return with_hours(facts).groupBy("codigo_linea", "codigo_estacion", "fecha", "hora_int").agg(
         F.sum("entradas").alias("entradas"), F.sum("salidas").alias("salidas"), F.sum("total").alias("total")
     )
 
@@ -29,7 +26,7 @@ def pre_aggregate(facts: DataFrame) -> DataFrame:
 def mean_daily(facts: DataFrame) -> DataFrame:
     """Mean of daily totals, with its dotted text (the fraction is cut, not rounded)."""
     mean = sum_by(facts, ["fecha"]).agg(F.avg("total").alias("promedio_diario"))
-    checked = F.coalesce("promedio_diario", F.raise_error(F.lit("No se encontraron datos. Ejecuta el pipeline de datos primero.")).cast("double"))
+    checked = F.coalesce("promedio_diario", F.raise_error(F.lit("sin validaciones: primero hay que cargar la tabla de hechos")).cast("double"))
     return mean.select(checked.alias("promedio_diario"), dotted_thousands(checked).alias("texto"))
 
 
@@ -39,7 +36,7 @@ def top_line(facts: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def peak_hour(facts: DataFrame) -> DataFrame:
-    top = top_overall(sum_by(facts, ["hora_int"]), "hora_int")
+    top = top_overall(sum_by(with_hours(facts), ["hora_int"]), "hora_int")
     return top.withColumn("franja", hour_band("hora_int"))
 
 
@@ -90,6 +87,26 @@ def station_stats(facts: DataFrame, line_lists: DataFrame, lines: DataFrame, ali
     return with_aliases(stats, aliases)
 
 
+KPI_TABLES = ["promedio_diario", "linea_principal", "hora_pico", "estacion_principal", "tabla_troncales", "estacion_stats"]
+
+
+def run(facts: DataFrame, lines: DataFrame, line_lists: DataFrame, stations: DataFrame, out: str) -> None:
+    """All KPI results as JSON below ``out``, one folder each (``KPI_TABLES``).
+
+    The facts are scanned once, for the pre-aggregate; it is written to the checkpoint folder, read
+    by every KPI and deleted at the end. ``lines`` and ``stations`` are (code, name), ``line_lists``
+    the stations of each line.
+    """
+    with scratch(facts.sparkSession):
+        totals = materialize(pre_aggregate(facts))
+        tables = [
+            mean_daily(totals), top_line(totals, lines), peak_hour(totals), top_station(totals, stations),
+            line_table(totals, lines, stations), station_stats(totals, line_lists, lines),
+        ]
+        for name, table in zip(KPI_TABLES, tables):
+            write_result_json(table, f"{out}/{name}")
+
+
 def period_counts(daily_weather: DataFrame) -> DataFrame:
     """Days, rainy days and their share, and mean rain of rainy and dry days."""
     rain = F.col("rain_day") == 1

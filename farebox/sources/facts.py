@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.functions.calendar import hour_of_clock
 from farebox.schemas import FACT_COLUMNS
 from farebox.sources.raw import require_columns
 
@@ -19,11 +18,6 @@ def read_validations(spark: SparkSession, path: str, columns: list[str] | None =
     return require_columns(df, wanted, path).select(*wanted)
 
 
-def with_hours(facts: DataFrame) -> DataFrame:
-    """Facts with ``hora_int``, the hour of the clock text, as the hourly panels and KPIs need it."""
-    return facts if "hora_int" in facts.columns else facts.withColumn("hora_int", hour_of_clock("hora"))
-
-
 def regroup_slots(facts: DataFrame) -> DataFrame:
     """One row for each slot where several loads brought parts of it. Sums don't need it; counts of rows do."""
     keys = ["timestamp", "fecha", "hora", "codigo_estacion"]

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from farebox.functions.calendar import holiday_type, parse_ts
 from farebox.functions.text import display_name, dotted_thousands, hour_band, normalize_name
 from farebox.operators import clean, dims
-from farebox.plans import etl
+from farebox.plans import etl, kpis
 from farebox.schemas import FACT_COLUMNS, RAW_COLUMNS
 from farebox.sources import facts, raw, reference
+from farebox.sources.sinks import DIMS
 from farebox.streaming.ingest import ingest_incremental
 
 HEADER = "Fecha_Transaccion,Tiempo,Linea,Estacion,Entradas_E,Salidas_S\n"
@@ -48,6 +49,23 @@ def test_files_with_other_columns_and_orders(spark, tmp_path):
     assert ("2025-01-16", "08:00:00", "(2)L", "(1)P", "1", "NA") in got
 
 
+def test_csv_to_kpi_files(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(HEADER + TWO_ROWS + "2025-03-05,17:45:00,(40)Zona T,(40003)Mirador,7000,1\n")
+    etl.run_from_csv(spark, src, out)
+    table = facts.read_validations(spark, f"{out}/validations")
+    names = {n: reference.read_dim(spark, f"{out}/dims/{n}").toDF(c, t) for n, c, t, k in DIMS if k == "string"}
+    lists = reference.read_dim(spark, f"{out}/dims/linea_estaciones", "array<long>").toDF("codigo_linea", "estaciones")
+    kpis.run(table, names["dim_linea"], lists, names["dim_estacion"], f"{out}/kpis")
+    read = lambda name: [r.asDict() for r in spark.read.json(f"{out}/kpis/{name}").collect()]
+    assert read("promedio_diario")[0]["promedio_diario"] == (530 + 7001) / 2
+    assert read("hora_pico") == [{"hora_int": 17, "total": 7001, "franja": "17:00 - 18:00"}]
+    assert read("linea_principal")[0]["nombre_linea"] == "Zona T" and read("estacion_principal")[0]["codigo_estacion"] == 40003
+    assert {(r["Linea"], r["total_linea"]) for r in read("tabla_troncales")} == {("Zona T", 7001), ("Zona A - Caracas", 530)}
+    assert {r["codigo_estacion"]: r["promedio_diario"] for r in read("estacion_stats")} == {9001: 300, 40003: 7000}
+
+
 def test_extra_columns_are_dropped_and_missing_ones_named(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Acceso_Estacion," + HEADER + "x," + TWO_ROWS.splitlines()[0] + "\n")
     assert raw.read_raw_csv(spark, str(tmp_path / "a.csv")).columns == RAW_COLUMNS
