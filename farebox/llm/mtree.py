@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from farebox.session import materialize
 
-SHARD_ROWS = 8192
+SHARD_ROWS = 16384
 QUERY_ROWS = 2048
-PAGE = 128
-FANOUT = 32
+PAGE = 1024
+FANOUT = 8
 
 
 def quantised(vector: str, scale: int = 256) -> Column:
@@ -48,49 +48,67 @@ def quantised(vector: str, scale: int = 256) -> Column:
 
 
 class MTree:
-    """Pages of a bulk-loaded tree over the rows of an integer matrix."""
+    """Pages of a bulk-loaded tree over the rows of an integer matrix.
+
+    Rows are kept in the order of the leaves, and in a leaf by their distance to its pivot, so what a
+    query may need of a leaf is one stretch of rows.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = PAGE):
-        self.ids, self.vectors, self.page = ids, vectors, page
-        floats = vectors.astype(np.float64)
-        norms = (floats**2).sum(axis=1)
+        self.page, self.pages = page, []
+        self._place(ids, vectors)
+        leaves: list[np.ndarray] = []
+        self.root = self._build(np.arange(len(ids)), None, leaves) if len(ids) else -1
+        order = np.concatenate(leaves) if leaves else np.zeros(0, np.int64)
+        moved = np.empty(len(order), np.int64)
+        moved[order] = np.arange(len(order))
+        self.pages = [(low, rows if low >= 0 else moved[rows], up, radius, children) for low, rows, up, radius, children in self.pages]
+        self._place(ids[order], vectors[order])
+
+    def _place(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.ids, self.vectors = ids, vectors
+        self.floats = vectors.astype(np.float64)
+        norms = (self.floats**2).sum(axis=1)
         self.top = float(norms.max(initial=0.0))
-        self.points = np.column_stack([floats, np.sqrt(np.maximum(self.top - norms, 0.0))])
-        self.squares = (self.points**2).sum(axis=1)
-        self.pages: list[tuple] = []
-        self.root = self._build(np.arange(len(ids)), None) if len(ids) else -1
+        self.last = np.sqrt(np.maximum(self.top - norms, 0.0))
+        self.squares = norms + self.last**2
 
     def _to(self, rows: np.ndarray, pivot: int) -> np.ndarray:
-        return np.sqrt(((self.points[rows] - self.points[pivot]) ** 2).sum(axis=1))
+        apart = ((self.floats[rows] - self.floats[pivot]) ** 2).sum(axis=1)
+        return np.sqrt(apart + (self.last[rows] - self.last[pivot]) ** 2)
+
+    def _build(self, rows: np.ndarray, parent: int | None, leaves: list[np.ndarray]) -> int:
+        """Add the page over ``rows`` below the pivot ``parent``; its number.
 
-    def _build(self, rows: np.ndarray, parent: int | None) -> int:
-        """Add the page over ``rows`` below the pivot ``parent``; its number."""
-        to_parent = self._to(rows, parent) if parent is not None else np.full(len(rows), np.nan)
+        A page is (first row of a leaf or -1, pivots or number of rows, distances to the parent's pivot, radii, children).
+        """
+        to_parent = self._to(rows, parent) if parent is not None else np.zeros(len(rows))
         if len(rows) <= self.page:
-            self.pages.append((True, rows, to_parent, None, None))
+            by = np.argsort(to_parent, kind="stable")
+            self.pages.append((sum(map(len, leaves)), len(rows), to_parent[by], None, None))
+            leaves.append(rows[by])
             return len(self.pages) - 1
-        pivots = self._pivots(rows)
+        pivots = self._pivots(rows, min(FANOUT, -(-len(rows) // self.page)))
         # Products stand in for distances: all points have the same norm.
-        near = (self.points[rows] @ self.points[pivots].T).argmax(axis=1)
+        near = (self.floats[rows] @ self.floats[pivots].T + np.outer(self.last[rows], self.last[pivots])).argmax(axis=1)
         groups = [rows[near == k] for k in range(len(pivots))]
         if max(map(len, groups)) == len(rows):
             # Equal vectors can't be told apart; they are cut in the order they have.
-            groups = [rows[k : k + self.page] for k in range(0, len(rows), self.page)]
-            groups = groups if len(groups) <= FANOUT else np.array_split(rows, FANOUT)
+            groups = np.array_split(rows, min(FANOUT, -(-len(rows) // self.page)))
             pivots = [g[0] for g in groups]
         entries = [(p, g) for p, g in zip(pivots, groups) if len(g)]
         pivots = np.array([p for p, _ in entries])
         radius = np.array([self._to(g, p).max() for p, g in entries])
-        children = np.array([self._build(g, p) for p, g in entries])
-        up = self._to(pivots, parent) if parent is not None else np.full(len(pivots), np.nan)
-        self.pages.append((False, pivots, up, radius, children))
+        children = np.array([self._build(g, p, leaves) for p, g in entries])
+        up = self._to(pivots, parent) if parent is not None else np.zeros(len(pivots))
+        self.pages.append((-1, pivots, up, radius, children))
         return len(self.pages) - 1
 
-    def _pivots(self, rows: np.ndarray) -> np.ndarray:
+    def _pivots(self, rows: np.ndarray, count: int) -> np.ndarray:
         """Rows far from each other: always the one farthest from those chosen."""
         sample = rows[:: max(1, len(rows) // 512)]
         chosen, nearest = [sample[0]], self._to(sample, sample[0])
-        while len(chosen) < FANOUT and nearest.max() > 0:
+        while len(chosen) < max(2, count) and nearest.max() > 0:
             chosen.append(sample[nearest.argmax()])
             nearest = np.minimum(nearest, self._to(sample, chosen[-1]))
         return np.array(chosen)
@@ -102,6 +120,7 @@ class MTree:
             return [], 0
         q = query.astype(np.float64)
         square = float((q**2).sum())
+        exact = math.sqrt(square * self.top) < 2**52  # sums of products are whole doubles
         margin = 1e-6 * (1.0 + math.sqrt(square + self.top))
         reach, computed = math.inf, 0
         heap = [(0.0, self.root, math.nan)]
@@ -109,47 +128,56 @@ class MTree:
             low, number, above = heapq.heappop(heap)
             if low > reach:
                 break
-            leaf, rows, up, radius, children = self.pages[number]
-            possible = np.ones(len(rows), bool)
-            if above == above and reach < math.inf:
-                possible = np.abs(above - up) - (0.0 if leaf else radius) <= reach
-                rows = rows[possible]
-            computed += len(rows)
-            if leaf:
-                scores = self.vectors[rows] @ query
-                ids = self.ids[rows]
-                if len(best) == k:
-                    keep = scores >= best[0][0]
-                    scores, ids = scores[keep], ids[keep]
-                for score, i in zip(scores.tolist(), ids.tolist()):
-                    if i == own:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (score, -i))
-                    elif (score, -i) > best[0]:
-                        heapq.heapreplace(best, (score, -i))
+            first, rows, up, radius, children = self.pages[number]
+            bounded = above == above and reach < math.inf
+            if first >= 0:
+                a, b = 0, rows
+                if bounded:
+                    a, b = np.searchsorted(up, [above - reach, above + reach])
+                    b = int(np.searchsorted(up, above + reach, "right"))
+                a, b = first + int(a), first + b
+                computed += b - a
+                scores = self.floats[a:b] @ q if exact else self.vectors[a:b] @ query
+                self._offer(best, scores, self.ids[a:b], own, k)
                 if len(best) == k:
                     reach = math.sqrt(max(square + self.top - 2.0 * best[0][0], 0.0)) + margin
                 continue
-            squares = square + self.squares[rows] - 2.0 * (self.points[rows, :-1] @ q)
-            distance = np.sqrt(np.maximum(squares, 0.0))
-            lows = np.maximum(distance - radius[possible] - margin, 0.0)
-            for low_, d, child in zip(lows.tolist(), distance.tolist(), children[possible].tolist()):
+            if bounded:
+                possible = np.abs(above - up) - radius <= reach
+                rows, radius, children = rows[possible], radius[possible], children[possible]
+            computed += len(rows)
+            distance = np.sqrt(np.maximum(square + self.squares[rows] - 2.0 * (self.floats[rows] @ q), 0.0))
+            lows = np.maximum(distance - radius - margin, 0.0)
+            for low_, d, child in zip(lows.tolist(), distance.tolist(), children.tolist()):
                 if low_ <= reach:
                     heapq.heappush(heap, (low_, child, d))
         return sorted((-s, -i) for s, i in best), computed
 
+    @staticmethod
+    def _offer(best: list, scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> None:
+        least = best[0][0] if len(best) == k else -math.inf
+        if len(scores) > k + 1:
+            least = max(least, np.partition(scores, -k - 1)[-k - 1])  # k of them, and the query's own row
+        at = np.flatnonzero(scores >= least)
+        for score, i in zip(scores[at].tolist(), ids[at].tolist()):
+            entry = (int(score), -i)
+            if i == own:
+                continue
+            if len(best) < k:
+                heapq.heappush(best, entry)
+            elif entry > best[0]:
+                heapq.heapreplace(best, entry)
+
     def dump(self) -> bytes:
-        return pickle.dumps((self.ids, self.vectors.astype(np.int32), self.top, self.pages, self.root, self.page))
+        low, high = int(self.vectors.min(initial=0)), int(self.vectors.max(initial=0))
+        kind = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+        return pickle.dumps((self.ids, self.vectors.astype(kind), self.pages, self.root, self.page))
 
     @staticmethod
     def load(data: bytes) -> MTree:
         tree = MTree.__new__(MTree)
-        tree.ids, small, tree.top, tree.pages, tree.root, tree.page = pickle.loads(data)
-        tree.vectors = small.astype(np.int64)
-        floats = tree.vectors.astype(np.float64)
-        tree.points = np.column_stack([floats, np.sqrt(np.maximum(tree.top - (floats**2).sum(axis=1), 0.0))])
-        tree.squares = (tree.points**2).sum(axis=1)
+        ids, small, tree.pages, tree.root, tree.page = pickle.loads(data)
+        tree._place(ids, small.astype(np.int64))
         return tree
 
 

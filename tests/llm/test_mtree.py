@@ -30,23 +30,31 @@ def test_tree_keeps_its_bounds_and_saves_distances():
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(40, 8)) * 200
     vectors = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 8))).astype(np.int64)
-    tree = mt.MTree(np.arange(4000), vectors)
+    tree = mt.MTree(np.arange(4000), vectors, 128)
 
     def below(number):
-        leaf, rows, _, _, children = tree.pages[number]
-        return rows if leaf else np.concatenate([below(c) for c in children])
+        first, rows, _, _, children = tree.pages[number]
+        return np.arange(first, first + rows) if first >= 0 else np.concatenate([below(c) for c in children])
 
     assert sorted(below(tree.root)) == list(range(4000))
-    for leaf, rows, _, radius, children in tree.pages:
-        if not leaf:
+    for first, rows, _, radius, children in tree.pages:
+        if first < 0:
             for p, r, c in zip(rows, radius, children):
-                under = below(c)
+                under, child = below(c), tree.pages[c]
                 assert (tree._to(under, p) <= r + 1e-9).all()
-                assert np.allclose(tree.pages[c][2], tree._to(tree.pages[c][1], p))
+                assert np.allclose(child[2], tree._to(under if child[0] >= 0 else child[1], p))
     computed = [tree.search(vectors[q], q, 5)[1] for q in range(0, 4000, 100)]
     assert np.mean(computed) < 2000
 
 
+def test_large_components_stay_exact():
+    rng = np.random.default_rng(1)
+    vectors = rng.integers(-(2**30), 2**30, (50, 3))
+    tree = mt.MTree.load(mt.MTree(np.arange(50), vectors, 4).dump())
+    for q in range(50):
+        assert tree.search(vectors[q], q, 5)[0] == brute(np.arange(50), vectors, vectors[q], q, 5)
+
+
 @pytest.mark.parametrize("sizes", [(8192, 2048), (7, 3)])
 def test_frames(spark, sizes):
     rng = np.random.default_rng(5)
