@@ -99,12 +99,46 @@ def ols_ctes(source: str, xs: list[str], y: str, by: list[str] = (), absorb: str
     return ctes
 
 
-def coef_select(name: str, i: int, by: list[str] = (), extra: str = "", critical: float = 1.959963984540054) -> str:
-    """b, se, lo and hi of term ``i`` (from 1), rounded; null where the term was not kept."""
+def p_z(z: str) -> str:
+    """Two-sided tail of the normal law: one less the error function, by its series of positive terms."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    term = f"exp((2 * j + 1) * ln({x}) - lgamma(j + 1.5) - {x} * {x})"
+    return f"CASE WHEN {z} = 0 THEN 1.0 WHEN abs({z}) > 9 THEN 0.0 ELSE greatest(0.0, 1 - list_sum([{term} for j in range(0, 200)])) END"
+
+
+def p_t(t: str, df: str) -> str:
+    """Two-sided tail of the t law: the incomplete beta function, from the end where its series is short."""
+    square, half = f"({t}) * ({t})", f"(({df}) / 2.0)"
+
+    def series(a: str, b: str, u: str, v: str) -> str:
+        # I_u(a, b) = u^a v^b / (a B(a, b)) * sum of (a + b)_j / (a + 1)_j u^j
+        log = f"{a} * ln({u}) + {b} * ln({v}) + lgamma({a} + {b} + j) - lgamma({a} + 1 + j) - lgamma({b}) + j * ln({u})"
+        return f"list_sum([exp({log}) for j in range(0, 400)])"
+
+    u, v = f"({df}) / (({df}) + {square})", f"{square} / (({df}) + {square})"
+    return (
+        f"CASE WHEN ({df}) <= 0 THEN NULL WHEN {t} = 0 THEN 1.0 WHEN {square} >= ({df}) THEN {series(half, '0.5', u, v)} "
+        f"WHEN abs({t}) > 15 THEN 0.0 ELSE greatest(0.0, 1 - {series('0.5', half, v, u)}) END"
+    )
+
+
+def stars_sql(p: str, none: str) -> str:
+    return f"CASE WHEN {p} < 0.01 THEN '***' WHEN {p} < 0.05 THEN '**' WHEN {p} < 0.1 THEN '*' ELSE '{none}' END"
+
+
+def coef_select(name: str, i: int, by: list[str] = (), extra: str = "", critical: float = 1.959963984540054, df: str | None = None) -> str:
+    """b, se, lo, hi and p of term ``i`` (from 1), rounded; null where the term was not kept.
+
+    p follows the normal law, or the t law with n less the kept terms less ``df`` degrees of freedom.
+    """
+    stat = f"f.b[{i}] / sqrt(c.v[{i}][{i}])"
+    tail = p_z("s") if df is None else p_t("s", "d")
+    free = "NULL" if df is None else f"f.n - len(list_filter(f.kept, lambda t: t)) - {df}"
+    p = f"CASE WHEN f.kept[{i}] AND c.v[{i}][{i}] > 0 THEN (SELECT {r(tail)} FROM (SELECT {stat} AS s, {free} AS d)) END"
     on = " AND ".join(f"f.{k} = c.{k}" for k in by) or "true"
     keys = "".join(f"f.{k}, " for k in by)
     return f"""SELECT {keys}{extra}CASE WHEN f.kept[{i}] THEN {r(f'f.b[{i}]')} END AS b,
   CASE WHEN f.kept[{i}] THEN {r(f'sqrt(c.v[{i}][{i}])')} END AS se,
   CASE WHEN f.kept[{i}] THEN {r(f'f.b[{i}] - {critical} * sqrt(c.v[{i}][{i}])')} END AS lo,
-  CASE WHEN f.kept[{i}] THEN {r(f'f.b[{i}] + {critical} * sqrt(c.v[{i}][{i}])')} END AS hi, f.n
+  CASE WHEN f.kept[{i}] THEN {r(f'f.b[{i}] + {critical} * sqrt(c.v[{i}][{i}])')} END AS hi, {p} AS p, f.n
 FROM {name}_fit f JOIN {name}_cov c ON {on}"""

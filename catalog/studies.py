@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import standins as S
 from catalog.panels import DIST, PANEL, PRICE, distances, price_frame, rounded, weather_panel
-from catalog.sqltools import coef_select, ols_ctes, r
+from catalog.sqltools import coef_select, ols_ctes, p_z, r, stars_sql
 from farebox.operators import events as E
 from farebox.operators import panels as P
 from farebox.operators.dims import line_stations
@@ -89,14 +89,15 @@ def offset_select(name, first, prefix=""):
     return f"""SELECT CAST(k AS INTEGER) AS k, CASE WHEN i = 0 THEN 0.0 WHEN f.kept[i] THEN {r('f.b[i]')} END AS b,
   CASE WHEN i = 0 THEN 0.0 WHEN f.kept[i] THEN {r(f'f.b[i] - {z} * sqrt(c.v[i][i])')} END AS lo,
   CASE WHEN i = 0 THEN 0.0 WHEN f.kept[i] THEN {r(f'f.b[i] + {z} * sqrt(c.v[i][i])')} END AS hi,
+  CASE WHEN i <> 0 AND f.kept[i] AND c.v[i][i] > 0 THEN (SELECT {r(p_z('s'))} FROM (SELECT f.b[i] / sqrt(c.v[i][i]) AS s)) END AS p,
   CASE WHEN i = 0 THEN 0.0 WHEN f.kept[i] THEN {r('(exp(f.b[i]) - 1) * 100', 4)} END AS pct
 FROM {name}_fit f, {name}_cov c, (VALUES {rows}) t(k, i)"""
 
 
 @query(f"WITH RECURSIVE {EVENT_DAYS}, {ols_ctes('off', DOW_M + TERMS, 'log_total')} {offset_select('ols', len(DOW_M) + 1)}")
 def daily_event_study(spark, sf):
-    out = hol.event_study_daily(*day_and_holidays(spark, sf)).select("k", "b", "lo", "hi", "pct")
-    return rounded(out, "b", "lo", "hi").withColumn("pct", F.round("pct", 4))
+    out = hol.event_study_daily(*day_and_holidays(spark, sf)).select("k", "b", "lo", "hi", "p", "pct")
+    return rounded(out, "b", "lo", "hi", "p").withColumn("pct", F.round("pct", 4))
 
 
 PRE = [E.offset_name(k) for k in range(-5, -1)]
@@ -125,8 +126,8 @@ sub AS (SELECT t.fecha, ln(t.total) AS log_total, {offsets_sql(KIND + " = 'lun_'
 @query(f"""WITH RECURSIVE {SUB}, lun AS ({offset_select('sg', len(DOW_M) + 1, 'lun_')}), mid AS ({offset_select('sg', len(DOW_M) + 1 + len(LUN), 'mid_')})
 SELECT 'lunes_puente' AS tipo, * FROM lun UNION ALL SELECT 'mitad_semana', * FROM mid""")
 def event_study_subgroups(spark, sf):
-    out = hol.event_study_subgroups(*day_and_holidays(spark, sf)).select("tipo", "k", "b", "lo", "hi", "pct")
-    return rounded(out, "b", "lo", "hi").withColumn("pct", F.round("pct", 4))
+    out = hol.event_study_subgroups(*day_and_holidays(spark, sf)).select("tipo", "k", "b", "lo", "hi", "p", "pct")
+    return rounded(out, "b", "lo", "hi", "p").withColumn("pct", F.round("pct", 4))
 
 
 def _pos(term):
@@ -153,15 +154,15 @@ _wx_fits = ", ".join(
     for rain, n in _wx_terms
 )
 _wx_rows = " UNION ALL ".join(
-    coef_select(n, len(DOW_M) + i, extra=f"'{rain}' AS modelo, '{t}' AS term, ", critical=1.96)
+    coef_select(n, len(DOW_M) + i, extra=f"'{rain}' AS modelo, '{t}' AS term, ", critical=1.96, df="(SELECT count(DISTINCT codigo_estacion) FROM wx)")
     for rain, n in _wx_terms for i, t in ((1, rain), (2, "temp_mean"))
 )
 
 
 @query(f"WITH RECURSIVE {WX}, {_wx_fits} {_wx_rows}")
 def weather_fe(spark, sf):
-    out = weather_plan.weather_effect(weather_panel(spark, sf)).select("modelo", "term", "b", "se", "lo", "hi", "n")
-    return rounded(out, "b", "se", "lo", "hi")
+    out = weather_plan.weather_effect(weather_panel(spark, sf)).select("modelo", "term", "b", "se", "lo", "hi", "p", "n")
+    return rounded(out, "b", "se", "lo", "hi", "p")
 
 
 BYLINE = f"""{WX}, bridge AS (SELECT DISTINCT codigo_linea, codigo_estacion FROM daily),
@@ -190,15 +191,15 @@ PRICE_X = ["log_precio", "trend", "n_festivos"]
 @query(f"""WITH RECURSIVE {PRICE}, {ols_ctes('price', PRICE_X, 'log_val', name='pa')}, {ols_ctes('price', PRICE_X, 'log_val_d', name='pb')}
 {' UNION ALL '.join(coef_select(n, i, extra=f"'{y}' AS modelo, '{t}' AS term, ") for n, y in (('pa', 'log_val'), ('pb', 'log_val_d')) for i, t in enumerate(PRICE_X, 1))}""")
 def price_ols(spark, sf):
-    out = fuel_plan.monthly_price_ols(price_frame(spark, sf)).select("modelo", "term", "b", "se", "lo", "hi", "n")
-    return rounded(out, "b", "se", "lo", "hi")
+    out = fuel_plan.monthly_price_ols(price_frame(spark, sf)).select("modelo", "term", "b", "se", "lo", "hi", "p", "n")
+    return rounded(out, "b", "se", "lo", "hi", "p")
 
 
 @query(f"WITH RECURSIVE {PRICE}, {ols_ctes('diff', ['d_log_precio'], 'd_log_val_d', name='pd')} "
-       + coef_select("pd", 1, extra="'d_log_precio' AS term, "))
+       + f"SELECT *, {stars_sql('p', 'ns')} AS sig FROM (" + coef_select("pd", 1, extra="'d_log_precio' AS term, ") + ")")
 def price_diff_ols(spark, sf):
-    out = fuel_plan.first_difference_ols(price_frame(spark, sf)).select("term", "b", "se", "lo", "hi", "n")
-    return rounded(out, "b", "se", "lo", "hi")
+    out = fuel_plan.first_difference_ols(price_frame(spark, sf)).select("term", "b", "se", "lo", "hi", "p", "n", "sig")
+    return rounded(out, "b", "se", "lo", "hi", "p")
 
 
 @query(f"""WITH RECURSIVE {PRICE}, {ols_ctes('price', PRICE_X, 'log_val', cov='nonrobust', name='pv')}
@@ -227,11 +228,11 @@ def hpanel(weekday):
 
 def did_sql(base, source, x, controls, spec, name="did"):
     fit = ols_ctes(source, controls + [x], "log_total", absorb="codigo_estacion", cov="cluster", cluster="codigo_estacion", name=name)
-    return f"WITH RECURSIVE {base}, {fit} " + coef_select(name, len(controls) + 1, extra=f"'{spec}' AS spec, '{x}' AS term, ", critical=1.96)
+    return f"WITH RECURSIVE {base}, {fit} " + coef_select(name, len(controls) + 1, extra=f"'{spec}' AS spec, '{x}' AS term, ", critical=1.96, df=f"(SELECT count(DISTINCT codigo_estacion) FROM {source})")
 
 
 def did_out(df):
-    return rounded(df.select("spec", "term", "b", "se", "lo", "hi", "n"), "b", "se", "lo", "hi")
+    return rounded(df.select("spec", "term", "b", "se", "lo", "hi", "p", "n"), "b", "se", "lo", "hi", "p")
 
 
 @query(did_sql(DPANEL, "dp", "cerca_x_sunday", DOW_M, "domingo x cerca"))
@@ -464,18 +465,18 @@ def hourly_fit_sql(base, source, by, min_rows=6, min_treated=0, cov="hc3", dense
     keys = ", ".join(by)
     sizes = f"""sz AS (SELECT {keys}, count(*) AS rws, sum(event_d) AS trt, count(DISTINCT event_d) AS lv FROM {source} GROUP BY {keys})"""
     coef = f"co AS ({coef_select('ev', 1, by)})"
-    cols = f"co.b, co.se, {'co.lo, co.hi, ' if bands else ''}{r('(exp(fb) - 1) * 100', 4)} AS pct, co.n"
+    cols = f"co.b, co.se, {'co.lo, co.hi, co.p, ' if bands else ''}{r('(exp(fb) - 1) * 100', 4)} AS pct, co.n"
     raw = f"raw AS (SELECT {keys}, CASE WHEN kept[1] THEN b[1] END AS fb FROM ev_fit)"
     body = f"""SELECT {', '.join('co.' + k for k in by)}, {cols} FROM co JOIN sz USING ({keys}) JOIN raw USING ({keys})
 WHERE rws >= {min_rows} AND trt >= {min_treated} AND lv = 2"""
     head = f"WITH RECURSIVE {base}, {fit}, {sizes}, {coef}, {raw}"
     if dense:
-        return f"{head}, res AS ({body}) SELECT CAST(h AS INTEGER) AS hora_int, b, se, lo, hi, pct, n FROM range(24) t(h) LEFT JOIN res ON hora_int = h"
+        return f"{head}, res AS ({body}) SELECT CAST(h AS INTEGER) AS hora_int, b, se, lo, hi, p, pct, n FROM range(24) t(h) LEFT JOIN res ON hora_int = h"
     return f"{head} {body}"
 
 
 def hourly_out(df, by, bands=True):
-    cols = ["b", "se", *(["lo", "hi"] if bands else [])]
+    cols = ["b", "se", *(["lo", "hi", "p"] if bands else [])]
     return rounded(df.select(*by, *cols, "pct", "n"), *cols).withColumn("pct", F.round("pct", 4))
 
 
