@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def registry() -> dict:
-    from catalog import cleaning, panels, studies, suspension
+    from catalog import cleaning, panels, roundtrips, studies, suspension
 
     merged = {}
-    for module in (cleaning, panels, studies, suspension):
+    for module in (cleaning, panels, roundtrips, studies, suspension):
         merged.update(module.QUERIES)
     return merged

@@ -204,29 +204,38 @@ def scenarios(spark, sf):
     )
 
 
-@query("""WITH e AS (SELECT *, upper('abcdefghjkltXY'[(user_id % 14) + 1]) AS z FROM events)
-SELECT event_id, z AS letra_zona, z IN ('A','B','C','D','E','F','G','H','J','K','L','T') AS exito,
-  CASE WHEN z IN ('X', 'Y') THEN 'Zona ''' || z || ''' no válida. Use: [''A'', ''B'', ''C'', ''D'', ''E'', ''F'', ''G'', ''H'', ''J'', ''K'', ''L'', ''T'']' ELSE '' END AS mensaje,
-  CASE WHEN z NOT IN ('X', 'Y') THEN CAST(hour(ts) AS DOUBLE) END AS "Hora",
-  CASE WHEN z NOT IN ('X', 'Y') THEN CAST(second(ts) AS DOUBLE) END AS "Segundo",
-  CASE WHEN z NOT IN ('X', 'Y') THEN CASE WHEN z = 'A' THEN 1.0 ELSE 0.0 END::DOUBLE END AS "Letra_A",
-  CASE WHEN z NOT IN ('X', 'Y') THEN CASE WHEN z = 'T' THEN 1.0 ELSE 0.0 END::DOUBLE END AS "Letra_T",
-  CASE WHEN z NOT IN ('X', 'Y') THEN round(4.5::DOUBLE + ((user_id * 37) % 100) / 400.0::DOUBLE, 6) END AS lat
-FROM e""")
+_ZONES = demand.ZONE_LETTERS
+_EVENTS = """e AS (SELECT *, upper('abcdefghjkltXY'[(user_id % 14) + 1]) AS z, 4.5::DOUBLE + ((user_id * 37) % 100) / 400.0::DOUBLE AS lat,
+  -74.2::DOUBLE + ((user_id * 53) % 100) / 400.0::DOUBLE AS lon FROM events)"""
+_FEATURE_SQL = {
+    "Mes": "month(ts)", "Día": "day(ts)", "Hora": "hour(ts)", "Minuto": "minute(ts)", "Segundo": "second(ts)",
+    **{f"Letra_{z}": f"CASE WHEN z = '{z}' THEN 1.0 ELSE 0.0 END" for z in _ZONES}, "lat": "lat", "lon": "lon",
+}
+_known = f"z IN ({', '.join(repr(z) for z in _ZONES)})"
+_message = "'Zona ''' || z || ''' no válida. Use: [" + ", ".join(f"''{z}''" for z in _ZONES) + "]'"
+
+
+@query(f"WITH {_EVENTS} SELECT event_id, z AS letra_zona, {_known} AS exito, CASE WHEN {_known} THEN '' ELSE {_message} END AS mensaje, "
+       + ", ".join(f'CASE WHEN {_known} THEN round(CAST({x} AS DOUBLE), 6) END AS "{c}"' for c, x in _FEATURE_SQL.items()) + " FROM e")
 def demand_features(spark, sf):
     out = demand.demand_features(scenarios(spark, sf))
-    return out.select("event_id", "letra_zona", "exito", "mensaje", "Hora", "Segundo", "Letra_A", "Letra_T", F.round("lat", 6).alias("lat"))
+    return rounded(out.select("event_id", "letra_zona", "exito", "mensaje", *demand.FEATURES), *demand.FEATURES)
 
 
-@query("""WITH e AS (SELECT *, upper('abcdefghjkltXY'[(user_id % 14) + 1]) AS z, 4.5::DOUBLE + ((user_id * 37) % 100) / 400.0::DOUBLE AS lat FROM events),
-s AS (SELECT event_id, CAST(hour(ts) AS DOUBLE) AS h, lat, floor(value) AS v FROM e WHERE z NOT IN ('X', 'Y'))
-SELECT event_id, round((h - min(h) OVER ()) / (max(h) OVER () - min(h) OVER ()), 6) + 0.0 AS "Hora",
-  round((lat - min(lat) OVER ()) / (max(lat) OVER () - min(lat) OVER ()), 6) + 0.0 AS lat,
-  round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) + 0.0 AS "Entradas" FROM s""")
+_SCALED = {**_FEATURE_SQL, demand.TARGET: "floor(value)"}
+
+
+def _scaled_sql(c):
+    low, high = f'min("{c}") OVER ()', f'max("{c}") OVER ()'
+    return f'round(CASE WHEN {high} > {low} THEN ("{c}" - {low}) / ({high} - {low}) ELSE "{c}" - {low} END, 6) + 0.0 AS "{c}"'
+
+
+@query(f"""WITH {_EVENTS}, s AS (SELECT event_id, {', '.join(f'CAST({x} AS DOUBLE) AS "{c}"' for c, x in _SCALED.items())} FROM e WHERE {_known})
+SELECT event_id, {', '.join(map(_scaled_sql, _SCALED))} FROM s""")
 def demand_scaled(spark, sf):
     feats = demand.demand_features(scenarios(spark, sf)).where("exito")
-    cols = ["Hora", "lat", demand.TARGET]
-    out = demand.minmax_scale(feats, demand.fit_scaler(feats, cols), cols)
+    cols = [*demand.FEATURES, demand.TARGET]
+    out = demand.minmax_scale(feats, demand.fit_scaler(feats), cols)
     return rounded(out.select("event_id", *cols), *cols)
 
 

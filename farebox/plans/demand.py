@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from farebox.schemas import MAX_DEMAND_FALLBACK, ZONE_LETTERS
 from farebox.session import attach_row
 
+# ---- fixed values: names, order and defaults the published model was trained with ----
 LETTER_COLUMNS = [f"Letra_{z}" for z in ZONE_LETTERS]
 FEATURES = ["Mes", "Día", "Hora", "Minuto", "Segundo", *LETTER_COLUMNS, "lat", "lon"]
 TARGET = "Entradas"

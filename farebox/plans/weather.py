@@ -17,7 +17,8 @@ MIN_LINE_ROWS = 500
 def weather_panel(facts: DataFrame, weather: DataFrame, holidays: DataFrame) -> DataFrame:
     """Positive station-days outside holidays with the weather of the day and log demand."""
     off = holidays.select(F.col("date").alias("fecha")).distinct()
-    panel = station_day(facts.join(off, "fecha", "left_anti"))
+    # Days are left out of the panel: it has far fewer rows than the facts.
+    panel = station_day(facts).join(off, "fecha", "left_anti")
     return panel.join(daily_weather(weather), "fecha", "left").withColumn("log_total", F.log("total"))
 
 

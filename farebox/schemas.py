@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# ---- fixed values: column names of the published files and of the fact table ----
 RAW_COLUMNS = ["Fecha_Transaccion", "Tiempo", "Linea", "Estacion", "Entradas_E", "Salidas_S"]
 SLOT_KEYS = ["Fecha_Transaccion", "Tiempo", "Estacion"]
 FACT_COLUMNS = [

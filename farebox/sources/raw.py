@@ -117,7 +117,11 @@ def extract_archives(spark: SparkSession, path: str) -> DataFrame:
     member broke are still here; :func:`extracted_rows` leaves such members out as a whole.
     Each archive is one row of the scan and is held by one task, 2 GB at most.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    return extract_from(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path))
+
+
+def extract_from(files: DataFrame) -> DataFrame:
+    """As :func:`extract_archives` for archives held as rows (path, content)."""
     return files.select("path", "content").mapInArrow(_rows_of_archives, EXTRACT_SCHEMA)
 
 
