@@ -106,22 +106,28 @@ def p_z(z: str) -> str:
     return f"CASE WHEN {z} = 0 THEN 1.0 WHEN abs({z}) > 9 THEN 0.0 ELSE greatest(0.0, 1 - list_sum([{term} for j in range(0, 200)])) END"
 
 
-def p_t(t: str, df: str) -> str:
-    """Two-sided tail of the t law: the incomplete beta function, from the end where its series is short."""
-    square, half = f"({t}) * ({t})", f"(({df}) / 2.0)"
+def p_f(f: str, q: str, df: str) -> str:
+    """Upper tail of the F law: the incomplete beta function, from the end where its series is short."""
+    half, less = f"(({df}) / 2.0)", f"(({q}) / 2.0)"
 
     def series(a: str, b: str, u: str, v: str) -> str:
         # I_u(a, b) = u^a v^b / (a B(a, b)) * sum of (a + b)_j / (a + 1)_j u^j
         log = f"{a} * ln({u}) + {b} * ln({v}) + lgamma({a} + {b} + j) - lgamma({a} + 1 + j) - lgamma({b}) + j * ln({u})"
         return f"list_sum([exp({log}) for j in range(0, 400)])"
 
-    u, v = f"({df}) / (({df}) + {square})", f"{square} / (({df}) + {square})"
+    top = f"(({q}) * ({f}))"
+    u, v = f"({df}) / (({df}) + {top})", f"{top} / (({df}) + {top})"
     return (
-        f"CASE WHEN ({df}) <= 0 THEN NULL WHEN {t} = 0 THEN 1.0 WHEN {square} >= ({df}) THEN {series(half, '0.5', u, v)} "
-        f"WHEN abs({t}) > 15 THEN 0.0 ELSE greatest(0.0, 1 - {series('0.5', half, v, u)}) END"
+        f"CASE WHEN ({df}) <= 0 OR ({f}) IS NULL THEN NULL WHEN ({f}) <= 0 THEN 1.0 WHEN {top} >= ({df}) THEN {series(half, less, u, v)} "
+        f"WHEN {top} > 225 THEN 0.0 ELSE greatest(0.0, 1 - {series(less, half, v, u)}) END"
     )
 
 
+def p_t(t: str, df: str) -> str:
+    """Two-sided tail of the t law."""
+    return p_f(f"({t}) * ({t})", "1", df)
+
+
 def stars_sql(p: str, none: str) -> str:
     return f"CASE WHEN {p} < 0.01 THEN '***' WHEN {p} < 0.05 THEN '**' WHEN {p} < 0.1 THEN '*' ELSE '{none}' END"
 

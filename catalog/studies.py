@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import standins as S
 from catalog.panels import DIST, PANEL, PRICE, distances, price_frame, rounded, weather_panel
-from catalog.sqltools import coef_select, ols_ctes, p_z, r, stars_sql
+from catalog.sqltools import coef_select, ols_ctes, p_f, p_t, p_z, r, stars_sql
 from farebox.operators import events as E
 from farebox.operators import panels as P
 from farebox.operators.dims import line_stations
@@ -106,12 +106,13 @@ F_SQL = f"""WITH RECURSIVE {EVENT_DAYS},
 {ols_ctes('off', DOW_M + [t for t in TERMS if t not in PRE], 'log_total', cov='nonrobust', name='small')},
 k AS (SELECT f.n - len(list_filter(f.kept, lambda t: t)) - 1 AS df, len(list_filter(f.kept, lambda t: t)) - len(list_filter(s.kept, lambda t: t)) AS q
   FROM full_fit f, small_fit s)
-SELECT CAST(q AS INTEGER) AS q, df AS df_resid, {r('((b.rss - a.rss) / q) / (a.rss / df)')} AS f FROM full_s a, small_s b, k"""
+SELECT q, df_resid, {r('f')} AS f, {r(p_f('f', 'q', 'df_resid'))} AS p
+FROM (SELECT CAST(q AS INTEGER) AS q, df AS df_resid, ((b.rss - a.rss) / q) / (a.rss / df) AS f FROM full_s a, small_s b, k)"""
 
 
 @query(F_SQL)
 def pretrend_f(spark, sf):
-    return rounded(hol.pretrend_test(*day_and_holidays(spark, sf)), "f").drop("p")
+    return rounded(hol.pretrend_test(*day_and_holidays(spark, sf)), "f", "p")
 
 
 LUN, MID = hol.event_terms("lun_"), hol.event_terms("mid_")
@@ -137,12 +138,13 @@ def _pos(term):
 _tests = ", ".join(f"('k={k:+d}', {_pos(E.offset_name(k, 'lun_'))}, {_pos(E.offset_name(k, 'mid_'))})" for k in (0, 1, 2))
 
 
-@query(f"""WITH RECURSIVE {SUB} SELECT label AS restriction, {r('f.b[i] - f.b[j]')} AS estimate,
-  {r('(f.b[i] - f.b[j]) ^ 2 / (c.v[i][i] + c.v[j][j] - 2 * c.v[i][j])', 4)} AS f
-FROM sg_fit f, sg_cov c, (VALUES {_tests}) t(label, i, j)""")
+@query(f"""WITH RECURSIVE {SUB} SELECT restriction, {r('estimate')} AS estimate, {r('w', 4)} AS f, {r(p_f('w', '1', 'd'))} AS p
+FROM (SELECT label AS restriction, f.b[i] - f.b[j] AS estimate, f.n - len(list_filter(f.kept, lambda t: t)) - 1 AS d,
+  (f.b[i] - f.b[j]) ^ 2 / (c.v[i][i] + c.v[j][j] - 2 * c.v[i][j]) AS w
+FROM sg_fit f, sg_cov c, (VALUES {_tests}) t(label, i, j))""")
 def subgroup_equality(spark, sf):
-    out = hol.subgroup_equality(*day_and_holidays(spark, sf)).select("restriction", "estimate", "f")
-    return out.withColumns({"estimate": F.round("estimate", 6), "f": F.round("f", 4)})
+    out = hol.subgroup_equality(*day_and_holidays(spark, sf)).select("restriction", "estimate", "f", "p")
+    return out.withColumns({"estimate": F.round("estimate", 6), "f": F.round("f", 4), "p": F.round("p", 6)})
 
 
 # ---- weather ----
@@ -173,14 +175,15 @@ wl AS (SELECT * FROM wx JOIN bridge USING (codigo_estacion)),
 @query(f"""WITH RECURSIVE {BYLINE}
 SELECT f.codigo_linea, coalesce(n_name, 'Línea ' || f.codigo_linea) AS nombre_linea, {r(f'f.b[{len(DOW_M) + 1}]')} AS b,
   {r(f'sqrt(c.v[{len(DOW_M) + 1}][{len(DOW_M) + 1}])')} AS se,
-  {r(f'(exp(f.b[{len(DOW_M) + 1}] * 10) - 1) * 100', 2)} AS pct_10mm, f.n
+  {r(f'(exp(f.b[{len(DOW_M) + 1}] * 10) - 1) * 100', 2)} AS pct_10mm,
+  (SELECT {r(p_z('s'), 4)} FROM (SELECT f.b[{len(DOW_M) + 1}] / sqrt(c.v[{len(DOW_M) + 1}][{len(DOW_M) + 1}]) AS s)) AS p, f.n
 FROM wl_fit f JOIN wl_cov c ON f.codigo_linea = c.codigo_linea LEFT JOIN nation ON n_nationkey + 4 = f.codigo_linea
 WHERE f.n >= 500""")
 def weather_by_line(spark, sf):
     from catalog.panels import line_names
 
     lists = line_stations(S.daily(spark, sf))
-    return weather_plan.effect_by_line(weather_panel(spark, sf), lists, line_names(spark, sf)).drop("p")
+    return weather_plan.effect_by_line(weather_panel(spark, sf), lists, line_names(spark, sf))
 
 
 # ---- fuel price ----
@@ -290,11 +293,11 @@ g AS (SELECT s, sem, avg(log_total) FILTER (cerca = 1) AS t, avg(log_total) FILT
 k AS (SELECT s, sem, t, c, t - c AS gap FROM g WHERE t IS NOT NULL AND c IS NOT NULL),
 a AS (SELECT count(*) FILTER (s = 'd') AS n, corr(t, c) FILTER (s = 'd') AS rho, regr_slope(gap, sem) FILTER (s = 'd') AS slope,
   corr(gap, sem) FILTER (s = 'd') AS r, avg(gap) FILTER (s = 'd') - avg(gap) FILTER (s = 'l') AS did FROM k)
-SELECT n AS n_semanas, {r('rho')} AS rho, {r('slope', 8)} AS slope, {r('r * sqrt((n - 2) / (1 - r * r))')} AS t, {r('did')} AS did_naive,
-  {r('(exp(did) - 1) * 100')} AS did_pct FROM a""")
+SELECT n AS n_semanas, {r('rho')} AS rho, {r('slope', 8)} AS slope, {r('tt')} AS t, {r(p_t('tt', '(n - 2)'))} AS p, {r('did')} AS did_naive,
+  {r('(exp(did) - 1) * 100')} AS did_pct FROM (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS tt FROM a)""")
 def parallel_trends(spark, sf):
-    out = streets.parallel_trends(daily_panel(spark, sf)).drop("p")
-    return rounded(out, "rho", "t", "did_naive", "did_pct").withColumn("slope", F.round("slope", 8))
+    out = streets.parallel_trends(daily_panel(spark, sf))
+    return rounded(out, "rho", "t", "p", "did_naive", "did_pct").withColumn("slope", F.round("slope", 8))
 
 
 @query(f"""WITH {hpanel(6)}, m AS (SELECT cerca, hora_int, avg(log_total) AS y FROM hp GROUP BY 1, 2),
@@ -539,12 +542,13 @@ TYPES = f"""{VENUE_BASE}, tp AS (SELECT *, 0 AS flag, 0 AS inter FROM cpl WHERE
 @query(f"""WITH RECURSIVE {TYPES}, sz AS (SELECT hora_int, count(*) AS rws, count(DISTINCT event_d) AS lv FROM tp GROUP BY 1)
 SELECT f.hora_int, {r('f.b[1]')} AS b_conc, {r('(exp(f.b[1]) - 1) * 100', 4)} AS pct_conc, {r('f.b[1] + f.b[3]')} AS b_fdv,
   {r('(exp(f.b[1] + f.b[3]) - 1) * 100', 4)} AS pct_fdv, {r('(exp(f.b[1] + f.b[3]) - exp(f.b[1])) * 100', 4)} AS dif_pp,
-  {r('f.b[3] ^ 2 / c.v[3][3]', 4)} AS f
-FROM tp_fit f JOIN tp_cov c ON f.hora_int = c.hora_int JOIN sz ON sz.hora_int = f.hora_int WHERE rws >= 8 AND lv = 2 AND f.kept[1] AND f.kept[3]""")
+  {r('f.b[3] ^ 2 / c.v[3][3]', 4)} AS f,
+  (SELECT {r(p_f('w', '1', 'd'), 4)} FROM (SELECT f.b[3] ^ 2 / c.v[3][3] AS w, f.n - len(list_filter(f.kept, lambda t: t)) - ents AS d)) AS p
+FROM tp_fit f JOIN (SELECT hora_int AS eh, count(DISTINCT codigo_estacion) AS ents FROM tp GROUP BY 1) ON eh = f.hora_int JOIN tp_cov c ON f.hora_int = c.hora_int JOIN sz ON sz.hora_int = f.hora_int WHERE rws >= 8 AND lv = 2 AND f.kept[1] AND f.kept[3]""")
 def event_type_interaction(spark, sf):
     v = Venue(spark, sf)
-    out = venue.compare_event_types(v.concert_panel(), v.festival_panel()).drop("p", "sig")
-    return rounded(out, "b_conc", "b_fdv").withColumns({c: F.round(c, 4) for c in ("pct_conc", "pct_fdv", "dif_pp", "f")})
+    out = venue.compare_event_types(v.concert_panel(), v.festival_panel()).drop("sig")
+    return rounded(out, "b_conc", "b_fdv").withColumns({c: F.round(c, 4) for c in ("pct_conc", "pct_fdv", "dif_pp", "f", "p")})
 
 
 QUERIES = Q
