@@ -278,7 +278,7 @@ def test_effect_table_and_stars(spark):
 
 def test_kpis_need_data(spark):
     empty = spark.createDataFrame([], "fecha date, total long")
-    with pytest.raises(Exception, match="No se encontraron datos"):
+    with pytest.raises(Exception, match="sin validaciones"):
         kpis.mean_daily(empty).collect()
 
 
