@@ -132,7 +132,7 @@ def stars_sql(p: str, none: str) -> str:
     return f"CASE WHEN {p} < 0.01 THEN '***' WHEN {p} < 0.05 THEN '**' WHEN {p} < 0.1 THEN '*' ELSE '{none}' END"
 
 
-def coef_select(name: str, i: int, by: list[str] = (), extra: str = "", critical: float = 1.959963984540054, df: str | None = None) -> str:
+def coef_select(name: str, i: int, by: list[str] = (), extra: str = "", critical: float = 1.959963984540054, df: str | None = None, digits: int = 6) -> str:
     """b, se, lo, hi and p of term ``i`` (from 1), rounded; null where the term was not kept.
 
     p follows the normal law, or the t law with n less the kept terms less ``df`` degrees of freedom.
@@ -140,11 +140,11 @@ def coef_select(name: str, i: int, by: list[str] = (), extra: str = "", critical
     stat = f"f.b[{i}] / sqrt(c.v[{i}][{i}])"
     tail = p_z("s") if df is None else p_t("s", "d")
     free = "NULL" if df is None else f"f.n - len(list_filter(f.kept, lambda t: t)) - {df}"
-    p = f"CASE WHEN f.kept[{i}] AND c.v[{i}][{i}] > 0 THEN (SELECT {r(tail)} FROM (SELECT {stat} AS s, {free} AS d)) END"
+    p = f"CASE WHEN f.kept[{i}] AND c.v[{i}][{i}] > 0 THEN (SELECT {r(tail, digits)} FROM (SELECT {stat} AS s, {free} AS d)) END"
     on = " AND ".join(f"f.{k} = c.{k}" for k in by) or "true"
     keys = "".join(f"f.{k}, " for k in by)
-    return f"""SELECT {keys}{extra}CASE WHEN f.kept[{i}] THEN {r(f'f.b[{i}]')} END AS b,
-  CASE WHEN f.kept[{i}] THEN {r(f'sqrt(c.v[{i}][{i}])')} END AS se,
-  CASE WHEN f.kept[{i}] THEN {r(f'f.b[{i}] - {critical} * sqrt(c.v[{i}][{i}])')} END AS lo,
-  CASE WHEN f.kept[{i}] THEN {r(f'f.b[{i}] + {critical} * sqrt(c.v[{i}][{i}])')} END AS hi, {p} AS p, f.n
+    return f"""SELECT {keys}{extra}CASE WHEN f.kept[{i}] THEN {r(f'f.b[{i}]', digits)} END AS b,
+  CASE WHEN f.kept[{i}] THEN {r(f'sqrt(c.v[{i}][{i}])', digits)} END AS se,
+  CASE WHEN f.kept[{i}] THEN {r(f'f.b[{i}] - {critical} * sqrt(c.v[{i}][{i}])', digits)} END AS lo,
+  CASE WHEN f.kept[{i}] THEN {r(f'f.b[{i}] + {critical} * sqrt(c.v[{i}][{i}])', digits)} END AS hi, {p} AS p, f.n
 FROM {name}_fit f JOIN {name}_cov c ON {on}"""

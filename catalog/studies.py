@@ -82,14 +82,14 @@ def holiday_effect_by_type(spark, sf):
 TERMS = hol.event_terms()
 
 
-def offset_select(name, first, prefix=""):
+def offset_select(name, first, prefix="", digits=6):
     """Rows per offset k; position of the term in the fit is first + index."""
     rows = ", ".join(f"({k}, {first + hol.event_terms(prefix).index(E.offset_name(k, prefix)) if k != -1 else 0})" for k in KS)
     z = 1.959963984540054
-    return f"""SELECT CAST(k AS INTEGER) AS k, CASE WHEN i = 0 THEN 0.0 WHEN f.kept[i] THEN {r('f.b[i]')} END AS b,
-  CASE WHEN i = 0 THEN 0.0 WHEN f.kept[i] THEN {r(f'f.b[i] - {z} * sqrt(c.v[i][i])')} END AS lo,
-  CASE WHEN i = 0 THEN 0.0 WHEN f.kept[i] THEN {r(f'f.b[i] + {z} * sqrt(c.v[i][i])')} END AS hi,
-  CASE WHEN i <> 0 AND f.kept[i] AND c.v[i][i] > 0 THEN (SELECT {r(p_z('s'))} FROM (SELECT f.b[i] / sqrt(c.v[i][i]) AS s)) END AS p,
+    return f"""SELECT CAST(k AS INTEGER) AS k, CASE WHEN i = 0 THEN 0.0 WHEN f.kept[i] THEN {r('f.b[i]', digits)} END AS b,
+  CASE WHEN i = 0 THEN 0.0 WHEN f.kept[i] THEN {r(f'f.b[i] - {z} * sqrt(c.v[i][i])', digits)} END AS lo,
+  CASE WHEN i = 0 THEN 0.0 WHEN f.kept[i] THEN {r(f'f.b[i] + {z} * sqrt(c.v[i][i])', digits)} END AS hi,
+  CASE WHEN i <> 0 AND f.kept[i] AND c.v[i][i] > 0 THEN (SELECT {r(p_z('s'), digits)} FROM (SELECT f.b[i] / sqrt(c.v[i][i]) AS s)) END AS p,
   CASE WHEN i = 0 THEN 0.0 WHEN f.kept[i] THEN {r('(exp(f.b[i]) - 1) * 100', 4)} END AS pct
 FROM {name}_fit f, {name}_cov c, (VALUES {rows}) t(k, i)"""
 
@@ -155,13 +155,18 @@ _wx_fits = ", ".join(
     ols_ctes("wx", DOW_M + [rain, "temp_mean"], "log_total", absorb="codigo_estacion", cov="cluster", cluster="codigo_estacion", name=n)
     for rain, n in _wx_terms
 )
-_wx_rows = " UNION ALL ".join(
-    coef_select(n, len(DOW_M) + i, extra=f"'{rain}' AS modelo, '{t}' AS term, ", critical=1.96, df="(SELECT count(DISTINCT codigo_estacion) FROM wx)")
-    for rain, n in _wx_terms for i, t in ((1, rain), (2, "temp_mean"))
-)
 
 
-@query(f"WITH RECURSIVE {WX}, {_wx_fits} {_wx_rows}")
+def weather_sql(digits=6):
+    rows = " UNION ALL ".join(
+        coef_select(n, len(DOW_M) + i, extra=f"'{rain}' AS modelo, '{t}' AS term, ", critical=1.96,
+                    df="(SELECT count(DISTINCT codigo_estacion) FROM wx)", digits=digits)
+        for rain, n in _wx_terms for i, t in ((1, rain), (2, "temp_mean"))
+    )
+    return f"WITH RECURSIVE {WX}, {_wx_fits} {rows}"
+
+
+@query(weather_sql())
 def weather_fe(spark, sf):
     out = weather_plan.weather_effect(weather_panel(spark, sf)).select("modelo", "term", "b", "se", "lo", "hi", "p", "n")
     return rounded(out, "b", "se", "lo", "hi", "p")
@@ -229,9 +234,9 @@ def hpanel(weekday):
   WHERE total > 0), hw AS (SELECT * FROM hp WHERE hora_int BETWEEN 6 AND 20)"""
 
 
-def did_sql(base, source, x, controls, spec, name="did"):
+def did_sql(base, source, x, controls, spec, name="did", digits=6):
     fit = ols_ctes(source, controls + [x], "log_total", absorb="codigo_estacion", cov="cluster", cluster="codigo_estacion", name=name)
-    return f"WITH RECURSIVE {base}, {fit} " + coef_select(name, len(controls) + 1, extra=f"'{spec}' AS spec, '{x}' AS term, ", critical=1.96, df=f"(SELECT count(DISTINCT codigo_estacion) FROM {source})")
+    return f"WITH RECURSIVE {base}, {fit} " + coef_select(name, len(controls) + 1, extra=f"'{spec}' AS spec, '{x}' AS term, ", critical=1.96, df=f"(SELECT count(DISTINCT codigo_estacion) FROM {source})", digits=digits)
 
 
 def did_out(df):
@@ -359,6 +364,11 @@ class Venue:
         """Synthetic nights are even, so a lower threshold than the default marks some of them."""
         return venue.detect_big_events(self.nights(), threshold=1.2)
 
+    def big_panel(self):
+        nights = self.big_nights()
+        controls = venue.big_night_controls(nights, self.calendar, self.holidays, self.days)
+        return venue.study_panel(self.panel, nights, controls)
+
 
 @query(f"WITH {VENUE_BASE} SELECT evento, control, dow, CAST(dist AS INTEGER) AS dist, CAST(orden AS INTEGER) AS orden FROM each5")
 def matched_controls_each(spark, sf):
@@ -462,12 +472,12 @@ def festival_ratio_means(spark, sf):
     return rounded(venue.festival_ratio_means(venue.festival_ratios(v.festival_panel(), v.panel)), "r20", "r23")
 
 
-def hourly_fit_sql(base, source, by, min_rows=6, min_treated=0, cov="hc3", dense=False, bands=True):
+def hourly_fit_sql(base, source, by, min_rows=6, min_treated=0, cov="hc3", dense=False, bands=True, digits=6):
     """Event study by group, thin groups left out (or null, on a full set of hours)."""
     fit = ols_ctes(source, ["event_d"], "log_total", by=by, absorb="codigo_estacion", cov=cov, name="ev")
     keys = ", ".join(by)
     sizes = f"""sz AS (SELECT {keys}, count(*) AS rws, sum(event_d) AS trt, count(DISTINCT event_d) AS lv FROM {source} GROUP BY {keys})"""
-    coef = f"co AS ({coef_select('ev', 1, by)})"
+    coef = f"co AS ({coef_select('ev', 1, by, digits=digits)})"
     cols = f"co.b, co.se, {'co.lo, co.hi, co.p, ' if bands else ''}{r('(exp(fb) - 1) * 100', 4)} AS pct, co.n"
     raw = f"raw AS (SELECT {keys}, CASE WHEN kept[1] THEN b[1] END AS fb FROM ev_fit)"
     body = f"""SELECT {', '.join('co.' + k for k in by)}, {cols} FROM co JOIN sz USING ({keys}) JOIN raw USING ({keys})
@@ -529,9 +539,7 @@ both_ AS (SELECT *, 'conciertos' AS grupo FROM cpl UNION ALL SELECT *, ln(greate
 @query(hourly_fit_sql(BIGPANEL, "both_", ["grupo", "hora_int"], min_rows=0, min_treated=3, cov="nonrobust", bands=False))
 def hourly_event_study_nonrobust(spark, sf):
     v = Venue(spark, sf)
-    nights = v.big_nights()
-    big = venue.study_panel(v.panel, nights, venue.big_night_controls(nights, v.calendar, v.holidays, v.days))
-    return hourly_out(venue.concerts_vs_big_nights(v.concert_panel(), big), ["grupo", "hora_int"], bands=False)
+    return hourly_out(venue.concerts_vs_big_nights(v.concert_panel(), v.big_panel()), ["grupo", "hora_int"], bands=False)
 
 
 TYPES = f"""{VENUE_BASE}, tp AS (SELECT *, 0 AS flag, 0 AS inter FROM cpl WHERE hora_int BETWEEN 18 AND 23

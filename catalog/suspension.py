@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import standins as S
-from catalog.panels import price_frame, rounded, weather_panel
-from catalog.sqltools import r
+from catalog import studies
+from catalog.panels import PRICE, price_frame, rounded, weather_panel
+from catalog.sqltools import coef_select, ols_ctes, r, stars_sql
 from catalog.studies import Venue, day_and_holidays
 from farebox.operators import synth
 from farebox.operators.panels import pivot_wide
@@ -169,26 +170,78 @@ def placebo_space(spark, sf):
     return rounded(synth.rmspe_ratios(suspension.gaps(n, w, DESIGN), DESIGN.before, DESIGN.during), "rmspe_pre", "rmspe_post", "ratio")
 
 
-@query()
+def effects_sql():
+    """The same estimates from the studies' SQL, with 12 digits, as one table."""
+    event = (f"WITH RECURSIVE {studies.EVENT_DAYS}, {ols_ctes('off', studies.DOW_M + studies.TERMS, 'log_total')} "
+             f"{studies.offset_select('ols', len(studies.DOW_M) + 1, digits=12)}")
+    price = (f"WITH RECURSIVE {PRICE}, {ols_ctes('diff', ['d_log_precio'], 'd_log_val_d', name='pd')} "
+             + coef_select("pd", 1, digits=12))
+    concerts = studies.hourly_fit_sql(studies.VENUE_BASE, "cpl", ["hora_int"], digits=12)
+    big = f"{studies.BIGPANEL}, bl AS (SELECT * FROM both_ WHERE grupo = 'grandes')"
+    nights = studies.hourly_fit_sql(big, "bl", ["hora_int"], digits=12)
+    sunday = studies.did_sql(studies.DPANEL, "dp", "cerca_x_sunday", studies.DOW_M, "", digits=12)
+    window = studies.did_sql(studies.hpanel(6), "hw", "cerca_x_ventana", studies.HOURS, "", digits=12)
+    weather = studies.weather_sql(12)
+
+    def part(study, what, how, sql, where="true", scale=1):
+        pct = ", ".join(f"(exp({c} * {scale}) - 1) * 100 AS {n}" for c, n in (("b", "e"), ("lo", "l"), ("hi", "h")))
+        return f"SELECT '{study}' AS estudio, '{what}' AS choque, '{how}' AS metodo, {pct}, p FROM ({sql}) WHERE {where}"
+
+    parts = [
+        *(part("Festivos", name, "Event study", event, f"k = {k}") for k, name in HOLIDAY_ROWS),
+        part("Clima", "Día lluvioso (>5 mm)", "Panel FE", weather, "modelo = 'rain_day' AND term = 'rain_day'"),
+        part("Clima", "+10 mm lluvia", "Panel FE", weather, "term = 'precip_sum'", 10),
+        part("Clima", "+1 °C", "Panel FE", weather, "modelo = 'precip_sum' AND term = 'temp_mean'"),
+        part("Ciclovía", "DiD diario (cerca x domingo)", "DiD espacial", sunday),
+        part("Ciclovía", "DiD ventana horaria", "DiD espacial", window),
+        *(part("Recinto", f"Concierto h={h}", "Event study horario", concerts, f"hora_int = {h}") for h in (15, 23)),
+        part("Recinto", "Noche grande h=23", "Event study horario", nights, "hora_int = 23"),
+        part("Combustible", "Precio (Δlog)", "Primeras diferencias", price),
+        f"SELECT 'Suspensión', 'Brecha sintética', 'Control sintético', -pct, NULL, NULL, pv FROM ({LOSS})",
+    ]
+    small = "e BETWEEN -20 AND 20"
+    return f"""SELECT estudio, choque, metodo, {r('e', 4)} AS efecto_pct, {r('l', 4)} AS lo95_pct, {r('h', 4)} AS hi95_pct, {r('p')} AS pval,
+  coalesce(p < 0.05, false) AS sig, {stars_sql('p', '')} AS marca, CASE WHEN {small} THEN 'pequeño' ELSE 'grande' END AS escala
+FROM ({' UNION ALL '.join(parts)})"""
+
+
+HOLIDAY_ROWS = [(0, "Día festivo (k=0)"), (1, "Día siguiente (k=+1)"), (-2, "Dos días antes (k=-2)")]
+LOSS = f"""{WEIGHTS}, sy AS (SELECT treated, mes, sum(w * norm) AS synth FROM norm JOIN wts ON donor = codigo_linea GROUP BY 1, 2),
+gp AS (SELECT treated, n.mes, n.norm - synth AS gap FROM norm n JOIN sy USING (mes) WHERE codigo_linea = treated),
+rt AS (SELECT treated, sqrt(avg(gap ^ 2) FILTER (mes < {START})) AS pre, sqrt(avg(gap ^ 2) FILTER (mes BETWEEN {START} AND {END})) AS post FROM gp GROUP BY 1),
+own AS (SELECT pre, post / pre AS ratio FROM rt WHERE treated = 4),
+pm AS (SELECT avg(total) AS m FROM unit_month WHERE codigo_linea = 4 AND mes < {START}),
+lo AS (SELECT sum(-gap * coalesce(dow_mean, 1)) AS lost, count(*) AS n FROM gp LEFT JOIN sm ON sm.codigo_linea = 4 AND sm.season = month(gp.mes)
+  WHERE treated = 4 AND mes BETWEEN {START} AND {END})
+SELECT lost / (m * n) * 100 AS pct, (SELECT avg(CASE WHEN rt.post / rt.pre >= own.ratio THEN 1.0 ELSE 0.0 END) FROM rt, own WHERE treated <> 4 AND rt.pre <= 2 * own.pre) AS pv
+FROM lo, pm"""
+
+
+@query(effects_sql())
 def effect_table(spark, sf):
     daily, days = day_and_holidays(spark, sf)
-    d, v = S.daily(spark, sf), Venue(spark, sf)
-    event = hol.event_study_daily(daily, days)
-    weather = weather_plan.weather_effect(weather_panel(spark, sf))
-    concerts = venue.event_study_hourly(v.concert_panel())
+    d, v, h = S.daily(spark, sf), Venue(spark, sf), S.hourly(spark, sf)
+    event = materialize(hol.event_study_daily(daily, days))
+    weather = materialize(weather_plan.weather_effect(weather_panel(spark, sf)))
+    concerts = materialize(venue.event_study_hourly(v.concert_panel()))
+    nights = venue.event_study_hourly(v.big_panel())
     n = norm(spark, sf)
-    w = suspension.weights(n, DESIGN, all_units=True)
+    w = materialize(suspension.weights(n, DESIGN, all_units=True))
     loss = suspension.lost(n, w, S.unit_month(spark, sf), DESIGN, F.month("mes")).where(F.col("treated") == DESIGN.treated)
-    return summary.effect_table([
-        summary.effect_rows(event.where("k = 0"), "Festivos", "Día festivo (k=0)", "Event study"),
-        summary.effect_rows(event.where("k = 1"), "Festivos", "Día siguiente (k=+1)", "Event study"),
-        summary.effect_rows(weather.where("modelo = 'rain_day' AND term = 'rain_day'"), "Clima", "Día lluvioso (>5 mm)", "Panel FE"),
-        summary.effect_rows(weather.where("term = 'precip_sum'"), "Clima", "+10 mm lluvia", "Panel FE", scale=10),
-        summary.effect_rows(openstreets.did_two_way(d, S.near(d)), "Ciclovía", "DiD diario (cerca x domingo)", "DiD espacial"),
-        summary.effect_rows(concerts.where("hora_int = 23"), "Recinto", "Concierto h=23", "Event study horario"),
-        summary.effect_rows(fuel.first_difference_ols(price_frame(spark, sf)), "Combustible", "Precio (Δlog)", "Primeras diferencias"),
+    row = summary.effect_rows
+    table = summary.effect_table([
+        *(row(event.where(F.col("k") == k), "Festivos", name, "Event study") for k, name in HOLIDAY_ROWS),
+        row(weather.where("modelo = 'rain_day' AND term = 'rain_day'"), "Clima", "Día lluvioso (>5 mm)", "Panel FE"),
+        row(weather.where("term = 'precip_sum'"), "Clima", "+10 mm lluvia", "Panel FE", scale=10),
+        row(weather.where("modelo = 'precip_sum' AND term = 'temp_mean'"), "Clima", "+1 °C", "Panel FE"),
+        row(openstreets.did_two_way(d, S.near(d)), "Ciclovía", "DiD diario (cerca x domingo)", "DiD espacial"),
+        row(openstreets.did_window(h, S.near(h)), "Ciclovía", "DiD ventana horaria", "DiD espacial"),
+        *(row(concerts.where(F.col("hora_int") == k), "Recinto", f"Concierto h={k}", "Event study horario") for k in (15, 23)),
+        row(nights.where("hora_int = 23"), "Recinto", "Noche grande h=23", "Event study horario"),
+        row(fuel.first_difference_ols(price_frame(spark, sf)), "Combustible", "Precio (Δlog)", "Primeras diferencias"),
         summary.gap_rows(loss, suspension.randomisation_test(n, w, DESIGN), "Suspensión", "Brecha sintética"),
     ])
+    return table.withColumns({c: F.round(c, 4) for c in ("efecto_pct", "lo95_pct", "hi95_pct")}).withColumn("pval", F.round("pval", 6))
 
 
 def scenarios(spark, sf):
