@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Text bytes an operator works on at a time inside a task; bounds its temporary arrays.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +78,9 @@ def append_columns(
             for part in slices(batch, source, limit):
                 arrays = [part.column(c) for c in keep] + function(part.column(source))
                 yield pa.RecordBatch.from_arrays(arrays, names=keep + [f.name for f in fields])
+                del arrays
+            # Workers are kept for later stages; what a batch took goes back to the system.
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

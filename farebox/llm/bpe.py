@@ -336,6 +336,21 @@ def decode_ids(rows: pa.Array, vocab: Vocabulary) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(limits.tobytes()), data]).cast(pa.binary())
 
 
+def round_trip(
+    df: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: tuple[str, str] = ("ids", "decoded"), keep: list[str] | None = None
+) -> DataFrame:
+    """Add the ids of every text and the bytes that these ids decode to, in one pass of one worker."""
+    kinds = [T.ArrayType(T.IntegerType()), T.BinaryType()]
+    fields = T.StructType([T.StructField(name, kind) for name, kind in zip(out, kinds)])
+
+    def run(texts):
+        vocab = vocabulary(ranks)
+        ids = encode_texts(texts, vocab, pattern)
+        return [ids, decode_ids(ids, vocab)]
+
+    return append_columns(df, text, fields, run, keep=keep)
+
+
 def decode(df: DataFrame, ranks: bytes, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add the bytes that every list of ids stands for."""
     keep = [c for c in df.columns if c.lower() != decoded.lower() or c == ids]

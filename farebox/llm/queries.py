@@ -57,8 +57,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the bytes they decode to, as digests."""
     ranks = rank_file()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"])
-    return bpe.decode(ids, ranks).select(
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"]).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

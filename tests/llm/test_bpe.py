@@ -54,5 +54,7 @@ def test_frame_round_trip(spark, sf):
     assert [r.ids for r in rows] == [LIBRARY.encode_ordinary(r.text or "") for r in rows]
     assert [bytes(r.decoded) for r in rows] == [(r.text or "").encode() for r in rows]
     assert len(rows) == 4
+    again = bpe.round_trip(docs, LINES, public_tokenizers.PATTERN).collect()
+    assert [(r.ids, bytes(r.decoded)) for r in again] == [(r.ids, bytes(r.decoded)) for r in rows]
     empty = bpe.decode(bpe.encode(docs.limit(0), LINES, public_tokenizers.PATTERN), LINES)
     assert empty.columns == ["doc_id", "text", "ids", "decoded"] and empty.count() == 0
