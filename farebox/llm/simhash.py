@@ -192,12 +192,18 @@ def near_duplicates(
 def keep_one(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET
 ) -> DataFrame:
-    """One document of each group, that of the smallest id (nulls last), with the columns it had.
+    """One document of each group, that of the smallest id (nulls last), with the columns it had."""
+    found = near_duplicates(docs, doc_id, text, size, radius, bucket)
+    return keep_first(docs, found, lambda d, out: fingerprints(d, text, size, out=out), doc_id)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, stamp, doc_id: str = "doc_id") -> DataFrame:
+    """One document of each component of ``found`` (id, fp, component); ``stamp(docs, out)`` adds ``fp`` again.
 
     Ids that several rows share, or that are null, don't tell rows apart. The rows behind them
     that are chosen are reduced to one by all their columns' hash.
     """
-    rows = materialize(near_duplicates(docs, doc_id, text, size, radius, bucket).select(F.col(doc_id).alias("id"), "fp", "component"))
+    rows = materialize(found.select(F.col(doc_id).alias("id"), "fp", "component"))
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("x"))
     # Groups of null ids alone have no component to tell them apart; each fingerprint of them keeps one.
     alone = rows.where("component IS NULL").select("fp").distinct()
@@ -207,7 +213,7 @@ def keep_one(
     shared = chosen.join(unique, "id", "left_anti").unionByName(alone.select(F.lit(None).cast(rows.schema["id"].dataType).alias("id"), "fp"))
     key, mark, order = fresh(docs, "key", "mark", "order_in_key")
     again = docs.where(F.col(f"`{doc_id}`").isNull()).unionByName(docs.join(shared.select(F.col("id").alias(doc_id)).distinct(), doc_id, "left_semi"))
-    again = fingerprints(again, text, size, out=mark)
+    again = stamp(again, mark)
     match = shared.select(F.col("id").alias(key), F.col("fp").alias(mark)).distinct()
     again = again.join(match, again[doc_id].eqNullSafe(match[key]) & (again[mark] == match[mark]), "left_semi")
     same = Window.partitionBy(F.col(f"`{doc_id}`"), mark).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
