@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from farebox.session import attach_row, materialize
 
 MIN_WEIGHT = 1e-4  # fixed value: smaller donor weights are set to zero
+ENTERS = 1e-10  # of the products' size: a unit outside the pool enters above this
 
 
 def season_normalize(panel: DataFrame, before, unit: str, season: str, value: str) -> DataFrame:
@@ -58,6 +59,16 @@ def gram_cells(panel: DataFrame, unit: str, t: str, y: str) -> DataFrame:
 
 
 def simplex_weights(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """The weights of :func:`simplex_optimum` without those under ``MIN_WEIGHT``."""
+    return without_small(simplex_optimum(gram, cross))
+
+
+def without_small(w: np.ndarray) -> np.ndarray:
+    w = np.where(w < MIN_WEIGHT, 0.0, w)
+    return w / w.sum()
+
+
+def simplex_optimum(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
     """Minimise w'Gw - 2c'w over the unit simplex by an active-set method.
 
     Starts from the best single donor, adds the donor with the most negative reduced
@@ -112,8 +123,7 @@ def simplex_weights(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
                 w[active[0]] = 1.0
                 break
         w /= w.sum()
-    w[w < MIN_WEIGHT] = 0.0
-    return w / w.sum()
+    return w
 
 
 def synthetic_control_weights(
@@ -122,10 +132,14 @@ def synthetic_control_weights(
     """Donor weights (treated, donor, w) from pre-intervention rows.
 
     ``treated=None`` fits every unit against all others (placebos in space); each treated unit is a
-    task of its own. Its donor pool are the ``donors`` units closest to it by mean squared distance
-    (ties by code), so a task holds that many products of pairs at most; with no more units than
-    that the pool is everyone. A pair that never has values at the same time has no product: such a
-    donor is left out of the pool.
+    task of its own. A task starts with the ``donors`` units closest to it by mean squared distance
+    (ties by code). The reduced gradient of every unit outside is then computed from the weights
+    by a join with the products of pairs; the ``donors`` units that would lower the loss most enter,
+    and the fit is repeated until no unit would. So the weights are those of all other units,
+    and a task holds the products of the units that entered.
+
+    A pair that never has values at the same time has no product: such a donor is left out of the
+    pool, and one outside that lacks a product with a donor in use can't enter and has no row.
     """
     cells = materialize(gram_cells(panel, unit, t, y))
     kind = panel.schema[unit].dataType.simpleString()
@@ -135,7 +149,37 @@ def synthetic_control_weights(
         pairs = pairs.where(F.col("treated").isin(treated))
     pairs = pairs.join(own.withColumnsRenamed({"u": "donor", "square": "donor_square"}), "donor")
     near = W.partitionBy("treated").orderBy(F.col("donor_square") - 2 * F.col("cross"), "donor")
-    pool = materialize(pairs.withColumn("place", F.row_number().over(near)).where(F.col("place") <= donors).drop("place"))
+    placed = materialize(pairs.withColumn("place", F.row_number().over(near)))
+    pool = placed.where(F.col("place") <= donors).select("treated", "donor", "cross")
+    outside = placed.where(F.col("place") > donors).select("treated", "donor", "cross")
+    result = ["treated", "donor", "w"]
+    if outside.isEmpty():
+        return fit_pools(pool, cells, kind).select(*result)
+    settled = None
+    while True:
+        fitted = materialize(fit_pools(pool, cells, kind))
+        used = fitted.where("exact > 0").select("treated", F.col("donor").alias("i"), "exact", "level", "scale")
+        count = used.groupBy("treated").agg(F.count("*").alias("used"))
+        products = used.join(cells.select("i", F.col("j").alias("donor"), "v"), "i").groupBy("treated", "donor")
+        products = products.agg(F.sum(F.col("exact") * F.col("v")).alias("at"), F.count("*").alias("have"), F.first("level").alias("level"), F.first("scale").alias("scale"))
+        priced = outside.join(products, ["treated", "donor"]).join(count, "treated").where("have = used")
+        priced = materialize(priced.withColumn("lower", F.col("level") - (F.col("at") - F.col("cross"))))
+        wanted = priced.where(F.col("lower") > ENTERS * F.col("scale"))
+        first = W.partitionBy("treated").orderBy(F.col("lower").desc(), "donor")
+        entering = materialize(wanted.withColumn("place", F.row_number().over(first)).where(F.col("place") <= donors).select("treated", "donor", "cross"))
+        again = entering.select("treated").distinct()
+        ready = fitted.select(*result).unionByName(priced.select("treated", "donor", F.lit(0.0).alias("w")))
+        ready = ready.join(again, "treated", "left_anti")
+        settled = ready if settled is None else settled.unionByName(ready)
+        if entering.isEmpty():
+            return settled
+        pool = materialize(pool.join(again, "treated", "left_semi").unionByName(entering))
+        outside = materialize(outside.join(again, "treated", "left_semi").join(entering, ["treated", "donor"], "left_anti"))
+
+
+def fit_pools(pool: DataFrame, cells: DataFrame, kind: str) -> DataFrame:
+    """(treated, donor, w, exact, level, scale): weights over the pool of each treated unit, ``exact`` with the
+    small ones, the reduced gradient of the donors in use and the size of the products."""
     # Products among the donors of each pool: at most donors squared for every treated unit.
     first, second = pool.select("treated", "donor", "cross"), pool.select("treated", F.col("donor").alias("other"))
     among = first.join(second, "treated").join(cells.select(F.col("i").alias("donor"), F.col("j").alias("other"), "v"), ["donor", "other"], "left")
@@ -148,11 +192,14 @@ def synthetic_control_weights(
         while np.isnan(gram).any():  # leave out the donor that lacks the most pairs
             keep = np.arange(len(names)) != np.isnan(gram).sum(axis=1).argmax()
             names, gram, cross = names[keep], gram[np.ix_(keep, keep)], cross[keep]
-        w = simplex_weights(gram, cross)
+        exact = simplex_optimum(gram, cross)
+        level, scale = float(exact @ (gram @ exact - cross)), float(np.abs(gram).max())
         one = pa.array([table.column("treated")[0].as_py()] * len(names), table.schema.field("treated").type)
-        return pa.table({"treated": one, "donor": pa.array(names, table.schema.field("donor").type), "w": pa.array(w)})
+        return pa.table({"treated": one, "donor": pa.array(names, table.schema.field("donor").type)} | {
+            k: pa.array(v) for k, v in [("w", without_small(exact)), ("exact", exact), ("level", np.full(len(names), level)), ("scale", np.full(len(names), scale))]
+        })
 
-    return among.groupBy("treated").applyInArrow(solve, f"treated {kind}, donor {kind}, w double")
+    return among.groupBy("treated").applyInArrow(solve, f"treated {kind}, donor {kind}, w double, exact double, level double, scale double")
 
 
 def synth_gap(panel: DataFrame, weights: DataFrame, unit: str, t: str, y: str) -> DataFrame:

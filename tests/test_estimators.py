@@ -298,3 +298,18 @@ def test_demand_model(spark, tmp_path):
     assert out[7].exito and 30 < out[7].prediccion_entradas < 120 < out[20].prediccion_entradas
     assert not out[8].exito and out[8].prediccion_entradas is None and "Zona 'Z' no válida" in out[8].mensaje
     assert demand.score_scenarios(scen, model, None).count() == 3
+
+
+def test_donors_beyond_the_pool_enter(spark):
+    """Two far units on opposite sides fit best; a pool of the nearest alone must not hide them."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=30)
+    series = {0: base, 1: base + 5, 2: base - 5} | {k: base + rng.normal(size=30) for k in range(3, 12)}
+    rows = [(k, t, float(v)) for k, s in series.items() for t, v in enumerate(s)]
+    panel = spark.createDataFrame(rows, "u long, t long, y double")
+    for treated in ([0], None):
+        whole = {(r.treated, r.donor): r.w for r in synth.synthetic_control_weights(panel, "u", "t", "y", treated).collect()}
+        for donors in (1, 3):
+            got = {(r.treated, r.donor): r.w for r in synth.synthetic_control_weights(panel, "u", "t", "y", treated, donors).collect()}
+            assert got.keys() == whole.keys() and all(abs(got[k] - whole[k]) < 1e-6 for k in whole)
+        assert abs(whole[0, 1] - 0.5) < 1e-6 and abs(whole[0, 2] - 0.5) < 1e-6
