@@ -10,8 +10,8 @@ that are parsed side by side, so that a step of the automata is a step of all se
 languages at once; a phrase ends with its segment, for every language alike. A step is one look
 into a table that leads on, or restarts at the root where no longer phrase exists.
 
-The sample is ``REFERENCE`` characters of each language, of documents in the order of the hash
-of their id. Null texts and texts without a letter get ``und`` and score 0, as do all texts where
+The sample is ``REFERENCE`` characters of each language, of pieces of documents in the order of the
+hash of id and piece number. Null texts and texts without a letter get ``und`` and score 0, as do all texts where
 nothing was learned. The score is the runner-up's share of both estimates (0.5 to 1; 1 if there is
 one language). Repeated rows get equal results. Other columns stay; one that is named like a
 result is replaced.
@@ -32,6 +32,9 @@ from pyspark.sql import types as T
 from farebox.llm.arrays import append_columns, text_buffer
 
 REFERENCE = 40_000
+# Characters of a piece, and ranges of the draw (as bits) in which characters are summed.
+PIECE = 2000
+DRAW_BITS = 16
 SEGMENT = 512
 UNKNOWN = "und"
 SLICE = 2 << 20
@@ -196,17 +199,33 @@ def references(
 ) -> dict[str, str]:
     """``size`` characters of each language, from documents that aren't held out.
 
-    A first pass sums the characters of each language; the second draws by hash about four times
-    what is needed and keeps what comes first, so a language's sample is bounded before it is
-    ordered.
+    Texts count as pieces of ``PIECE`` characters, each with a draw of its own from the hash of id
+    and piece number, so one very long document is as good as many short ones. A first pass sums
+    the characters of each language by ranges of the draw; the second takes the ranges up to the
+    one in which ``size`` is reached (or all), so what is ordered is small and never short.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-    rows = rows.where(~held_out("id")).where("lang IS NOT NULL AND length(text) > 0")
-    totals = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("total"))
-    draw = F.xxhash64("id").bitwiseAND((1 << 40) - 1).alias("draw")
-    rows = rows.select("lang", "text", F.length("text").alias("n"), draw)
-    rows = rows.join(F.broadcast(totals), "lang")
-    rows = rows.where(F.col("draw") < F.lit(float(1 << 40)) * (4 * size + 200_000) / F.col("total"))
+    rows = rows.where(~held_out("id")).where("lang IS NOT NULL AND length(text) > 0").withColumn("n", F.length("text"))
+    pieces = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PIECE).cast("int"))
+    length = F.least(F.lit(PIECE), F.col("n") - F.col("piece") * PIECE)
+
+    def draw(piece: Column) -> Column:
+        return F.xxhash64("id", piece).bitwiseAND((1 << 40) - 1)
+
+    def place(piece: Column) -> Column:
+        return F.shiftright(draw(piece), 40 - DRAW_BITS)
+
+    sums = rows.select("lang", "id", "n", F.explode(pieces).alias("piece"))
+    sums = sums.groupBy("lang", place(F.col("piece")).alias("place")).agg(F.sum(length).alias("n"))
+    upto = Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    last = sums.where(F.col("before") < size).groupBy("lang").agg(F.max("place").alias("last"))
+    rows = rows.join(F.broadcast(last), "lang")
+    # Numbers of pieces are chosen before texts are cut.
+    rows = rows.withColumn("chosen", F.filter(pieces, lambda k: place(k) <= F.col("last")))
+    rows = rows.select("lang", "id", "n", "text", F.explode("chosen").alias("piece"))
+    cut = F.substring("text", F.col("piece") * PIECE + 1, F.lit(PIECE))
+    rows = rows.select("lang", cut.alias("text"), length.alias("n"), draw(F.col("piece")).alias("draw"))
     order = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") < size)
     rows = rows.select("lang", "before", F.substring("text", F.lit(1), (size - F.col("before")).cast("int")).alias("text"))

@@ -87,3 +87,15 @@ def test_held_out(spark):
     got = [r.h for r in spark.range(40).select(li.held_out("id").alias("h")).collect()]
     assert got == [zlib.crc32(str(k).encode()) % 5 == 0 for k in range(40)]
     assert np.all(li.letters()[[65, 97, 48, 0xC9]] == [97, 97, 0, 0xE9])
+
+
+def test_reference_from_few_long_documents(spark):
+    """A language in one long document, and one with most of its characters in it, get all they are due."""
+    one = "".join(f"palabra{k} " for k in range(180_000))[:2_000_000]
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5]
+    rows = [(k, one, f"l{k}") for k in ids[:8]] + [(k, one[: 900 * (j + 1)], "mixed") for j, k in enumerate(ids[8:60])] + [(ids[60], one, "mixed")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = li.references(docs)
+    assert sorted(known) == sorted([f"l{k}" for k in ids[:8]] + ["mixed"])
+    assert all(len(t.replace("\n", "")) == li.REFERENCE for t in known.values())
+    assert known == li.references(docs.repartition(5))
