@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.llm import bpe, decontaminate, kneser_ney, near_copies, secret_scan
+from farebox.llm import bpe, decontaminate, kneser_ney, secret_scan, simhash
 from farebox.llm.queries import rank_file
 from farebox.session import materialize
 
@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (similarity of five-word shingles >= 0.8), that of the smallest id."""
-    return near_copies.keep_one(docs.select(*COLUMNS))
+    """One document of each group that fingerprints of three-word shingles link within two bits, that of the smallest id."""
+    return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
