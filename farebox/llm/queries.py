@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.llm import bpe, kneser_ney, langid, mtree, pii, secret_scan, simhash, toxicity, warc
+from farebox.llm import bpe, kneser_ney, langid, mtree, pii, quality_rules, secret_scan, simhash, toxicity, warc
 from farebox.llm import decontaminate as dc
 from farebox.llm.arrays import span_digests
 from farebox.session import checkpoint_dir
@@ -160,6 +160,12 @@ FROM d LEFT JOIN hit_words USING (r) LEFT JOIN found USING (r)
 """
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form of every document, its likelihood ratio, and whether it is kept."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_rules.rate(docs, labels, keep=["doc_id"])
+
+
 QUERIES = {
     "op1_pii": (op1_pii, None),
     "op2_secret_scan": (op2_secret_scan, None),
@@ -171,4 +177,5 @@ QUERIES = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_decontaminate": (op9_decontaminate, OP9_SQL),
     "op10_langid": (op10_langid, None),
+    "op13_quality_rules": (op13_quality_rules, None),
 }
