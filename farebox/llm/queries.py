@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.llm import bpe, kneser_ney, langid, mtree, pii, quality_rules, secret_scan, simhash, toxicity, warc
+from farebox.llm import bpe, collocations, kneser_ney, langid, mtree, pii, prefix_trie, quality_rules, secret_scan, simhash, toxicity, warc
 from farebox.llm import decontaminate as dc
 from farebox.llm.arrays import span_digests
 from farebox.session import checkpoint_dir
@@ -160,6 +160,83 @@ FROM d LEFT JOIN hit_words USING (r) LEFT JOIN found USING (r)
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 phrases of each language whose words hang together most."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP11_SQL = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+parts AS (SELECT lang, m, w[i:i + m - 1] AS words FROM starts, range(1, 5) t(m) WHERE i + m - 1 <= len(w)),
+counts AS (SELECT lang, m, words, count(*) AS f FROM parts GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM counts WHERE m = 1 GROUP BY lang),
+many AS (SELECT * FROM counts WHERE f >= 30),
+inner_parts AS (
+    SELECT lang, words[s:s + k - 1] AS words, max(f) AS longer
+    FROM many, range(2, 4) a(k), range(1, 4) b(s) WHERE m > 2 AND k < m AND s + k - 1 <= m GROUP BY ALL),
+kept AS (
+    SELECT many.* FROM many LEFT JOIN inner_parts USING (lang, words)
+    WHERE m > 1 AND (longer IS NULL OR 100 * longer::HUGEINT < 80 * f::HUGEINT)),
+cuts AS (
+    SELECT k.lang, k.words, k.f AS a, c.k AS cut, l.f AS l, r.f AS r, (2000000 * k.f::HUGEINT) // (l.f + r.f) AS score
+    FROM kept k JOIN range(1, 4) c(k) ON c.k < k.m
+    JOIN many l ON l.lang = k.lang AND l.words = k.words[1:c.k]
+    JOIN many r ON r.lang = k.lang AND r.words = k.words[c.k + 1:]),
+worst AS (SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) AS o FROM cuts),
+ranked AS (
+    SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, score,
+        row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank
+    FROM worst WHERE o = 1)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations' beginnings."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+# The checksum's table of 256 steps, and the checksum of a string of ASCII characters.
+_CRC_TABLE = """list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"""
+OP12_SQL = f"""
+WITH own AS (
+    SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+        ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+sums AS (SELECT c, turns, ({_CRC} % 4)::INTEGER AS h FROM own, (SELECT {_CRC_TABLE} AS t)),
+seqs AS (
+    SELECT s.c, list_concat(coalesce(b.turns, [])[1:s.h], s.turns[s.h + 1:]) AS turns
+    FROM sums s LEFT JOIN own b ON b.c = s.c - s.c % 20),
+places AS (SELECT c, len(turns) AS size, unnest(range(len(turns) + 1)) AS d, turns FROM seqs),
+heads AS (SELECT c, size, d, turns[1:d] AS head FROM places),
+nodes AS (
+    SELECT head, any_value(d) AS d, min(c) AS first, count(*) AS n,
+        coalesce(sha256(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE size = d)), sha256('')) AS ends
+    FROM heads GROUP BY head),
+kids AS (SELECT head[1:d - 1] AS head, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+full_nodes AS (
+    SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+        CASE WHEN d > 0 THEN (n - 1) * len(regexp_extract_all(head[d].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS own
+    FROM nodes LEFT JOIN kids USING (head)),
+ways AS (SELECT head, d, n_children, own, unnest(range(d + 1)) AS a FROM full_nodes),
+below AS (
+    SELECT head[1:a] AS head, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(own) AS saved
+    FROM ways GROUP BY 1)
+SELECT f.first::BIGINT AS conv_id, f.d::BIGINT AS depth, p.first::BIGINT AS parent_conv_id, f.n::BIGINT AS n_convs,
+    f.n_children::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+FROM full_nodes f JOIN below b ON b.head = f.head LEFT JOIN nodes p ON f.d > 0 AND p.head = f.head[1:f.d - 1]
+"""
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form of every document, its likelihood ratio, and whether it is kept."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -177,5 +254,7 @@ QUERIES = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_decontaminate": (op9_decontaminate, OP9_SQL),
     "op10_langid": (op10_langid, None),
+    "op11_collocations": (op11_collocations, OP11_SQL),
+    "op12_prefix_trie": (op12_prefix_trie, OP12_SQL),
     "op13_quality_rules": (op13_quality_rules, None),
 }
