@@ -192,7 +192,8 @@ def rate(
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in named]
     trusted = labels.where(F.col(quality) == 1).select(F.col(doc_id).alias("id")).where("id IS NOT NULL").distinct()
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-    rows = materialize(sieve(rows, trusted, "id").join(trusted, "id"))
+    # Both halves of the trusted rows are joined by merging at every size; each text is shuffled once.
+    rows = sieve(rows, trusted, "id").join(trusted.hint("merge"), "id")
     table = weights(count_buckets(rows.where(~held_out("id")), "text"), count_buckets(docs, text))
     rated = append_columns(rows.where(held_out("id")), "text", RATIO, lambda t: ratio(table, t), keep=["lang"])
     rated = rated.where("ratio IS NOT NULL")
