@@ -31,12 +31,18 @@ def query(sql=None):
 KS = list(range(-5, 6))
 
 
-def offsets_sql(holiday_filter="true", prefix=""):
-    names = E.offset_columns(prefix=prefix)
-    return ", ".join(
-        f"CASE WHEN EXISTS (SELECT 1 FROM holidays h WHERE h.date = t.fecha - {k} AND {holiday_filter}) THEN 1 ELSE 0 END AS {n}"
-        for k, n in zip(KS, names)
-    )
+def name(k, group=""):
+    return f'"{hol.term(k, group)}"'
+
+
+def offsets_sql(column, holiday_filter="true"):
+    """The sorted days since events, from -5 to 5, of each day of ``t``."""
+    days = f"SELECT list_sort(list(DISTINCT CAST(t.fecha - h.date AS INTEGER))) FROM holidays h WHERE t.fecha - h.date BETWEEN -5 AND 5 AND {holiday_filter}"
+    return f"coalesce(({days}), []) AS {column}"
+
+
+def indicators_sql(column, group=""):
+    return ", ".join(f"CASE WHEN list_contains({column}, {k}) THEN 1 ELSE 0 END AS {name(k, group)}" for k in KS)
 
 
 DOW_M = [f"dow_{i}" for i in range(1, 7)] + [f"month_{i}" for i in range(2, 13)]
@@ -44,11 +50,10 @@ CONTROLS_SQL = ", ".join(
     [f"CASE WHEN isodow(fecha) - 1 = {i} THEN 1.0 ELSE 0.0 END AS dow_{i}" for i in range(1, 7)]
     + [f"CASE WHEN month(fecha) = {i} THEN 1.0 ELSE 0.0 END AS month_{i}" for i in range(2, 13)]
 )
-ALL_OFFSETS = " + ".join(E.offset_columns())
 EVENT_DAYS = f"""{S.DAILY}, {S.holidays_sql('daily')},
 day_total AS (SELECT fecha, sum(total) AS total FROM daily GROUP BY 1),
-ev AS (SELECT t.fecha, t.total, ln(t.total) AS log_total, {offsets_sql()}, {CONTROLS_SQL} FROM day_total t),
-off AS (SELECT *, {ALL_OFFSETS} AS n_overlap FROM ev)"""
+ev AS (SELECT t.fecha, t.total, ln(t.total) AS log_total, {offsets_sql('offsets')}, {CONTROLS_SQL} FROM day_total t),
+off AS (SELECT *, {indicators_sql('offsets')}, len(offsets) AS n_overlap FROM ev)"""
 
 
 def day_and_holidays(spark, sf):
@@ -56,10 +61,11 @@ def day_and_holidays(spark, sf):
     return P.daily_total(d), S.holidays(d)
 
 
-@query(f"""WITH {EVENT_DAYS} SELECT fecha, CAST(total AS BIGINT) AS total, {', '.join(E.offset_columns())}, n_overlap,
+@query(f"""WITH {EVENT_DAYS} SELECT fecha, CAST(total AS BIGINT) AS total, array_to_string(offsets, ',') AS offsets, CAST(n_overlap AS INTEGER) AS n_overlap,
 CASE isodow(fecha) WHEN 1 THEN 'lunes_puente' WHEN 7 THEN 'fin_semana' ELSE 'mitad_semana' END AS tipo FROM off""")
 def event_offsets(spark, sf):
-    return E.event_time_join(*day_and_holidays(spark, sf)).withColumn("tipo", hol.holiday_type("fecha"))
+    out = E.event_time_join(*day_and_holidays(spark, sf)).withColumn("tipo", hol.holiday_type("fecha"))
+    return out.withColumn("offsets", F.array_join("offsets", ","))
 
 
 MEDIANS = f"""{EVENT_DAYS}, med AS (SELECT isodow(fecha) AS d, median(total) AS m FROM off WHERE n_overlap = 0 GROUP BY 1),
@@ -79,19 +85,19 @@ def holiday_effect_by_type(spark, sf):
     return rounded(hol.effects_by_type(hol.individual_effects(*day_and_holidays(spark, sf))), "efecto_medio")
 
 
-TERMS = hol.event_terms()
+TERMS = [name(k) for k in hol.STUDIED]
 
 
-def offset_select(name, first, prefix="", digits=6):
+def offset_select(fit, first, digits=6):
     """Rows per offset k; position of the term in the fit is first + index."""
-    rows = ", ".join(f"({k}, {first + hol.event_terms(prefix).index(E.offset_name(k, prefix)) if k != -1 else 0})" for k in KS)
+    rows = ", ".join(f"({k}, {first + hol.STUDIED.index(k) if k in hol.STUDIED else 0})" for k in KS)
     z = 1.959963984540054
     return f"""SELECT CAST(k AS INTEGER) AS k, CASE WHEN i = 0 THEN 0.0 WHEN f.kept[i] THEN {r('f.b[i]', digits)} END AS b,
   CASE WHEN i = 0 THEN 0.0 WHEN f.kept[i] THEN {r(f'f.b[i] - {z} * sqrt(c.v[i][i])', digits)} END AS lo,
   CASE WHEN i = 0 THEN 0.0 WHEN f.kept[i] THEN {r(f'f.b[i] + {z} * sqrt(c.v[i][i])', digits)} END AS hi,
   CASE WHEN i <> 0 AND f.kept[i] AND c.v[i][i] > 0 THEN (SELECT {r(p_z('s'), digits)} FROM (SELECT f.b[i] / sqrt(c.v[i][i]) AS s)) END AS p,
   CASE WHEN i = 0 THEN 0.0 WHEN f.kept[i] THEN {r('(exp(f.b[i]) - 1) * 100', 4)} END AS pct
-FROM {name}_fit f, {name}_cov c, (VALUES {rows}) t(k, i)"""
+FROM {fit}_fit f, {fit}_cov c, (VALUES {rows}) t(k, i)"""
 
 
 @query(f"WITH RECURSIVE {EVENT_DAYS}, {ols_ctes('off', DOW_M + TERMS, 'log_total')} {offset_select('ols', len(DOW_M) + 1)}")
@@ -100,7 +106,7 @@ def daily_event_study(spark, sf):
     return rounded(out, "b", "lo", "hi", "p").withColumn("pct", F.round("pct", 4))
 
 
-PRE = [E.offset_name(k) for k in range(-5, -1)]
+PRE = [name(k) for k in hol.STUDIED if k < hol.BASELINE]
 F_SQL = f"""WITH RECURSIVE {EVENT_DAYS},
 {ols_ctes('off', DOW_M + TERMS, 'log_total', cov='nonrobust', name='full')},
 {ols_ctes('off', DOW_M + [t for t in TERMS if t not in PRE], 'log_total', cov='nonrobust', name='small')},
@@ -115,27 +121,27 @@ def pretrend_f(spark, sf):
     return rounded(hol.pretrend_test(*day_and_holidays(spark, sf)), "f", "p")
 
 
-LUN, MID = hol.event_terms("lun_"), hol.event_terms("mid_")
+LUN, MID = ([name(k, group) for k in hol.STUDIED] for group in hol.SUBGROUPS)
 KIND = "CASE isodow(h.date) WHEN 1 THEN 'lun_' WHEN 7 THEN 'fds' ELSE 'mid_' END"
 SUB = f"""{S.DAILY}, {S.holidays_sql('daily')},
 day_total AS (SELECT fecha, sum(total) AS total FROM daily GROUP BY 1),
-sub AS (SELECT t.fecha, ln(t.total) AS log_total, {offsets_sql(KIND + " = 'lun_'", 'lun_')}, {offsets_sql(KIND + " = 'mid_'", 'mid_')},
-  {CONTROLS_SQL} FROM day_total t),
+days_off AS (SELECT t.*, {offsets_sql('lun', KIND + " = 'lun_'")}, {offsets_sql('mid', KIND + " = 'mid_'")} FROM day_total t),
+sub AS (SELECT fecha, ln(total) AS log_total, {indicators_sql('lun', 'lun_')}, {indicators_sql('mid', 'mid_')}, {CONTROLS_SQL} FROM days_off),
 {ols_ctes('sub', DOW_M + LUN + MID, 'log_total', name='sg')}"""
 
 
-@query(f"""WITH RECURSIVE {SUB}, lun AS ({offset_select('sg', len(DOW_M) + 1, 'lun_')}), mid AS ({offset_select('sg', len(DOW_M) + 1 + len(LUN), 'mid_')})
+@query(f"""WITH RECURSIVE {SUB}, lun AS ({offset_select('sg', len(DOW_M) + 1)}), mid AS ({offset_select('sg', len(DOW_M) + 1 + len(LUN))})
 SELECT 'lunes_puente' AS tipo, * FROM lun UNION ALL SELECT 'mitad_semana', * FROM mid""")
 def event_study_subgroups(spark, sf):
     out = hol.event_study_subgroups(*day_and_holidays(spark, sf)).select("tipo", "k", "b", "lo", "hi", "p", "pct")
     return rounded(out, "b", "lo", "hi", "p").withColumn("pct", F.round("pct", 4))
 
 
-def _pos(term):
-    return len(DOW_M) + 1 + (LUN + MID).index(term)
+def _pos(column):
+    return len(DOW_M) + 1 + (LUN + MID).index(column)
 
 
-_tests = ", ".join(f"('k={k:+d}', {_pos(E.offset_name(k, 'lun_'))}, {_pos(E.offset_name(k, 'mid_'))})" for k in (0, 1, 2))
+_tests = ", ".join(f"('k={k:+d}', {_pos(name(k, 'lun_'))}, {_pos(name(k, 'mid_'))})" for k in (0, 1, 2))
 
 
 @query(f"""WITH RECURSIVE {SUB} SELECT restriction, {r('estimate')} AS estimate, {r('w', 4)} AS f, {r(p_f('w', '1', 'd'))} AS p

@@ -9,43 +9,24 @@ from pyspark.sql import functions as F
 WINDOW = 5
 
 
-SIDES = {True: "m", False: "p"}  # before the event, from the event day on
-
-
-def offset_columns(lo: int = -WINDOW, hi: int = WINDOW, prefix: str = "") -> list[str]:
-    """A column for each day from ``lo`` to ``hi``: ``es_m3`` is three days before, ``es_p0`` the event day."""
-    days = [(k < 0, str(k).lstrip("-")) for k in range(lo, hi + 1)]
-    return [prefix + "es_" + SIDES[early] + distance for early, distance in days]
-
-
-def offset_name(k: int, prefix: str = "") -> str:
-    return offset_columns(k, k, prefix)[0]
-
-
 def event_time_join(
     days: DataFrame, calendar: DataFrame, lo: int = -WINDOW, hi: int = WINDOW, key: str = "fecha",
-    date: str = "date", prefix: str = "", overlap: str | None = "n_overlap",
+    date: str = "date", out: str = "offsets", overlap: str | None = "n_overlap",
 ) -> DataFrame:
-    """0/1 columns telling whether a day lies k days after some event, and how many k apply.
+    """Add the sorted offsets ``k`` of a day (it lies k days after some event), and how many there are.
 
     Each event is expanded to the days it touches and joined by equality, so several events
-    may mark one day and the day table is neither multiplied nor compared by range.
+    may mark one day and the day table is neither multiplied nor compared by range. A day has
+    at most hi - lo + 1 offsets, whatever the calendar holds.
     """
-    names = offset_columns(lo, hi, prefix)
     touched = (
         calendar.select(F.col(date).cast("date").alias("_d")).distinct()
         .select(F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("_k"), "_d")
-        .select(F.date_add("_d", F.col("_k")).alias(key), "_k")
-        .groupBy(key)
-        .agg(
-            *[F.max((F.col("_k") == k).cast("int")).alias(n) for k, n in zip(range(lo, hi + 1), names)],
-            # Event dates are distinct, so a day meets each offset at most once.
-            F.count("*").cast("int").alias(overlap or "_overlap"),
-        )
+        .groupBy(F.date_add("_d", F.col("_k")).alias(key))
+        .agg(F.sort_array(F.collect_set("_k")).alias(out))
     )
-    added = [*names, *([overlap] if overlap else [])]
-    touched = touched.select(key, *added)
-    return days.join(touched, key, "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in added})
+    joined = days.join(touched, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<int>")))
+    return joined.withColumn(overlap, F.size(out)) if overlap else joined
 
 
 def nearest_same_weekday(events: DataFrame, days: DataFrame, n: int, excluded: DataFrame | None = None,

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from farebox.functions.calendar import holiday_type
 from farebox.functions.numeric import one_hot, percent, stars
-from farebox.operators.events import WINDOW, event_time_join, offset_name
+from farebox.operators.events import WINDOW, event_time_join
 from farebox.operators.panels import median_by
 from farebox.operators.regression import OlsModel, ols_fit
-from farebox.session import literal_table
 
 BASELINE = -1
+STUDIED = [k for k in range(-WINDOW, WINDOW + 1) if k != BASELINE]
 DOW_LEVELS, MONTH_LEVELS = range(7), range(1, 13)
 
 
@@ -28,25 +28,32 @@ def daily_frame(daily: DataFrame, holidays: DataFrame) -> tuple[DataFrame, list[
     return calendar_controls(df)
 
 
-def event_terms(prefix: str = "") -> list[str]:
-    return [offset_name(k, prefix) for k in range(-WINDOW, WINDOW + 1) if k != BASELINE]
+def term(k: int, group: str = "") -> str:
+    """The regressor of an offset is named by the signed offset itself, after its group."""
+    return f"{group}{k:+d}"
+
+
+def indicators(df: DataFrame, offsets: str = "offsets", group: str = "") -> tuple[DataFrame, list[str]]:
+    """An indicator for every studied offset among a day's ``offsets``; the baseline has none."""
+    has = {term(k, group): F.array_contains(offsets, k).cast("int") for k in STUDIED}
+    return df.withColumns(has), list(has)
 
 
 def fit_event_study(daily: DataFrame, holidays: DataFrame, cov: str = "hc3") -> OlsModel:
     df, controls = daily_frame(daily, holidays)
-    return ols_fit(df, "log_total", event_terms(), controls, cov=cov, compress=False)
+    df, terms = indicators(df)
+    return ols_fit(df, "log_total", terms, controls, cov=cov, compress=False)
 
 
-def _by_offset(coefs: DataFrame, prefix: str = "") -> DataFrame:
-    """Coefficients with their offset k, the omitted baseline as a zero row, per cent and stars."""
-    spark = coefs.sparkSession
-    ks = literal_table(
-        spark, [(k, offset_name(k, prefix)) for k in range(-WINDOW, WINDOW + 1)], "k int, term string"
+def _by_offset(coefs: DataFrame, group: str = "") -> DataFrame:
+    """Coefficients with their offset k, read off the terms, the omitted baseline as a zero row, per cent and stars."""
+    own = coefs.where(F.col("term").startswith(group))
+    rows = own.select(F.substring("term", len(group) + 1, 9).cast("int").alias("k"), "b", "lo", "hi", "p")
+    zero = F.lit(0.0)
+    base = coefs.sparkSession.range(1).select(
+        F.lit(BASELINE).alias("k"), zero.alias("b"), zero.alias("lo"), zero.alias("hi"), F.lit(None).cast("double").alias("p")
     )
-    full = ks.join(coefs.select("term", "b", "lo", "hi", "p"), "term", "left")
-    base = F.col("k") == BASELINE
-    zero = {c: F.when(base, F.lit(0.0)).otherwise(F.col(c)) for c in ("b", "lo", "hi")}
-    return full.withColumns(zero).select(
+    return rows.unionByName(base).select(
         "k", "b", "lo", "hi", "p", percent("b").alias("pct"), F.coalesce(stars("p"), F.lit("")).alias("sig")
     )
 
@@ -58,7 +65,7 @@ def event_study_daily(daily: DataFrame, holidays: DataFrame) -> DataFrame:
 
 def pretrend_test(daily: DataFrame, holidays: DataFrame) -> DataFrame:
     """Joint F test that the offsets before the baseline are zero, from classical fits."""
-    before = [offset_name(k) for k in range(-WINDOW, BASELINE)]
+    before = [term(k) for k in STUDIED if k < BASELINE]
     return fit_event_study(daily, holidays, cov="nonrobust").nested_f(before)
 
 
@@ -69,24 +76,26 @@ def fit_subgroups(daily: DataFrame, holidays: DataFrame) -> OlsModel:
     """Joint model with separate offsets for bridge Mondays and midweek holidays."""
     df = daily.withColumn("log_total", F.log("total"))
     typed = holidays.select("date").distinct().withColumn("tipo", holiday_type("date"))
-    for prefix, kind in SUBGROUPS.items():
-        df = event_time_join(df, typed.where(F.col("tipo") == kind), prefix=prefix, overlap=None)
+    terms = []
+    for group, kind in SUBGROUPS.items():
+        df = event_time_join(df, typed.where(F.col("tipo") == kind), out=f"{group}offsets", overlap=None)
+        df, own = indicators(df, f"{group}offsets", group)
+        terms += own
     df, controls = calendar_controls(df)
-    terms = [t for prefix in SUBGROUPS for t in event_terms(prefix)]
     return ols_fit(df, "log_total", terms, controls, cov="hc3", compress=False)
 
 
 def event_study_subgroups(daily: DataFrame, holidays: DataFrame) -> DataFrame:
     coefs = fit_subgroups(daily, holidays).coefficients()
     parts = [
-        _by_offset(coefs, prefix).withColumn("tipo", F.lit(kind)) for prefix, kind in SUBGROUPS.items()
+        _by_offset(coefs, group).withColumn("tipo", F.lit(kind)) for group, kind in SUBGROUPS.items()
     ]
     return parts[0].unionByName(parts[1])
 
 
 def subgroup_equality(daily: DataFrame, holidays: DataFrame, offsets=(0, 1, 2)) -> DataFrame:
     """F test, per offset, that both types have the same effect."""
-    tests = {f"k={k:+d}": {offset_name(k, "lun_"): 1.0, offset_name(k, "mid_"): -1.0} for k in offsets}
+    tests = {f"k={k:+d}": {term(k, "lun_"): 1.0, term(k, "mid_"): -1.0} for k in offsets}
     return fit_subgroups(daily, holidays).wald(tests)
 
 

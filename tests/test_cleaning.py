@@ -17,8 +17,8 @@ from farebox.streaming.ingest import ingest_incremental
 
 HEADER = "Fecha_Transaccion,Tiempo,Linea,Estacion,Entradas_E,Salidas_S\n"
 TWO_ROWS = (
-    "2025-03-04,05:15:00,(36)Zona A - Caracas,(9001)Portal Norte,100,80\n"
-    "2025-03-04,05:30:00,(36)Zona A - Caracas,(9001)Portal Norte,200,150\n"
+    "2025-11-08,18:45:00,(12)Zona H - Caracas Sur,(2304)Calle 57,37,412\n"
+    "2025-11-08,19:00:00,(12)Zona H - Caracas Sur,(2304)Calle 57,61,295\n"
 )
 
 
@@ -28,14 +28,14 @@ def raw_frame(spark, rows):
 
 def test_csv_to_warehouse(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "salidas20250115.csv").write_text(HEADER + TWO_ROWS, encoding="utf-8")
+    (tmp_path / "in" / "salidas20251108.csv").write_text(HEADER + TWO_ROWS, encoding="utf-8")
     etl.run_from_csv(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     table = facts.read_validations(spark, str(tmp_path / "out" / "validations"))
     assert table.columns == FACT_COLUMNS
     got = {(r.hora, r.codigo_linea, r.codigo_estacion, r.entradas, r.salidas, r.total) for r in table.collect()}
-    assert got == {("05:15:00", 36, 9001, 100, 80, 180), ("05:30:00", 36, 9001, 200, 150, 350)}
+    assert got == {("18:45:00", 12, 2304, 37, 412, 449), ("19:00:00", 12, 2304, 61, 295, 356)}
     names = spark.read.json(str(tmp_path / "out" / "dims" / "dim_estacion")).collect()
-    assert [(r.codigo_estacion, r.nombre_estacion) for r in names] == [(9001, "Portal Norte")]
+    assert [(r.codigo_estacion, r.nombre_estacion) for r in names] == [(2304, "Calle 57")]
     # A second run replaces the day instead of adding to it.
     etl.run_from_csv(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     assert facts.read_validations(spark, str(tmp_path / "out" / "validations")).count() == 2
@@ -59,11 +59,11 @@ def test_csv_to_kpi_files(spark, tmp_path):
     lists = reference.read_dim(spark, f"{out}/dims/linea_estaciones", "array<long>").toDF("codigo_linea", "estaciones")
     kpis.run(table, names["dim_linea"], lists, names["dim_estacion"], f"{out}/kpis")
     read = lambda name: [r.asDict() for r in spark.read.json(f"{out}/kpis/{name}").collect()]
-    assert read("promedio_diario")[0]["promedio_diario"] == (530 + 7001) / 2
+    assert read("promedio_diario")[0]["promedio_diario"] == (805 + 7001) / 2
     assert read("hora_pico") == [{"hora_int": 17, "total": 7001, "franja": "17:00 - 18:00"}]
     assert read("linea_principal")[0]["nombre_linea"] == "Zona T" and read("estacion_principal")[0]["codigo_estacion"] == 40003
-    assert {(r["Linea"], r["total_linea"]) for r in read("tabla_troncales")} == {("Zona T", 7001), ("Zona A - Caracas", 530)}
-    assert {r["codigo_estacion"]: r["promedio_diario"] for r in read("estacion_stats")} == {9001: 300, 40003: 7000}
+    assert {(r["Linea"], r["total_linea"]) for r in read("tabla_troncales")} == {("Zona T", 7001), ("Zona H - Caracas Sur", 805)}
+    assert {r["codigo_estacion"]: r["promedio_diario"] for r in read("estacion_stats")} == {2304: 98, 40003: 7000}
 
 
 def test_extra_columns_are_dropped_and_missing_ones_named(spark, tmp_path):
@@ -169,7 +169,7 @@ def test_archives(spark, tmp_path):
 def test_broken_and_repeated_members(spark, tmp_path):
     big = HEADER + "".join(f"2025-01-15,07:00:00,(3)L,({k % 90000})E,{k},1\n" for k in range(300_000))
     with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as zf:
-        zf.writestr("dia.csv", HEADER + TWO_ROWS.replace("100", "NA"))
+        zf.writestr("dia.csv", HEADER + TWO_ROWS.replace(",37,", ",NA,"))
         zf.writestr("roto.csv", big)
     data = bytearray((tmp_path / "a.zip").read_bytes())
     data[len(data) * 3 // 4] ^= 0xFF  # inside the second member
@@ -178,7 +178,7 @@ def test_broken_and_repeated_members(spark, tmp_path):
         zf.writestr("dia.csv", HEADER + TWO_ROWS)
     out = raw.extract_archives(spark, str(tmp_path)).cache()
     assert {r.member for r in raw.bad_inputs(out).collect()} == {"roto.csv"}
-    assert sorted(r.Entradas_E for r in raw.extracted_rows(out).collect()) == ["200", "NA"]
+    assert sorted(r.Entradas_E for r in raw.extracted_rows(out).collect()) == ["61", "NA"]
 
 
 def test_dims_round_trip_and_refresh(spark, tmp_path):
@@ -189,9 +189,9 @@ def test_dims_round_trip_and_refresh(spark, tmp_path):
     (tmp_path / "src" / "b.csv").write_text("Extra," + HEADER + "x,2025-01-15,08:00:00,(40)Zona T,(40003)Mirador,5,5\n")
     ingest_incremental(spark, src, table, ckpt, dims=folder)
     read = lambda name, kind="string": sorted(map(tuple, reference.read_dim(spark, f"{folder}/{name}", kind).collect()))
-    assert read("dim_linea") == [(36, "Zona A - Caracas"), (40, "Zona T")]
-    assert read("dim_estacion") == [(9001, "Portal Norte"), (40003, "Mirador")]
-    assert read("linea_estaciones", "array<long>") == [(36, [9001]), (40, [40003])]
+    assert read("dim_linea") == [(12, "Zona H - Caracas Sur"), (40, "Zona T")]
+    assert read("dim_estacion") == [(2304, "Calle 57"), (40003, "Mirador")]
+    assert read("linea_estaciones", "array<long>") == [(12, [2304]), (40, [40003])]
     (tmp_path / "bad.json").write_text("no json")
     with pytest.raises(Exception, match="not a dimension"):
         reference.read_dim(spark, str(tmp_path / "bad.json")).collect()
@@ -206,7 +206,7 @@ def test_slots_from_two_loads(spark, tmp_path):
     etl_rows = clean.clean(raw.read_raw_csv(spark, f"{src}/a.csv"))
     facts.write_validations(etl_rows, table)  # a full load shares the table
     assert facts.read_validations(spark, table).count() == 6
-    assert sorted(r.total for r in facts.regroup_slots(facts.read_validations(spark, table)).collect()) == [540, 1050]
+    assert sorted(r.total for r in facts.regroup_slots(facts.read_validations(spark, table)).collect()) == [1068, 1347]
 
 
 def test_index_links(spark):

@@ -142,8 +142,8 @@ def test_overlap_counts(spark):
     days = spark.createDataFrame([(dt.date(2025, 1, d),) for d in range(1, 20)], "fecha date")
     hol = spark.createDataFrame([(dt.date(2025, 1, 5),), (dt.date(2025, 1, 8),), (dt.date(2025, 1, 8),)], "date date")
     got = {r.fecha.day: r for r in event_time_join(days, hol).collect()}
-    assert (got[6].n_overlap, got[6].es_p1, got[6].es_m2) == (2, 1, 1)
-    assert got[14].n_overlap == 0 and got[13].es_p5 == 1
+    assert (got[6].n_overlap, got[6].offsets) == (2, [-2, 1])
+    assert (got[14].n_overlap, got[14].offsets, got[13].offsets) == (0, [], [5])
 
 
 def brute_controls(events, days, n, barred, skip_self):
