@@ -20,8 +20,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,6 @@ from farebox.llm.arrays import SPANS, SPANS_ARROW, append_columns, code_points,
 BASE_KINDS = ["assign", "access", "hex"]
 ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
-HEX = re.compile(rb"[0-9a-f]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 UPPER, LOWER, DIGIT = (frozenset(r) for r in (range(65, 91), range(97, 123), range(48, 58)))
@@ -54,6 +56,7 @@ class CharClass:
 CLASSES = (
     CharClass("hex", DIGIT | frozenset(b"ABCDEFabcdef"), 20, 2.9, (DIGIT, frozenset(b"ABCDEFabcdef"))),
     CharClass("base36", DIGIT | LOWER, 24, 3.7, (DIGIT, LOWER)),
+    CharClass("base32", DIGIT | UPPER, 16, 3.0, (DIGIT, UPPER)),
     CharClass("base64", DIGIT | LOWER | UPPER | frozenset(b"+/_=-"), 24, 3.9, (DIGIT, LOWER, UPPER)),
 )
 # Candidates that are no secrets: identifiers in 8-4-4-4-12 form, names in capitals, words joined by signs.
@@ -85,17 +88,23 @@ def long_runs(raw: np.ndarray, inside: np.ndarray, limits: np.ndarray, least: in
     return np.array(pieces, np.int64).reshape(-1, 2)
 
 
-def entropy_windows(data: bytes, cls: CharClass) -> list[tuple[int, int]]:
-    """Merged windows of a candidate over the class's bound, as byte positions."""
-    width, found = cls.window, []
+@cache
+def step_tables(cls: CharClass) -> tuple[list[float], float, list[tuple[int, ...]]]:
+    """n log n by count, the most that its sum may reach, and the groups of each byte."""
+    width = cls.window
     plogp = [0.0] + [n * math.log2(n) for n in range(1, width + 1)]
-    log_width = math.log2(width)
     # width * (log2(width) - bits) is the most that the sum of n log n may reach.
-    most = width * (log_width - cls.bits) + 1e-9
+    most = width * (math.log2(width) - cls.bits) + 1e-9
+    return plogp, most, [tuple(g for g, members in enumerate(cls.groups) if b in members) for b in range(256)]
+
+
+def entropy_windows(data: bytes, cls: CharClass) -> list[tuple[int, int]]:
+    """Merged windows of a candidate over the class's bound, as byte positions."""
+    width, members, found = cls.window, cls.members, []
+    plogp, most, groups = step_tables(cls)
     counts, total, held, begin = [0] * 256, 0.0, [0] * len(cls.groups), 0
-    groups = [[g for g, members in enumerate(cls.groups) if b in members] for b in range(256)]
     for i, byte in enumerate(data):
-        if byte not in cls.members:
+        if byte not in members:
             counts, total, held, begin = [0] * 256, 0.0, [0] * len(cls.groups), i + 1
             continue
         n = counts[byte]
@@ -119,6 +128,19 @@ def entropy_windows(data: bytes, cls: CharClass) -> list[tuple[int, int]]:
     return found
 
 
+class Covered:
+    """Whether a span lies inside one of many: by binary search in their starts and the furthest end so far."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        spans = sorted(spans)
+        self.starts = [s for s, _, _ in spans]
+        self.reach = list(accumulate((e for _, e, _ in spans), max))
+
+    def holds(self, start: int, end: int) -> bool:
+        at = bisect_right(self.starts, start)
+        return at > 0 and self.reach[at - 1] >= end
+
+
 class Scanner:
     def __init__(self, classes: Iterable[CharClass] = CLASSES, allow: Iterable[str] = (), patterns: Iterable[bytes] = ALLOWED):
         self.classes = tuple(classes)
@@ -137,14 +159,14 @@ class Scanner:
             found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
         return found
 
-    def entropy_in(self, candidate: bytes, start: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    def entropy_in(self, candidate: bytes, start: int, covered: "Covered") -> list[tuple[int, int, str]]:
         if self.suppressed(candidate):
             return []
         found = []
         for cls in self.classes:
             for a, b in entropy_windows(candidate, cls):
                 a, b = a + start, b + start
-                if not any(s <= a and b <= e for s, e, _ in base):
+                if not covered.holds(a, b):
                     found.append((a, b, f"entropy_{cls.name}"))
         return found
 
@@ -165,9 +187,9 @@ class Scanner:
             a, b = np.searchsorted(candidate_row, [row, row + 1])
             more = []
             if a < b:
+                covered = Covered(base)
                 for s, e in candidates[a:b].tolist():
-                    near = [x for x in base if x[0] < e - low and x[1] > s - low]
-                    more += self.entropy_in(data[s:e], s - low, near)
+                    more += self.entropy_in(data[s:e], s - low, covered)
             spans = sorted({*base, *more}, key=lambda x: (x[0], order[x[2]], x[1]))
             if not spans:
                 out.append([])

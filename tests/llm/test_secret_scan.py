@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pyarrow as pa
@@ -73,3 +74,36 @@ def test_frames(spark):
     assert clean.columns == docs.columns
     assert [r.text for r in clean.collect()] == ["a [secret]!", None, "", "a [secret]!", "x" * 50_000 + " [secret]"]
     assert ss.redact(docs.limit(0)).count() == 0
+
+
+def test_many_keys_in_one_text_take_linear_time():
+    rng = random.Random(4)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(1000)]
+    scan = ss.Scanner()
+
+    def took(n):
+        text = " ".join(f"token={keys[k % 1000]}" if k % 2 else keys[k % 1000] for k in range(n))
+        start = time.perf_counter()
+        found = scan.scan(pa.array([text]))
+        assert len(found[0]) == n + n // 2  # a hex span each, and an assignment for every other
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(100_000) < 60 and took(40_000) < 9 * max(took(10_000), 0.05)
+
+
+def test_covered_spans_equal_direct_search():
+    rng = random.Random(8)
+    for _ in range(50):
+        spans = [(s, s + rng.randint(1, 9), "x") for s in (rng.randint(0, 40) for _ in range(rng.randint(0, 8)))]
+        covered = ss.Covered(spans)
+        for a in range(45):
+            for b in range(a + 1, 50):
+                assert covered.holds(a, b) == any(s <= a and b <= e for s, e, _ in spans)
+
+
+def test_upper_case_keys():
+    keys = ["JBSWY3DPEHPK3PXP", "K7QZ2MXW5VRT4NHB", "GEZDGNBVGY3TQOJQGEZDGNBVGY3TQOJQ"]
+    text = "Codes: " + ", ".join(keys) + "; ABCDEFGHIJKLMNOPQRST, VERSION_2024, AAAA1111AAAA1111, ISO9001"
+    spans = ss.Scanner().scan(pa.array([text])).to_pylist()[0]
+    assert [text[s["start"]:s["end"]] for s in spans if s["kind"] == "entropy_base32"] == keys
