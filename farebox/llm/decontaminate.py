@@ -1,9 +1,11 @@
 """Verbatim benchmark passages in documents, by suffix arrays over the training words.
 
 Each slice of documents in a task is a shard: its words get a suffix array, sorted as deep as
-the longest item. Every suffix of every item is looked up by binary search, which gives its
-longest verbatim match in the shard; matches of a whole window give its interval in the suffix
-array and so all places. Places are checked byte by byte and chained to maximal matches.
+a window. Every suffix of every item is looked up by binary search; one that shares a whole window
+with the shard gives an interval of the suffix array and so all places. Only the places at which a
+match begins, where the words before differ, are taken out of the interval, by runs of equal words
+before; from each the longest verbatim match is followed byte by byte. So a passage that repeats itself
+costs no more than its maximal matches, however many windows lie in them.
 
 A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is
 one window. Words are runs of digits, letters a-z and all characters beyond ASCII, after A-Z
@@ -24,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,18 +158,19 @@ class Lookup:
         low = self._first(low, high, ahead, least)
         return low, self._first(low, high, ahead, least + (np.uint64(1) << shift))
 
-    def longest(self, query: np.ndarray) -> np.ndarray:
-        """Words that each item suffix has in common with its best place in the shard."""
+    def longest(self, query: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
+        """Words that each item suffix has in common with its best place in the shard, ``most`` at most."""
         length = np.zeros(len(query), np.int64)
+        end = self.items.stop[query] - query
+        end = end if most is None else np.minimum(end, most)
         low, high = np.zeros(len(query), np.int64), np.full(len(query), len(self.order), np.int64)
         live, ahead = np.arange(len(query)), 0
         while len(live):
-            left = self.items.stop[query[live]] - query[live] - ahead
-            live = live[left > 0]
-            most = np.minimum(left[left > 0], 3)
+            live = live[end[live] > ahead]
+            left = np.minimum(end[live] - ahead, 3)
             whole = np.zeros(len(live), bool)
             for count in (3, 2, 1):
-                at = np.flatnonzero((most >= count) & (length[live] == ahead))
+                at = np.flatnonzero((left >= count) & (length[live] == ahead))
                 if len(at):
                     who = live[at]
                     a, b = self.narrow(query[who], low[who], high[who], ahead, np.full(len(at), count))
@@ -179,16 +183,36 @@ class Lookup:
         return length
 
     def places(self, query: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the query, word of the shard) of all places that equal its first ``size`` words."""
+        """The interval of the suffix array whose words begin with each query's first ``size`` words."""
         low, high = np.zeros(len(query), np.int64), np.full(len(query), len(self.order), np.int64)
         for ahead in range(0, int(size.max(initial=0)), 3):
-            at = np.flatnonzero(size > ahead)
+            at = np.flatnonzero((size > ahead) & (low < high))
             count = np.minimum(size[at] - ahead, 3)
             low[at], high[at] = self.narrow(query[at], low[at], high[at], ahead, count)
-        counts = high - low
-        index = np.repeat(np.arange(len(query)), counts)
-        shift = np.repeat(low - (np.cumsum(counts) - counts), counts)
-        return index, self.order[shift + np.arange(len(shift))]
+        return low, high
+
+    def heads(self, query: np.ndarray, size: np.ndarray, before: np.ndarray, shard_before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the query, word of the shard) of the places that aren't preceded by the query's word ``before``."""
+        low, high = self.places(query, size)
+        at = np.flatnonzero(low < high)
+        low, high, before = low[at], high[at], before[at]
+        ahead = shard_before[self.order]
+        first = np.flatnonzero(np.diff(ahead, prepend=-9))  # of each run of equal words before
+        run = np.cumsum(np.diff(ahead, prepend=-9) != 0) - 1
+        owner, runs = spread(run[low], run[high - 1] + 1)
+        last = np.append(first, len(ahead))[1:]
+        begin, end = np.maximum(first[runs], low[owner]), np.minimum(last[runs], high[owner])
+        other = ahead[begin] != before[owner]
+        owner, begin, end = owner[other], begin[other], end[other]
+        which, place = spread(begin, end)
+        return at[owner[which]], self.order[place]
+
+
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, value) of all values of many ranges."""
+    counts = high - low
+    index = np.repeat(np.arange(len(low)), counts)
+    return index, np.arange(len(index)) + np.repeat(low - (np.cumsum(counts) - counts), counts)
 
 
 class Items:
@@ -204,21 +228,45 @@ class Items:
         self.item, self.query = number, word
         self.size = np.where(is_window, np.minimum(size, window), 0)
         self.depth = int(size.max(initial=0))
-
-
-def exact(shard: Words, items: Words, place: np.ndarray, query: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which places have the bytes of the query's words."""
-    same = np.ones(len(place), bool)
-    for k in range(int(size.max(initial=0))):
-        at = np.flatnonzero(same & (size > k))
-        same[at] = shard.hashes[place[at] + k] == items.hashes[query[at] + k]
-    known: dict[int, list[bytes]] = {}
-    for i in np.flatnonzero(same):
-        q, n = int(query[i]), int(size[i])
-        if q not in known:
-            known[q] = items.text(q, n)
-        same[i] = shard.text(int(place[i]), n) == known[q]
-    return same
+        self.joined = Joined(words)
+
+
+class Joined:
+    """The words of all rows with a space after each, so that equal words are equal bytes."""
+
+    def __init__(self, words: Words):
+        lengths = words.ends - words.starts + 1
+        self.at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        data = np.full(int(self.at[-1]), 32, np.uint8)
+        inside = np.ones(len(data), bool)
+        inside[self.at[1:] - 1] = False
+        _, source = spread(words.starts, words.ends)
+        data[inside] = words.low[source]
+        self.data = data
+        pieces = [None, pa.py_buffer(self.at), pa.py_buffer(data)]
+        self.values = pa.Array.from_buffers(pa.large_binary(), len(lengths), pieces)
+
+
+def before_words(words: Words, number: np.ndarray, none: int) -> np.ndarray:
+    """The number of the word before each word, ``none`` at the start of a row."""
+    out = np.full(len(number), none, np.int64)
+    out[1:] = number[:-1]
+    starts = words.limits[:-1][np.diff(words.limits) > 0]
+    out[starts] = none
+    return out
+
+
+def common_words(a: Joined, b: Joined, x: int, y: int, most: int) -> int:
+    """How many words from word x of ``a`` and word y of ``b`` on are equal, ``most`` at most."""
+    length = int(a.at[x + most] - a.at[x])
+    left, right = a.data[a.at[x] : a.at[x] + length], b.data[b.at[y] : b.at[y] + length]
+    if len(right) == length and np.array_equal(left, right):
+        return most
+    size = min(len(left), len(right))
+    differ = left[:size] != right[:size]
+    end = int(differ.argmax()) if differ.any() else size
+    # Whole words before the first byte that differs; the space after each belongs to it.
+    return int(np.searchsorted(a.at, a.at[x] + end, "right")) - 1 - x
 
 
 def find_matches(texts: pa.Array, items: Items) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -227,39 +275,31 @@ def find_matches(texts: pa.Array, items: Items) -> tuple[Words, np.ndarray, np.n
     none = np.zeros((0, 4), np.int64)
     if not len(shard.starts) or not items.depth:
         return shard, np.zeros(0, np.int64), none
-    lookup = Lookup(shard, items.words, items.depth)
+    lookup = Lookup(shard, items.words, int(items.size.max(initial=0)))
     wanted = np.flatnonzero(items.size > 0)
-    length = lookup.longest(items.query[wanted])
-    hit = wanted[length >= items.size[wanted]]
-    index, place = lookup.places(items.query[hit], items.size[hit])
-    query = hit[index]
-    good = exact(shard, items.words, place, query, items.size[query])
-    query, place = query[good], place[good]
-    if not len(query):
+    # How far beyond a window a match goes is seen from its first place; here a whole window decides.
+    wanted = wanted[lookup.longest(wanted, items.size[wanted]) >= items.size[wanted]]
+    joined = Joined(shard)
+    known = joined.values.dictionary_encode()
+    shard_number = known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    item_number = pc.index_in(items.joined.values, value_set=known.dictionary).fill_null(-4).to_numpy(zero_copy_only=False).astype(np.int64)
+    # A window that is a short item whole begins at its first word; no word goes before.
+    before = before_words(items.words, item_number, -3)[wanted]
+    index, place = lookup.heads(wanted, items.size[wanted], before, before_words(shard, shard_number, -1))
+    query = wanted[index]
+    most = np.minimum(items.words.stop[query] - query, shard.stop[place] - place)
+    enough = most >= items.size[query]
+    query, place, most = query[enough], place[enough], most[enough]
+    length = np.array([common_words(items.joined, joined, q, p, m) for q, p, m in zip(query.tolist(), place.tolist(), most.tolist())], np.int64)
+    good = np.flatnonzero(length >= items.size[query]) if len(query) else np.zeros(0, np.int64)
+    if not len(good):
         return shard, np.zeros(0, np.int64), none
-    by = np.lexsort((place, place - query, items.item[query]))
-    query, place = query[by], place[by]
-    chain = np.ones(len(query), bool)
+    query, place, length = query[good], place[good], length[good]
     row = np.searchsorted(shard.limits, place, "right") - 1
-    chain[1:] = (
-        (items.item[query[1:]] != items.item[query[:-1]])
-        | (place[1:] != place[:-1] + 1)
-        | (query[1:] != query[:-1] + 1)
-        | (row[1:] != row[:-1])
-    )
-    head = np.flatnonzero(chain)
-    last = np.append(head[1:], len(query)) - 1
-    found = np.stack(
-        [
-            items.item[query[head]],
-            query[head] - items.words.limits[items.item[query[head]]],
-            place[head] - shard.limits[row[head]],
-            place[last] + items.size[query[last]] - place[head],
-        ],
-        axis=1,
-    )
-    by = np.lexsort((found[:, 0], found[:, 2], row[head]))
-    return shard, row[head][by], found[by]
+    item = items.item[query]
+    found = np.stack([item, query - items.words.limits[item], place - shard.limits[row], length], axis=1)
+    by = np.lexsort((found[:, 0], found[:, 2], row))
+    return shard, row[by], found[by]
 
 
 def match_benchmark(

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -94,3 +95,35 @@ def test_frames_blocks_and_edges(spark, block_bytes):
     assert dc.match_benchmark(docs.limit(0), bench).count() == 0
     none = dc.match_benchmark(docs, bench.limit(0)).agg(F.sum(F.size("matches")), F.count("*")).first()
     assert tuple(none) == (0, len(texts))
+
+
+def test_repeated_words_cost_no_more_than_their_matches(spark):
+    """An item of one word over and over, and a document of it: every pair of window and place would be 400 million."""
+    many = 20_000
+    docs = spark.createDataFrame([(1, "la " * many), (2, "la " * 30 + "li " + "la " * 12), (3, "lo")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "la " * many), (2, "la " * 13 + "li"), (3, "la la")], "item_id long, text string")
+    start = time.time()
+    got = dc.match_benchmark(docs, bench).select("doc_id", "n_words", dc.n_hit("matches").alias("h"), dc.item_list("matches").alias("i"))
+    assert sorted((r.doc_id, r.n_words, r.h, r.i) for r in got.collect()) == [
+        (1, many, many, ["1", "2", "3"]), (2, 43, 43, ["1", "2", "3"]), (3, 1, 0, [])
+    ]
+    assert time.time() - start < 60
+
+
+def test_periodic_texts_equal_brute_force():
+    rng = random.Random(9)
+    for _ in range(30):
+        unit = [rng.choice("ab") for _ in range(rng.randint(1, 3))]
+        texts = [" ".join((unit * 12)[: rng.randint(0, 25)] + [rng.choice("abc")] + unit * 4) for _ in range(4)]
+        items = list(enumerate(" ".join((unit * 10)[rng.randint(0, 2) : rng.randint(5, 25)]) for _ in range(3)))
+        window = rng.randint(1, 6)
+        shard, row, found = dc.find_matches(pa.array(texts), dc.Items([t for _, t in items], window))
+        for r, (n, hit, ids) in enumerate(brute(texts, items, window)):
+            mine = found[row == r]
+            assert (len({w for _, _, d, k in mine for w in range(d, d + k)}), sorted({str(i) for i in mine[:, 0]})) == (hit, ids)
+            assert len({(i, p, d) for i, p, d, _ in mine.tolist()}) == len(mine)
+            for i, p, d, k in mine.tolist():  # maximal: neither side goes on
+                v, w = words(items[i][1]), words(texts[r])
+                assert v[p : p + k] == w[d : d + k]
+                assert p == 0 or d == 0 or v[p - 1] != w[d - 1]
+                assert p + k == len(v) or d + k == len(w) or v[p + k] != w[d + k]
