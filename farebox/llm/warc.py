@@ -29,6 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from farebox.llm.sieve import mark
+from farebox.session import materialize
+
 REVISIT_BYTES = 1000
 PART_BYTES = 1 << 20
 INFLATE_BYTES = 1 << 16
@@ -74,15 +77,23 @@ def member(data: bytes) -> bytes:
 def plan_revisits(pages: DataFrame) -> DataFrame:
     """Add ``refers_to`` to pages (id, uri, payload): the id of the response for revisits, else null.
 
-    Payloads are compared by SHA-256 and length. The largest id of each is found before the
-    shuffle, and only payloads that occur more than once are joined back.
+    Payloads are compared by SHA-256 and length, and (id, digest) alone is shuffled for that: the largest id
+    of each digest is found before the shuffle, and only digests that occur more than once are joined
+    back. A bitmap of the ids of revisits then spares all other pages a shuffle of their payloads.
     """
-    pages = pages.withColumn("same", F.when(F.octet_length("payload") >= REVISIT_BYTES, F.sha2("payload", 256)))
-    groups = pages.where("same IS NOT NULL").groupBy("same").agg(F.max("id").alias("last"), F.count("*").alias("n"))
+    digest = F.when(F.octet_length("payload") >= REVISIT_BYTES, F.sha2("payload", 256))
+    keyed = pages.select("id", digest.alias("same")).where("same IS NOT NULL")
+    groups = keyed.groupBy("same").agg(F.max("id").alias("last"), F.count("*").alias("n"))
     groups = groups.where("n > 1 AND last IS NOT NULL").select("same", "last")
-    joined = pages.join(groups, "same", "left")
-    refers = F.when(~F.col("id").eqNullSafe(F.col("last")), F.col("last"))
-    return joined.select("id", "uri", "payload", refers.alias("refers_to"))
+    later = keyed.join(groups, "same").where(~F.col("id").eqNullSafe(F.col("last"))).distinct()
+    later = materialize(later)
+    marked = mark(pages, later, "id", "may_revisit")
+    plain = marked.where("NOT may_revisit").withColumn("refers_to", F.lit(None).cast("long"))
+    likely = marked.where("may_revisit").withColumn("same", digest)
+    match = later.withColumnsRenamed({"id": "id_", "same": "same_"})
+    likely = likely.join(match, likely["id"].eqNullSafe(match["id_"]) & (likely["same"] == match["same_"]), "left")
+    columns = ["id", "uri", "payload", "refers_to"]
+    return plain.select(*columns).unionByName(likely.withColumnRenamed("last", "refers_to").select(*columns))
 
 
 def write_parts(pages: DataFrame, record_id: str, uri: str, text: str, part_bytes: int = PART_BYTES) -> DataFrame:
