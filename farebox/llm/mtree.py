@@ -15,7 +15,8 @@ Trees are built in one task each and written to the shared folder; blocks of que
 tree, and the best of all shards are merged per query. Neither grows with the table.
 
 Vectors that are null or hold a null or non-finite component, and rows with a null id, take no
-part. Of several rows with one id the smallest vector counts. Shorter vectors end in zeros.
+part. Rows with one id are candidates each, but not for a query of this id; queries with one id share
+the list of the best that any of them finds. Shorter vectors end in zeros.
 With fewer other vectors than k, all are returned; an empty table gives an empty result. Extra
 columns are ignored.
 """
@@ -155,14 +156,14 @@ class MTree:
 
     @staticmethod
     def _offer(best: list, scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> None:
+        others = ids != own
+        scores, ids = scores[others], ids[others]
         least = best[0][0] if len(best) == k else -math.inf
-        if len(scores) > k + 1:
-            least = max(least, np.partition(scores, -k - 1)[-k - 1])  # k of them, and the query's own row
+        if len(scores) > k:
+            least = max(least, np.partition(scores, -k)[-k])
         at = np.flatnonzero(scores >= least)
         for score, i in zip(scores[at].tolist(), ids[at].tolist()):
             entry = (int(score), -i)
-            if i == own:
-                continue
             if len(best) < k:
                 heapq.heappush(best, entry)
             elif entry > best[0]:
@@ -200,7 +201,8 @@ def build_trees(vectors: DataFrame, width: int, shards: int, page: int) -> DataF
         tree = MTree(table.column("id").to_numpy(), matrix(lists, width), page)
         return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "tree": pa.array([tree.dump()], pa.binary())})
 
-    sharded = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    # Dealt by row, so an id that very many rows share is in all shards.
+    sharded = vectors.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
     return materialize(sharded.groupBy("shard").applyInArrow(build, "shard int, tree binary"))
 
 
@@ -221,14 +223,14 @@ def top_inner_products(
     """
     rows = table.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("x"))
     rows = rows.select("id", quantised("x", scale).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    rows = materialize(rows.groupBy("id").agg(F.min("v").alias("v")))
+    rows = materialize(rows)
     asked = rows.where(queries)
     total, width, many = rows.agg(F.count("*"), F.max(F.size("v")), F.count(F.when(queries, 1))).first()
     shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-many // query_rows))
     trees = build_trees(rows, width or 0, shards, page)
     # Every block of queries meets every tree: as many rows as trees times blocks on either side.
     trees = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    asked = asked.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int"))
     asked = asked.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 

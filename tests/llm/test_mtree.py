@@ -65,9 +65,24 @@ def test_frames(spark, sizes):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     got = mt.top_inner_products(frame, F.col("id") % 10 == 0, shard_rows=sizes[0], query_rows=sizes[1]).collect()
     ints = {i: np.floor(256 * np.array([*v, 0, 0, 0][:4], np.float32).astype(np.float64)).astype(np.int64) for i, v in {**data, 65: [0.5], 70: [-9.0] * 4}.items()}
-    ids, matrix = np.array(list(ints)), np.stack(list(ints.values()))
-    want = [(q, r + 1, i, -s) for q in ints if q % 10 == 0 for r, (s, i) in enumerate(brute(ids, matrix, ints[q], q, 5))]
+    # The row of id 20 is there twice: two candidates, and two queries that share a list.
+    pairs = [*ints.items(), (20, ints[20])]
+    best = {q: sorted((-int(a @ b), j) for i, a in pairs if i == q for j, b in pairs if j != q)[:5] for q in ints if q % 10 == 0}
+    want = [(q, r + 1, i, -s) for q, found in best.items() for r, (s, i) in enumerate(found)]
     assert sorted(tuple(r) for r in got) == sorted(want)
     few = mt.top_inner_products(frame.where("vec_id IN (10, 20, 3)"), F.col("id") % 10 == 0).collect()
-    assert len(few) == 4
+    assert len(few) == 3 + 2 * 2 and sorted(r.vec_id for r in few if r.query_id == 10) == [3, 20, 20]
     assert mt.top_inner_products(frame.limit(0), F.col("id") % 10 == 0).count() == 0
+
+
+def test_rows_with_one_id_all_take_part(spark):
+    """As the query's SQL has it: two rows of one id are two candidates, and queries of one id share a list."""
+    rows = [(0, [1.0, 0.0]), (1, [9.0, 0.0]), (1, [2.0, 1.0]), (2, [3.0, 0.0]), (2, [3.0, 0.0])] + [(3, [0.5, float(k)]) for k in range(40)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    ints = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in rows]
+    for shard_rows in (8192, 5):
+        got = mt.top_inner_products(frame, F.col("id") >= 0, shard_rows=shard_rows, query_rows=7).collect()
+        for q in range(4):
+            scores = sorted((-int(a @ b), j) for i, a in ints if i == q for j, b in ints if j != q)[:5]
+            mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+            assert mine == [(n, j, -s) for n, (s, j) in enumerate(scores, 1)]
