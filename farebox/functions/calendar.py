@@ -6,9 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def full_width(text: Column) -> Column:
+    """Whether a text is a date and a time of full width, as ``2025-01-31 07:00:00``."""
+    return text.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$")
+
+
 def parse_ts(date: Column | str, time: Column | str) -> Column:
-    """Timestamp from two text columns, null where the text is not a date and time."""
-    return F.try_to_timestamp(F.concat_ws(" ", date, time), F.lit("yyyy-M-d H:m:s"))
+    """Timestamp from two text columns, null where the text is not a date and time.
+
+    Texts of full width, as nearly all are, take the plain cast, which is much faster than a pattern.
+    """
+    text = F.concat_ws(" ", date, time)
+    return F.when(full_width(text), text.try_cast("timestamp")).otherwise(F.try_to_timestamp(text, F.lit("yyyy-M-d H:m:s")))
 
 
 def clock_text(ts: Column | str) -> Column:

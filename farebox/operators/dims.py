@@ -69,10 +69,15 @@ def build_dimensions(named: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     One pass counts the distinct combinations of labels; the three tables come from that
     small count table.
     """
-    counts = materialize(
+    return dimensions_of(
         named.groupBy("codigo_linea", "nombre_linea", "codigo_estacion", "nombre_estacion").agg(F.count("*").alias("len"))
     )
 
+
+def dimensions_of(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables from the counts of codes and names."""
+    counts = materialize(counts)
+
     def names(code: str, name: str, portal: bool) -> DataFrame:
         return most_frequent_name(normalized_counts(counts, code, name, portal), code, name)
 

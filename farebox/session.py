@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +59,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-# Folders written since the innermost scratch() began; None outside of one.
-_SCRATCH: list[str] | None = None
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, as Spark itself would open it: (file system, path)."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+# Folders written since the innermost scratch() of this thread or task began; None outside of one.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 @contextmanager
@@ -66,17 +74,25 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete what :func:`materialize` writes inside the block when it ends.
 
     For jobs that write their results before the block ends; a lazy result must not leave it.
+    Blocks of other threads are apart.
     """
-    global _SCRATCH
-    outer, _SCRATCH = _SCRATCH, []
+    written: list[str] = []
+    before = _SCRATCH.set(written)
     try:
         yield
     finally:
-        written, _SCRATCH = _SCRATCH, outer
-        hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+        _SCRATCH.reset(before)
         for path in written:
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(hadoop).delete(folder, True)
+            fs, folder = hadoop_path(spark, path)
+            fs.delete(folder, True)
+
+
+def at_once(*jobs: Callable[[], None]) -> None:
+    """Run independent Spark jobs side by side; the first failure is raised when all have ended."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = [pool.submit(copy_context().run, job) for job in jobs]
+    for job in running:
+        job.result()
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -88,8 +104,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession)}/farebox-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _SCRATCH is not None:
-        _SCRATCH.append(path)
+    if _SCRATCH.get() is not None:
+        _SCRATCH.get().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

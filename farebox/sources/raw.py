@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import csv
 import io
+import struct
 import zipfile
 import zlib
-from collections import defaultdict
 from functools import reduce
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.csv as pacsv
@@ -27,40 +28,63 @@ def require_columns(df: DataFrame, columns: list[str], where: str = "entrada") -
     return df
 
 
-def header_of(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names in the first line of one file; compressed files are opened as such."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    file = jvm.org.apache.hadoop.fs.Path(path)
-    stream = file.getFileSystem(conf).open(file)
-    try:
-        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file)
-        text = jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
-        line = jvm.java.io.BufferedReader(text).readLine() or ""
-    finally:
-        stream.close()
-    names = next(csv.reader([line.lstrip("\ufeff")]), [])
-    return tuple(n.strip() for n in names)
+# Beyond any file: a scan with these sizes gives every file one task of its own.
+WHOLE_FILES = 1 << 60
 
 
-def read_raw_csv(spark: SparkSession, path) -> DataFrame:
+def header_names(line: str) -> list[str]:
+    return [name.strip() for name in next(csv.reader([line.lstrip("\ufeff")]), [])]
+
+
+def header_census(spark: SparkSession, path) -> DataFrame:
+    """(header, files): the column names in the first line of every file, and the files that have them.
+
+    A task for each file reads its first lines and leaves the rest; compressed files are opened as
+    such. Nothing is opened on the driver, which gets the paths that a scan needs anyway.
+    """
+    own = spark.newSession()  # the sizes are this scan's alone
+    for size in ("maxPartitionBytes", "openCostInBytes"):
+        own.conf.set(f"spark.sql.files.{size}", str(WHOLE_FILES))
+    lines = own.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+
+    def first_line(batches):
+        for batch in batches:
+            if batch.num_rows:
+                header = pa.array([header_names(batch.column(1)[0].as_py())], pa.list_(pa.string()))
+                file = pa.array([unquote(batch.column(0)[0].as_py())])
+                yield pa.RecordBatch.from_arrays([header, file], names=["header", "file"])
+                return
+
+    census = lines.mapInArrow(first_line, "header array<string>, file string")
+    return census.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+
+
+def read_raw_csv(spark: SparkSession, path, uniform: bool = False) -> DataFrame:
     """Boarding counts as text; the six known columns of every file, found by name.
 
-    Files may have further columns and any order of them. The first line of each is read on the
-    driver, as a listing would; files with the same header are one scan. No file is read to
-    infer anything.
+    Files may have further columns and any order of them; those with the same header are one scan.
+    No file is read to infer anything; empty files have no rows.
+
+    ``uniform`` takes the header of one file for that of all and spares the census; the scan compares
+    each file's header and fails where one differs (see :func:`headers_differ`).
     """
-    files = sorted(spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).inputFiles())
-    scans = defaultdict(list)
-    for file in files:
-        scans[header_of(spark, file)].append(file)
-    if not scans:
-        return spark.createDataFrame([], RAW_SCHEMA)
+    if uniform:
+        first = spark.read.text(path).select("value").first()
+        scans = [(header_names(first.value), path)] if first else []
+    else:
+        scans = sorted((r.header, r.files) for r in header_census(spark, path).collect())
     parts = []
-    for header, group in scans.items():
+    for header, files in scans:
         schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-        rows = require_columns(spark.createDataFrame([], schema), RAW_COLUMNS, group[0]) and spark.read.schema(schema)
-        parts.append(rows.option("header", True).csv(group).select(*RAW_COLUMNS))
-    return reduce(DataFrame.unionByName, parts)
+        require_columns(spark.createDataFrame([], schema), RAW_COLUMNS, files if uniform else files[0])
+        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", not uniform)
+        parts.append(reader.csv(files).select(*RAW_COLUMNS))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], RAW_SCHEMA)
+
+
+def headers_differ(error: Exception) -> bool:
+    """Whether a scan that was read as ``uniform`` failed at another header."""
+    return "CSV header does not conform to the schema" in str(error)
 
 
 EXTRACT_SCHEMA = "archive string, member string, error string, " + ", ".join(f"{c} string" for c in RAW_COLUMNS)
@@ -69,7 +93,73 @@ UNREADABLE = (
 )
 
 
-def _rows_of_archives(batches):
+MEMBER_SCHEMA = "archive string, member string, error string, method int, crc long, size long, content binary"
+STORED, DEFLATED, ENCRYPTED = 0, 8, 1  # fixed values of the archive format
+LOCAL_HEADER = struct.Struct("<4s22xHH")
+
+
+def _members_of_archives(batches):
+    """By the central directory: a row for each ``.csv`` member, with its bytes as they are stored."""
+    schema = pa.schema([
+        ("archive", pa.string()), ("member", pa.string()), ("error", pa.string()), ("method", pa.int32()), ("crc", pa.int64()),
+        ("size", pa.int64()), ("content", pa.binary()),
+    ])
+
+    def row(*values):
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+
+    for batch in batches:
+        for archive, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            data = memoryview(content.as_buffer())
+            try:
+                # Of members with one name the last counts, as for any reader of the format.
+                listed = {m.filename: m for m in zipfile.ZipFile(pa.BufferReader(data)).infolist()}
+            except zipfile.BadZipFile as exc:
+                yield row(archive, None, f"archivo ilegible: {exc}", None, None, None, None)
+                continue
+            for name, member in listed.items():
+                if not name.lower().endswith(".csv"):
+                    continue
+                begin = member.header_offset
+                mark, *lengths = LOCAL_HEADER.unpack(data[begin:begin + LOCAL_HEADER.size].tobytes().ljust(LOCAL_HEADER.size, b"\0"))
+                begin += LOCAL_HEADER.size + sum(lengths)
+                stored = data[begin:begin + member.compress_size]
+                problem = None
+                if mark != b"PK\3\4" or len(stored) < member.compress_size:
+                    problem = "miembro fuera del archivo"
+                elif member.flag_bits & ENCRYPTED or member.compress_type not in (STORED, DEFLATED):
+                    problem = "miembro cifrado o con otra compresión"
+                part = [None] * 4 if problem else [member.compress_type, member.CRC, member.file_size, stored.tobytes()]
+                yield row(archive, name, problem, *part)
+
+
+class _Member(io.RawIOBase):
+    """The content of one member as a stream; its checksum and size are compared at the end."""
+
+    def __init__(self, method: int, crc: int, size: int, stored: bytes):
+        self.rest, self.expected, self.crc, self.size = stored, (crc, size), 0, 0
+        self.inflate = zlib.decompressobj(-15) if method == DEFLATED else None
+
+    def readable(self):
+        return True
+
+    def readinto(self, target):
+        room = len(target)
+        if self.inflate is None:
+            out, self.rest = self.rest[:room], self.rest[room:]
+        else:
+            out = self.inflate.decompress(self.rest, room)
+            self.rest = self.inflate.unconsumed_tail
+            if not out and not self.inflate.eof:
+                raise EOFError("miembro incompleto")
+        if not out and (self.crc, self.size) != self.expected:
+            raise zipfile.BadZipFile("suma de verificación incorrecta")
+        self.crc, self.size = zlib.crc32(out, self.crc), self.size + len(out)
+        target[:len(out)] = out
+        return len(out)
+
+
+def _rows_of_members(batches):
     names = ["archive", "member", "error", *RAW_COLUMNS]
 
     def problem(archive, member, text):
@@ -77,37 +167,33 @@ def _rows_of_archives(batches):
         return pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in values], names)
 
     for batch in batches:
-        for archive, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            try:
-                zf = zipfile.ZipFile(io.BytesIO(content.as_py()))
-            except zipfile.BadZipFile as exc:
-                yield problem(archive, None, f"archivo ilegible: {exc}")
+        for k in range(batch.num_rows):
+            archive, member, error, method, crc, size = (batch.column(c)[k].as_py() for c in range(6))
+            if error is not None:
+                yield problem(archive, member, error)
                 continue
-            for member in zf.namelist():
-                if not member.lower().endswith(".csv"):
+            try:
+                stream = io.BufferedReader(_Member(method, crc, size, batch.column(6)[k].as_py()), 1 << 18)
+                header = next(csv.reader([stream.readline().decode("utf-8-sig")]), [])
+                columns = [c.strip() for c in header]
+                missing = [c for c in RAW_COLUMNS if c not in columns]
+                if missing:
+                    yield problem(archive, member, f"Columnas faltantes: {missing}")
                     continue
-                try:
-                    with zf.open(member) as stream:
-                        header = next(csv.reader([stream.readline().decode("utf-8-sig")]), [])
-                    columns = [c.strip() for c in header]
-                    missing = [c for c in RAW_COLUMNS if c not in columns]
-                    if missing:
-                        yield problem(archive, member, f"Columnas faltantes: {missing}")
-                        continue
-                    # Only an empty field is null; the text NA is text, as for the CSV reader.
-                    options = pacsv.ConvertOptions(
-                        include_columns=RAW_COLUMNS,
-                        column_types={c: pa.string() for c in RAW_COLUMNS},
-                        strings_can_be_null=True,
-                        null_values=[""],
-                    )
-                    reading = pacsv.ReadOptions(column_names=columns, skip_rows=1)
-                    with zf.open(member) as stream:
-                        for part in pacsv.open_csv(stream, read_options=reading, convert_options=options):
-                            head = [pa.array([v] * part.num_rows, pa.string()) for v in (archive, member, None)]
-                            yield pa.RecordBatch.from_arrays(head + list(part.columns), names)
-                except UNREADABLE as exc:
-                    yield problem(archive, member, f"{type(exc).__name__}: {exc}")
+                if not stream.peek(1):
+                    continue
+                # Only an empty field is null; the text NA is text, as for the CSV reader.
+                options = pacsv.ConvertOptions(
+                    include_columns=RAW_COLUMNS,
+                    column_types={c: pa.string() for c in RAW_COLUMNS},
+                    strings_can_be_null=True,
+                    null_values=[""],
+                )
+                for part in pacsv.open_csv(stream, read_options=pacsv.ReadOptions(column_names=columns), convert_options=options):
+                    head = [pa.array([v] * part.num_rows, pa.string()) for v in (archive, member, None)]
+                    yield pa.RecordBatch.from_arrays(head + list(part.columns), names)
+            except UNREADABLE as exc:
+                yield problem(archive, member, f"{type(exc).__name__}: {exc}")
 
 
 def extract_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -115,14 +201,20 @@ def extract_archives(spark: SparkSession, path: str) -> DataFrame:
 
     A corrupt archive or unreadable member gives one row with ``error`` set. Rows read before a
     member broke are still here; :func:`extracted_rows` leaves such members out as a whole.
-    Each archive is one row of the scan and is held by one task, 2 GB at most.
     """
     return extract_from(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path))
 
 
 def extract_from(files: DataFrame) -> DataFrame:
-    """As :func:`extract_archives` for archives held as rows (path, content)."""
-    return files.select("path", "content").mapInArrow(_rows_of_archives, EXTRACT_SCHEMA)
+    """As :func:`extract_archives` for archives held as rows (path, content).
+
+    A task reads the central directory of an archive, 2 GB at most, and hands on its members as they
+    are stored. These are dealt over all tasks, which inflate and parse them as streams, so an archive
+    with a year of files is no task of its own. Their number is stated, as stored bytes say little of the work.
+    """
+    members = files.select("path", "content").mapInArrow(_members_of_archives, MEMBER_SCHEMA)
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(tasks, "archive", "member").mapInArrow(_rows_of_members, EXTRACT_SCHEMA)
 
 
 def extracted_rows(extracted: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ from farebox.functions.calendar import holiday_type, parse_ts
 from farebox.functions.text import display_name, dotted_thousands, hour_band, normalize_name
 from farebox.operators import clean, dims
 from farebox.plans import etl, kpis
-from farebox.schemas import FACT_COLUMNS, RAW_COLUMNS
+from farebox.schemas import FACT_COLUMNS, RAW_COLUMNS, STATION_VARIANTS
 from farebox.sources import facts, raw, reference
-from farebox.sources.sinks import DIMS
+from farebox.sources.sinks import DIMS, READY, current_dims, dim_versions, publish_dims
 from farebox.streaming.ingest import ingest_incremental
 
 HEADER = "Fecha_Transaccion,Tiempo,Linea,Estacion,Entradas_E,Salidas_S\n"
@@ -49,6 +49,19 @@ def test_files_with_other_columns_and_orders(spark, tmp_path):
     assert ("2025-01-16", "08:00:00", "(2)L", "(1)P", "1", "NA") in got
 
 
+def test_cleaning_of_files_with_several_headers(spark, tmp_path):
+    """The scan of one header stops at another one before anything is written; the census takes over."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(HEADER + TWO_ROWS)
+    (tmp_path / "in" / "b.csv").write_text("Salidas_S,Entradas_E,Estacion,Linea,Tiempo,Fecha_Transaccion\n8,9,(1)P,(2)L,07:00:00,2025-01-16\n")
+    with pytest.raises(Exception) as error:
+        raw.read_raw_csv(spark, str(tmp_path / "in"), uniform=True).collect()
+    assert raw.headers_differ(error.value)
+    etl.run_from_csv(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    table = facts.read_validations(spark, str(tmp_path / "out" / "validations"))
+    assert sorted((r.codigo_estacion, r.total) for r in table.collect()) == [(1, 17), (2304, 356), (2304, 449)]
+
+
 def test_csv_to_kpi_files(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     (tmp_path / "in").mkdir()
@@ -181,6 +194,29 @@ def test_broken_and_repeated_members(spark, tmp_path):
     assert sorted(r.Entradas_E for r in raw.extracted_rows(out).collect()) == ["61", "NA"]
 
 
+def test_members_are_read_by_several_tasks(spark, tmp_path):
+    """Members of one archive go to several tasks; a broken one and one that isn't readable leave the others alone."""
+    rows = lambda k: HEADER + "".join(f"2025-01-15,07:00:00,(3)L,({e})E,{k},{e}\n" for e in range(200))
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as zf:
+        for k in range(24):
+            zf.writestr(f"dir/{k}.csv", rows(k), zipfile.ZIP_DEFLATED if k % 2 else zipfile.ZIP_STORED)
+        zf.writestr("vacio.csv", HEADER)
+        zf.writestr("otro.csv", rows(99), zipfile.ZIP_BZIP2)
+        zf.writestr("0.txt", "no")
+    data = bytearray((tmp_path / "a.zip").read_bytes())
+    with zipfile.ZipFile(tmp_path / "a.zip") as zf:
+        for name in ("dir/4.csv", "dir/5.csv"):  # one stored, one deflated
+            info = zf.getinfo(name)
+            data[info.header_offset + 30 + len(name) + info.compress_size // 2] ^= 0xFF
+    (tmp_path / "a.zip").write_bytes(bytes(data))
+    out = raw.extract_archives(spark, str(tmp_path))
+    tasks = out.where("error IS NULL").withColumn("t", F.spark_partition_id()).groupBy("member").agg(F.collect_set("t").alias("t")).collect()
+    assert all(len(r.t) == 1 for r in tasks) and len({r.t[0] for r in tasks}) > 2
+    assert {r.member for r in raw.bad_inputs(out).collect()} == {"dir/4.csv", "dir/5.csv", "otro.csv"}
+    good = raw.extracted_rows(out).groupBy("Entradas_E").count().collect()
+    assert {(r.Entradas_E, r["count"]) for r in good} == {(str(k), 200) for k in range(24) if k not in (4, 5)}
+
+
 def test_dims_round_trip_and_refresh(spark, tmp_path):
     src, table, ckpt, folder = (str(tmp_path / n) for n in ("src", "table", "ckpt", "dims"))
     (tmp_path / "src").mkdir()
@@ -188,7 +224,8 @@ def test_dims_round_trip_and_refresh(spark, tmp_path):
     ingest_incremental(spark, src, table, ckpt, dims=folder)
     (tmp_path / "src" / "b.csv").write_text("Extra," + HEADER + "x,2025-01-15,08:00:00,(40)Zona T,(40003)Mirador,5,5\n")
     ingest_incremental(spark, src, table, ckpt, dims=folder)
-    read = lambda name, kind="string": sorted(map(tuple, reference.read_dim(spark, f"{folder}/{name}", kind).collect()))
+    newest = current_dims(spark, folder)
+    read = lambda name, kind="string": sorted(map(tuple, reference.read_dim(spark, f"{newest}/{name}", kind).collect()))
     assert read("dim_linea") == [(12, "Zona H - Caracas Sur"), (40, "Zona T")]
     assert read("dim_estacion") == [(2304, "Calle 57"), (40003, "Mirador")]
     assert read("linea_estaciones", "array<long>") == [(12, [2304]), (40, [40003])]
@@ -197,6 +234,76 @@ def test_dims_round_trip_and_refresh(spark, tmp_path):
         reference.read_dim(spark, str(tmp_path / "bad.json")).collect()
 
 
+def test_readers_meet_whole_versions_of_dimensions(spark, tmp_path):
+    folder = str(tmp_path / "dims")
+    tables = lambda name: (
+        spark.createDataFrame([(1, name)], "codigo_linea long, nombre_linea string"),
+        spark.createDataFrame([(2, name)], "codigo_estacion long, nombre_estacion string"),
+        spark.createDataFrame([(1, [2])], "codigo_linea long, estaciones array<long>"),
+    )
+    assert current_dims(spark, folder) == folder
+    for version in (1, 2, 4, 5):
+        publish_dims(spark, tables(f"v{version}"), folder, version)
+    assert dim_versions(spark, folder) == [4, 5]
+    (tmp_path / "dims" / "v6" / "dim_linea").mkdir(parents=True)  # a version that is being written
+    (tmp_path / "dims" / "v5" / READY).unlink()  # and one that never was completed
+    assert current_dims(spark, folder).endswith("v4")
+    assert reference.read_dim(spark, f"{current_dims(spark, folder)}/dim_linea").first().valor == "v4"
+
+
+def test_compaction_of_days(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda first, n: raw_frame(spark, [
+        (f"2025-02-{d:02d}", f"{h:02d}:00:00", "(1)L", f"({e})E", n, 1) for d in range(first, first + 3) for h in (5, 6) for e in (3, 4)
+    ])
+    for load, first in ((1, 1), (2, 2), (7, 3)):
+        facts.write_validations(clean.clean(rows(first, 10 ** load)), path, load=load, laid_out=True)
+    before = sorted(map(tuple, facts.regroup_slots(facts.read_validations(spark, path)).collect()))
+    # A run that broke off after it had put a day aside.
+    (tmp_path / "t" / "_aside").mkdir()
+    (tmp_path / "t" / "fecha=2025-02-03").rename(tmp_path / "t" / "_aside" / "fecha=2025-02-03")
+    assert facts.compact_days(spark, path) == 3
+    table = facts.read_validations(spark, path)
+    assert sorted(map(tuple, table.collect())) == before
+    loads = spark.read.parquet(path).select("fecha", "carga").distinct().orderBy("fecha").collect()
+    assert [(r.fecha.day, r.carga) for r in loads] == [(1, 1), (2, 2), (3, 7), (4, 7), (5, 7)]
+    assert facts.compact_days(spark, path) == 0 and not [p for p in (tmp_path / "t").iterdir() if p.name in ("_aside", "_fresh")]
+
+
+def test_day_parts_and_modes_agree(spark):
+    """The dealt and windowed cleaning equals the plain steps, in both modes and however days are dealt."""
+    variants = list(STATION_VARIANTS.items())[:4]
+    stations = [c for pair in variants for c in pair] + [1, 2]
+    rows = [
+        ("2025-01-1%d" % (i % 5), "0%d:00:00" % (i % 3) if i % 11 else "x", "(%d)L" % (30 + i % 10), f"({stations[i % 10]})E{i % 2}" if i % 17 else "?", i, 2 * i)
+        for i in range(400)
+    ]
+    frame = raw_frame(spark, rows)
+    slots = clean.recode_lines(clean.derive_fields(clean.aggregate_slots(frame)))
+    for mode in ("parity", "regroup"):
+        plain = sorted(map(str, clean.consolidate_variants(slots, mode=mode).collect()))
+        assert plain and all(sorted(map(str, clean.clean(frame, mode, day_parts=n).collect())) == plain for n in (1, 3))
+
+
+def test_cleaning_moves_rows_once(spark, tmp_path):
+    """One scan of the raw files and one exchange of rows, by day; one sort serves sums and variants."""
+    (tmp_path / "a.csv").write_text(HEADER + TWO_ROWS)
+    dealt, keys, slot = clean.lay_out(raw.read_raw_csv(spark, str(tmp_path / "a.csv")), STATION_VARIANTS)
+    plan = clean.fold_variants(clean.aggregate_slots(dealt, slot), STATION_VARIANTS, keys, ["entradas"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1, plan
+
+
+def test_headers_are_read_by_tasks(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / f"f {k}.csv").write_text(("\ufeff" if k % 3 == 0 else "") + ("x," if k % 2 else "") + HEADER + ("y," if k % 2 else "") + TWO_ROWS.splitlines()[0] + "\n")
+    (tmp_path / "big.csv").write_text(HEADER + TWO_ROWS * 30_000)
+    census = raw.header_census(spark, str(tmp_path)).collect()
+    assert sorted(len(r.files) for r in census) == [20, 21]
+    assert raw.read_raw_csv(spark, str(tmp_path)).count() == 60_040
+    (tmp_path / "empty.csv").write_text("")
+    assert raw.read_raw_csv(spark, str(tmp_path)).count() == 60_040
+
+
 def test_slots_from_two_loads(spark, tmp_path):
     src, table, ckpt = (str(tmp_path / n) for n in ("src", "table", "ckpt"))
     (tmp_path / "src").mkdir()
