@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from farebox.session import materialize
+
 WINDOW = 5
 
 
@@ -95,7 +97,9 @@ def day_tags(events: DataFrame, controls: DataFrame) -> DataFrame:
 def event_panel(panel: DataFrame, tags: DataFrame) -> DataFrame:
     """Rows of the tagged days with the tag columns.
 
-    An equality join on the day: a table partitioned by day is pruned to the tagged days at
-    run time, and Spark broadcasts the tags by their size.
+    The tags, a row or two per event, are stored once. A semi join on the day comes first: the
+    optimizer takes it below a panel's aggregation, so only rows of tagged days are summed, and a table
+    partitioned by day is pruned to them at run time. Spark broadcasts the tags by their size.
     """
-    return panel.join(tags, "fecha")
+    tags = materialize(tags)
+    return panel.join(tags.select("fecha").distinct(), "fecha", "left_semi").join(tags, "fecha")

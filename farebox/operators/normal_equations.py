@@ -4,12 +4,15 @@ The regressors are one array column: plans stay small with dozens of indicator c
 score sums are vector aggregates inside the JVM, and products are matrix products over Arrow batches.
 
 The vector handed to the solver is, per group: the upper triangle of sum n*z*z' with
-z = (regressors, outcome) centred; squared deviations inside cells; rows; absorbed means;
-sum n*mean per column; sum n*mean^2 per regressor.
+z = (regressors, outcomes) centred; squared deviations of each outcome inside cells; rows; absorbed
+means; sum n*mean per column; sum n*mean^2 per regressor. Several models share it: each uses one
+outcome and some of the regressors, and has zeros for the others in its coefficients.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -51,24 +54,32 @@ def unpack(vec, q: int) -> tuple[np.ndarray, np.ndarray]:
     return gram + gram.T - np.diag(np.diag(gram)), vec[m:]
 
 
+@dataclass
+class Part:
+    """One model: the number of its outcome and those of its regressors, controls first."""
+
+    outcome: int
+    use: list[int]
+
+
 class NormalEquations:
-    def __init__(self, names: list[str], by: list[str], entity: list[str], extra_key: list[str]):
-        self.names, self.by, self.entity = names, by, entity
+    def __init__(self, names: list[str], outcomes: list[str], parts: list[Part], by: list[str], entity: list[str], extra_key: list[str]):
+        self.names, self.outcomes, self.parts, self.by, self.entity = names, outcomes, parts, by, entity
         self.keys = by + entity + extra_key
 
-    def cells(self, df: DataFrame, y: str, compress: bool) -> DataFrame:
-        packed = F.expr("array(" + ", ".join(f"CAST(`{c}` AS DOUBLE)" for c in self.names) + ")")
-        rows = df.where(usable_outcome(y, self.entity)).select(
-            *self.keys, packed.alias("_x"), F.col(y).cast("double").alias("_y")
-        )
-        return merge_cells(rows, [*self.keys, "_x"], compress)
+    def cells(self, df: DataFrame, compress: bool) -> DataFrame:
+        pack = lambda columns: F.expr("array(" + ", ".join(f"CAST(`{c}` AS DOUBLE)" for c in columns) + ")")
+        for y in self.outcomes:
+            df = df.where(usable_outcome(y, self.entity))
+        rows = df.select(*self.keys, pack(self.names).alias("_x"), pack(self.outcomes).alias("_y"))
+        return merge_cells(rows, [*self.keys, "_x"], compress, len(self.outcomes))
 
     def complete(self, cells: DataFrame) -> DataFrame:
         """Cells without missing regressors, for cells read back from storage."""
         return cells.where("forall(_x, v -> v IS NOT NULL AND NOT isnan(v))")
 
     def centre(self, cells: DataFrame) -> DataFrame:
-        vector = array_to_vector(F.concat("_x", F.array("_y")))
+        vector = array_to_vector(F.concat("_x", "_y"))
         means = cells.groupBy(*self.by, *self.entity).agg(
             F.sum("_n").alias("_ne"),
             Summarizer.metrics("mean").summary(vector, F.col("_n")).alias("_s"),
@@ -107,56 +118,67 @@ class NormalEquations:
         )
 
     def gram(self, centred: DataFrame) -> DataFrame:
-        iu = np.triu_indices(len(self.names) + 1)
+        p = len(self.names)
+        iu = np.triu_indices(p + len(self.outcomes))
 
         def product(part):
             n, mean = part["_n"], part["_mean"]
             z = np.column_stack([part["_x"], part["_y"]]) - mean
             gram = (z * n[:, None]).T @ z
-            tail = [part["_m2"].sum(), n.sum(), (n / part["_ne"]).sum()]
-            return np.concatenate([gram[iu], tail, n @ mean, n @ (mean[:, :-1] ** 2)])
+            tail = [n.sum(), (n / part["_ne"]).sum()]
+            return np.concatenate([gram[iu], part["_m2"].sum(axis=0), tail, n @ mean, n @ (mean[:, :p] ** 2)])
 
         return self._fold(centred, ["_x", "_y", "_mean", "_n", "_ne", "_m2"], product)
 
-    def meat(self, centred: DataFrame, base: DataFrame, cov: str, cluster: str | None) -> DataFrame:
-        p = len(self.names)
+    def meat(self, centred: DataFrame, solved: DataFrame, cov: str, cluster: str | None) -> DataFrame:
+        """Products of the scores, model after model; ``solved`` has the models' coefficients end to end."""
+        p, parts = len(self.names), self.parts
         iu = np.triu_indices(p)
-        df = join_groups(centred, base.select(*self.by, "b", *(["a"] if cov == "hc3" else [])), self.by)
+        df = join_groups(centred, solved.select(*self.by, "b", *(["a"] if cov == "hc3" else [])), self.by)
         if cov == "cluster":
             return self._cluster_meat(df, cluster)
 
         def product(part):
-            n, ne, m2, mean = (part[c] for c in ("_n", "_ne", "_m2", "_mean"))
-            z = part["_x"] - mean[:, :-1]
-            e = part["_y"] - mean[:, -1] - z @ part["b"][0]
-            a = part["a"][0].reshape(p, p)
-            lever = 1 / ne + ((z @ a) * z).sum(axis=1)
-            full = lever >= FULL_LEVERAGE
-            squares = m2 + n * e * e
-            w = np.where(full, 0.0, squares / np.where(full, 1.0, 1 - lever) ** 2)
-            bad = float((full & (np.abs(z).max(axis=1) > 1e-9)).sum())
-            return np.concatenate([((z * w[:, None]).T @ z)[iu], [bad, squares.sum()]])
+            n, ne, mean = (part[c] for c in ("_n", "_ne", "_mean"))
+            z = part["_x"] - mean[:, :p]
+            betas, inverses = part["b"][0].reshape(-1, p), part["a"][0].reshape(-1, p, p)
+            out = []
+            for model, beta, a in zip(parts, betas, inverses):
+                e = part["_y"][:, model.outcome] - mean[:, p + model.outcome] - z @ beta
+                lever = 1 / ne + ((z @ a) * z).sum(axis=1)
+                full = lever >= FULL_LEVERAGE
+                squares = part["_m2"][:, model.outcome] + n * e * e
+                w = np.where(full, 0.0, squares / np.where(full, 1.0, 1 - lever) ** 2)
+                bad = float((full & (np.abs(z[:, model.use]).max(axis=1) > 1e-9)).sum())
+                out += [((z * w[:, None]).T @ z)[iu], [bad, squares.sum()]]
+            return np.concatenate(out)
 
         return self._fold(df, ["_x", "_y", "_mean", "_n", "_m2", "_ne", "b", "a"], product)
 
     def _cluster_meat(self, df: DataFrame, cluster: str) -> DataFrame:
-        iu = np.triu_indices(len(self.names))
+        p, models = len(self.names), len(self.parts)
+        iu = np.triu_indices(p)
         # Residuals and scores stay inside the JVM; only one vector per cluster goes to Arrow.
         df = df.withColumn("_z", F.expr("zip_with(_x, slice(_mean, 1, size(_x)), (v, m) -> v - m)"))
-        df = df.withColumn("_e", F.expr(
-            "_y - element_at(_mean, -1) - aggregate(zip_with(_z, b, (v, w) -> v * w), 0.0D, (s, v) -> s + v)"
-        ))
-        df = df.withColumns({"_rss": F.expr("_m2 + _n * _e * _e"), "_score": F.expr("transform(_z, v -> v * _n * _e)")})
+        for k, model in enumerate(self.parts):
+            y = model.outcome
+            fitted = f"aggregate(zip_with(_z, slice(b, {k * p + 1}, {p}), (v, w) -> v * w), 0.0D, (s, v) -> s + v)"
+            df = df.withColumn(f"_e{k}", F.expr(f"_y[{y}] - _mean[{p + y}] - {fitted}"))
+        rss = [F.expr(f"_m2[{model.outcome}] + _n * _e{k} * _e{k}") for k, model in enumerate(self.parts)]
+        score = F.concat(*[F.expr(f"transform(_z, v -> v * _n * _e{k})") for k in range(models)], F.array(*rss))
         keys = self.by + ([cluster] if cluster not in self.by else [])
-        scores = df.groupBy(*keys).agg(
-            Summarizer.metrics("sum").summary(array_to_vector("_score")).alias("_s"), F.sum("_rss").alias("_rss")
-        ).select(*self.by, vector_to_array("_s.sum").alias("_score"), "_rss")
+        scores = df.withColumn("_score", score).groupBy(*keys).agg(
+            Summarizer.metrics("sum").summary(array_to_vector("_score")).alias("_s")
+        ).select(*self.by, vector_to_array("_s.sum").alias("_score"))
 
         def product(part):
-            s = part["_score"]
-            return np.concatenate([(s.T @ s)[iu], [0.0, part["_rss"].sum()]])
+            s, out = part["_score"], []
+            for k in range(models):
+                own = s[:, k * p:(k + 1) * p]
+                out += [(own.T @ own)[iu], [0.0, s[:, models * p + k].sum()]]
+            return np.concatenate(out)
 
-        return self._fold(scores, ["_score", "_rss"], product)
+        return self._fold(scores, ["_score"], product)
 
 
 def usable_outcome(y: str, keys: list[str]) -> str:
@@ -164,12 +186,13 @@ def usable_outcome(y: str, keys: list[str]) -> str:
     return " AND ".join(parts + [f"`{c}` IS NOT NULL" for c in keys])
 
 
-def merge_cells(rows: DataFrame, keys: list[str], compress: bool) -> DataFrame:
-    """Rows with equal keys as one cell: count, mean outcome, squared deviations from it."""
+def merge_cells(rows: DataFrame, keys: list[str], compress: bool, outcomes: int) -> DataFrame:
+    """Rows with equal keys as one cell: count, mean outcomes, squared deviations from them."""
     if not compress:
-        return rows.withColumns({"_n": F.lit(1.0), "_m2": F.lit(0.0)})
+        return rows.withColumns({"_n": F.lit(1.0), "_m2": F.array(*[F.lit(0.0)] * outcomes)})
+    each = [F.col("_y")[k] for k in range(outcomes)]
     return (
         rows.groupBy(*keys)
-        .agg(F.count("*").cast("double").alias("_n"), F.avg("_y").alias("_y"), F.var_pop("_y").alias("_var"))
-        .select(*keys, "_y", "_n", F.expr("_n * _var").alias("_m2"))
+        .agg(F.count("*").cast("double").alias("_n"), F.array(*map(F.avg, each)).alias("_y"), F.array(*map(F.var_pop, each)).alias("_var"))
+        .select(*keys, "_y", "_n", F.expr("transform(_var, v -> _n * v)").alias("_m2"))
     )

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from farebox.functions.distributions import Z975, f_upper, normal_two_sided, t_quantile_975, t_two_sided
-from farebox.operators.normal_equations import NormalEquations, join_groups, unpack
+from farebox.operators.normal_equations import NormalEquations, Part, join_groups, unpack
 from farebox.session import materialize
 
 PIVOT_TOL = 1e-10  # share of a column's variation that earlier columns must leave
@@ -67,16 +67,19 @@ def _solve(gram: np.ndarray, use: Sequence[int]) -> tuple[np.ndarray, np.ndarray
 # ---- the fit ----------------------------------------------------------------------------
 
 class OlsModel:
-    """One row per group: coefficients, covariance and the sums they came from."""
+    """One row per group: coefficients, covariance and the sums they came from.
+
+    ``names`` are all regressors of the fit, ``use`` the numbers of those in this model.
+    """
 
     def __init__(self, frame: DataFrame, by: list[str], names: list[str], xs: list[str], inference: str,
-                 intercept: bool):
+                 use: list[int]):
         self.frame = frame
         self.by = by
         self.names = names
         self.xs = xs
         self.inference = inference
-        self.intercept = intercept
+        self.use = use
 
     def _schema(self, tail: str) -> T.StructType:
         key = T.StructType([self.frame.schema[c] for c in self.by])
@@ -162,12 +165,12 @@ class OlsModel:
 
     def nested_f(self, drop: Sequence[str]) -> DataFrame:
         """F test that all ``drop`` terms are zero, from the two residual sums of squares."""
-        gone = list(drop)
+        gone, use = list(drop), self.use
 
         def rows(rec, names):
             gram, _ = unpack(rec["_gram"], len(names) + 1)
-            _, _, full, rss = _solve(gram, range(len(names)))
-            _, _, small, rss_small = _solve(gram, [i for i, t in enumerate(names) if t not in gone])
+            _, _, full, rss = _solve(gram, use)
+            _, _, small, rss_small = _solve(gram, [i for i in use if names[i] not in gone])
             q, df = len(full) - len(small), float(rec["df_resid"])
             if q <= 0 or df <= 0 or rss <= 0:
                 yield [q, int(df), None, None]
@@ -179,11 +182,11 @@ class OlsModel:
 
     def vif(self, terms: Sequence[str] | None = None) -> DataFrame:
         """Variance inflation of each term, from the inverse correlation matrix."""
-        wanted = list(terms) if terms is not None else list(self.xs)
+        wanted, use = list(terms) if terms is not None else list(self.xs), self.use
 
         def rows(rec, names):
             gram, _ = unpack(rec["_gram"], len(names) + 1)
-            _, inv, kept, _ = _solve(gram, range(len(names)))
+            _, inv, kept, _ = _solve(gram, use)
             for t in wanted:
                 i = names.index(t)
                 yield [t, float(gram[i, i] * inv[i, i]) if i in kept else None]
@@ -212,35 +215,59 @@ def ols_fit(
     statistics is normal for ``hc3`` and t otherwise unless ``inference`` says ``"z"``/``"t"``.
     ``compress=False`` skips merging equal rows; use it when regressors rarely repeat.
     """
+    return ols_fits(df, [(y, xs)], controls, absorb, by, cov, cluster, compress, inference)[0]
+
+
+def ols_fits(
+    df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], controls: Sequence[str] = (), absorb: str | None = None,
+    by: Sequence[str] = (), cov: str = "nonrobust", cluster: str | None = None, compress: bool = True,
+    inference: str | None = None,
+) -> list[OlsModel]:
+    """Several models, each (outcome, regressors), over the same rows: one table of cells, one matrix of products.
+
+    The matrix covers all outcomes and the union of the regressors; a model is solved from the part
+    that it uses, and the scores of all models are one pass. Rows that lack any outcome or
+    regressor of the union count for none. Options as for :func:`ols_fit`.
+    """
     if cov not in ("nonrobust", "hc3", "cluster"):
         raise ValueError(f"unknown covariance {cov!r}")
-    by, names = list(by), [*controls, *xs]
+    by = list(by)
+    names = list(dict.fromkeys([*controls, *(x for _, xs in specs for x in xs)]))
+    outcomes = list(dict.fromkeys(y for y, _ in specs))
     entity = [absorb] if absorb else []
     cluster = (cluster or absorb) if cov == "cluster" else None
     if cov == "cluster" and cluster is None:
         raise ValueError("clustered errors need a cluster or an absorbed effect")
     extra_key = [cluster] if cluster and cluster not in by + entity else []
-    eq = NormalEquations(names, by, entity, extra_key)
+    parts = [Part(outcomes.index(y), [names.index(x) for x in [*controls, *xs]]) for y, xs in specs]
+    eq = NormalEquations(names, outcomes, parts, by, entity, extra_key)
     p = len(names)
 
     # The means, the products and the scores all read the cells: write them once.
-    centred = eq.centre(eq.complete(materialize(eq.cells(df, y, compress))))
+    centred = eq.centre(eq.complete(materialize(eq.cells(df, compress))))
     # A few numbers per group, read by the scores and by the result: solved once.
-    base = materialize(_solve_groups(eq.gram(centred), by, p))
+    base = materialize(_solve_groups(eq.gram(centred), by, p, len(outcomes), parts))
     if cov == "nonrobust":
         s2 = F.col("rss") / F.nullif(F.col("df_resid"), F.lit(0.0))
         frame = base.withColumn("v", F.when(F.col("df_resid") > 0, F.transform("a", lambda e: e * s2)))
     else:
-        meat = eq.meat(centred, base, cov, cluster).withColumnRenamed("_gram", "meat")
+        wide = base.groupBy(*by).agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("part", "b", "a"))), lambda m: F.struct(m["b"], m["a"])).alias("m")
+        )
+        wide = wide.select(*by, F.flatten("m.b").alias("b"), F.flatten("m.a").alias("a"))
+        meat = eq.meat(centred, wide, cov, cluster).withColumnRenamed("_gram", "meat")
         frame = materialize(_sandwich(join_groups(base, meat, by), p, cov))
     law = inference or ("z" if cov == "hc3" else "t")
-    return OlsModel(frame, by, names, list(xs), law, intercept=absorb is None)
+    return [
+        OlsModel(frame.where(F.col("part") == k).drop("part"), by, names, list(xs), law, part.use)
+        for k, ((_, xs), part) in enumerate(zip(specs, parts))
+    ]
 
 
-def _solve_groups(sums: DataFrame, by: list[str], p: int) -> DataFrame:
-    """Coefficients, inverse and sums of squares of every group from its cross products."""
+def _solve_groups(sums: DataFrame, by: list[str], p: int, outcomes: int, parts: list[Part]) -> DataFrame:
+    """Coefficients, inverse and sums of squares of every group and model from the cross products."""
     schema = T.StructType([sums.schema[c] for c in by] + T._parse_datatype_string(
-        "n double, absorbed double, df_resid double, rss double, tss double, b array<double>, "
+        "part int, n double, absorbed double, df_resid double, rss double, tss double, b array<double>, "
         "a array<double>, kept array<int>, means array<double>, _gram array<double>"
     ).fields)
 
@@ -250,18 +277,21 @@ def _solve_groups(sums: DataFrame, by: list[str], p: int) -> DataFrame:
             for rec in pdf.to_dict("records"):
                 if rec["_gram"] is None:
                     continue
-                gram, tail = unpack(rec["_gram"], p + 1)
-                gram[p, p] += tail[0]
-                n, absorbed = tail[1], round(tail[2])
+                whole, tail = unpack(rec["_gram"], p + outcomes)
+                inside, (n, absorbed) = tail[:outcomes], tail[outcomes:outcomes + 2]
                 if n <= 0:
                     continue
-                level = tail[3 + p + 1:]
-                for k in np.flatnonzero(np.diag(gram)[:p] <= CENTRE_TOL * level):
-                    gram[k, :] = gram[:, k] = 0.0  # rounding noise of a constant column
-                beta, inv, kept, rss = _solve(gram, range(p))
-                out.append([*[rec[c] for c in by], n, absorbed, n - len(kept) - absorbed, rss, gram[p, p],
-                            beta, inv.ravel(), np.array(kept, dtype=np.int32), tail[3:3 + p + 1] / n,
-                            gram[np.triu_indices(p + 1)]])
+                means, level = tail[outcomes + 2:outcomes + 2 + p + outcomes] / n, tail[outcomes + 2 + p + outcomes:]
+                for k in np.flatnonzero(np.diag(whole)[:p] <= CENTRE_TOL * level):
+                    whole[k, :] = whole[:, k] = 0.0  # rounding noise of a constant column
+                for number, part in enumerate(parts):
+                    columns = [*range(p), p + part.outcome]
+                    gram = whole[np.ix_(columns, columns)]
+                    gram[p, p] += inside[part.outcome]
+                    beta, inv, kept, rss = _solve(gram, part.use)
+                    df = n - len(kept) - round(absorbed)
+                    out.append([*[rec[c] for c in by], number, n, round(absorbed), df, rss, gram[p, p], beta, inv.ravel(),
+                                np.array(kept, dtype=np.int32), means[columns], gram[np.triu_indices(p + 1)]])
             yield pd.DataFrame(out, columns=schema.names)
 
     return sums.mapInPandas(solve, schema)
@@ -276,7 +306,8 @@ def _sandwich(frame: DataFrame, p: int, cov: str) -> DataFrame:
         for pdf in batches:
             out = []
             for rec in pdf.to_dict("records"):
-                meat, tail = unpack(rec.pop("meat"), p)
+                size = p * (p + 1) // 2 + 2  # of a model's products and sums
+                meat, tail = unpack(rec.pop("meat")[rec["part"] * size:(rec["part"] + 1) * size], p)
                 a = np.asarray(rec["a"], dtype=float).reshape(p, p)
                 v = a @ meat @ a
                 if cov == "cluster":

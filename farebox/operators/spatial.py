@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from farebox.functions.geo import EPSG_3116, TransverseMercator, point_segment_distance, project_tm
 from farebox.functions.numeric import distance_class
 from farebox.schemas import DISTANCE_CLASSES, VENUE
+from farebox.session import materialize
 
 
 def distance_to_point(df: DataFrame, lon: float = VENUE[0], lat: float = VENUE[1],
@@ -34,9 +35,14 @@ def within_distance_of_lines(points: DataFrame, routes: DataFrame, metres: float
     widened by ``metres``, can touch, column by column. A point has one cell, so an equality
     join on the cell finds every segment that could be near; the exact distance then decides.
     Points without a candidate keep a null distance and are outside.
+
+    Projected points and the cells of the segments are stored before the join: the projection is
+    a long series, which the optimizer would repeat in each later use of a coordinate, and the points
+    are read again at the end.
     """
     cell = float(max(metres, 250.0))
-    pts = project_tm(points, crs=crs).withColumns({
+    placed = project_tm(points.withColumn("_point", F.struct(*points.columns)), crs=crs)
+    pts = materialize(placed.select(F.col(key).alias("_key"), "_point", "x", "y")).withColumns({
         "cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell),
     })
     planar = routes.select(
@@ -73,8 +79,8 @@ def within_distance_of_lines(points: DataFrame, routes: DataFrame, metres: float
     cells = by_column.withColumns({"_y1": y_at(t_lo), "_y2": y_at(t_hi)}).withColumn(
         "cy", F.explode(F.sequence(F.floor(low("_y1", "_y2") / cell), F.floor(high("_y1", "_y2") / cell)))
     ).drop("_y1", "_y2")
+    cells = materialize(cells)
     dist = point_segment_distance(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])
-    near = pts.join(cells, ["cx", "cy"]).groupBy(key).agg(F.min(dist).alias("dist_m"))
-    return points.join(near.where(F.col("dist_m") <= metres), key, "left").withColumn(
-        "cerca", F.col("dist_m").isNotNull().cast("int")
-    )
+    near = pts.join(cells, ["cx", "cy"]).groupBy("_key").agg(F.min(dist).alias("dist_m"))
+    found = pts.select("_key", "_point.*").join(near.where(F.col("dist_m") <= metres), "_key", "left").drop("_key")
+    return found.withColumn("cerca", F.col("dist_m").isNotNull().cast("int"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from farebox.functions.numeric import stars
 from farebox.operators.panels import first_difference
-from farebox.operators.regression import OlsModel, ols_fit
+from farebox.operators.regression import OlsModel, ols_fit, ols_fits
 
 REGRESSORS = ["log_precio", "trend", "n_festivos"]
 
@@ -16,14 +16,17 @@ def price_frame(monthly: DataFrame, fuel: DataFrame) -> DataFrame:
     return monthly.join(fuel, "mes")
 
 
-def fit_levels(df: DataFrame, y: str = "log_val") -> OlsModel:
-    """Log demand on log price, trend and holidays, HC3. Columns are centred before products."""
-    return ols_fit(df, y, REGRESSORS, cov="hc3", compress=False)
+OUTCOMES = ("log_val", "log_val_d")
+
+
+def fit_levels(df: DataFrame, outcomes: tuple[str, ...] = OUTCOMES) -> list[OlsModel]:
+    """Log demand on log price, trend and holidays, HC3, one matrix for all outcomes. Columns are centred before products."""
+    return ols_fits(df, [(y, REGRESSORS) for y in outcomes], cov="hc3", compress=False)
 
 
 def monthly_price_ols(df: DataFrame) -> DataFrame:
     """Monthly total and per-day demand; all three regressors."""
-    parts = [fit_levels(df, y).coefficients().withColumn("modelo", F.lit(y)) for y in ("log_val", "log_val_d")]
+    parts = [m.coefficients().withColumn("modelo", F.lit(y)) for y, m in zip(OUTCOMES, fit_levels(df))]
     return parts[0].unionByName(parts[1]).withColumn("sig", stars("p", "ns"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from farebox.functions.numeric import percent
 from farebox.operators.dims import named, station_lines
 from farebox.operators.panels import daily_weather, station_day
-from farebox.operators.regression import OlsModel, ols_fit
+from farebox.operators.regression import OlsModel, ols_fit, ols_fits
 from farebox.plans.holidays import calendar_controls
 
 MIN_LINE_ROWS = 500
@@ -22,19 +22,21 @@ def weather_panel(facts: DataFrame, weather: DataFrame, holidays: DataFrame) ->
     return panel.join(daily_weather(weather), "fecha", "left").withColumn("log_total", F.log("total"))
 
 
-def fit_weather(panel: DataFrame, rain: str = "precip_sum") -> OlsModel:
-    """Station effects absorbed, weekday and month controls, errors clustered by station."""
+RAIN = ("precip_sum", "rain_day")
+
+
+def fit_weather(panel: DataFrame, rain: tuple[str, ...] = RAIN) -> list[OlsModel]:
+    """A model for each measure of rain: station effects absorbed, weekday and month controls, errors clustered by station."""
     df, controls = calendar_controls(panel)
-    return ols_fit(
-        df, "log_total", [rain, "temp_mean"], controls, absorb="codigo_estacion", cov="cluster", compress=False
-    )
+    specs = [("log_total", [measure, "temp_mean"]) for measure in rain]
+    return ols_fits(df, specs, controls, absorb="codigo_estacion", cov="cluster", compress=False)
 
 
 def weather_effect(panel: DataFrame) -> DataFrame:
     """Continuous and binary specification; intervals are b +- 1.96 se."""
     parts = []
-    for rain in ("precip_sum", "rain_day"):
-        coefs = fit_weather(panel, rain).coefficients(critical=1.96)
+    for rain, model in zip(RAIN, fit_weather(panel)):
+        coefs = model.coefficients(critical=1.96)
         parts.append(coefs.withColumns({
             "modelo": F.lit(rain), "pct": percent("b"), "pct_lo": percent("lo"), "pct_hi": percent("hi"),
             "pct_10": percent(F.col("b") * 10), "pct_20": percent(F.col("b") * 20),
