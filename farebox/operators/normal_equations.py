@@ -26,7 +26,7 @@ from farebox.session import attach_row
 FULL_LEVERAGE = 1 - 1e-9
 
 
-def join_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equality join that also matches null keys; without keys ``right`` is one row."""
     if not keys:
         return attach_row(left, right)
@@ -35,7 +35,7 @@ def join_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
         right = right.withColumnRenamed(k, f"_r_{k}")
         eq = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         cond = eq if cond is None else cond & eq
-    return left.join(right, cond).drop(*[f"_r_{k}" for k in keys])
+    return left.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def matrix(column: pa.Array) -> np.ndarray:

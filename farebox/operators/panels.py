@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from farebox.functions.calendar import with_hours
+from farebox.operators.normal_equations import join_groups
+from farebox.session import materialize
 
 
 def sum_by(df: DataFrame, keys: list[str], value: str = "total", name: str | None = None) -> DataFrame:
@@ -80,9 +82,45 @@ def mean_by(df: DataFrame, keys: list[str], value: str, name: str | None = None)
     return df.groupBy(*keys).agg(F.avg(value).alias(name or value))
 
 
-def median_by(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Exact medians. Meant for day-level tables: the state of a key holds its distinct values."""
-    return df.groupBy(key).agg(F.median(value).alias(name))
+# Different values of a key that one task ranks, and the ranges a key's values are cut into to get there.
+RANKED, RANGES = 4096, 256
+
+
+def median_by(df: DataFrame, key: str, value: str, name: str, ranked: int = RANKED) -> DataFrame:
+    """Exact medians of finite values, the mean of the two middle ones for an even number; null where there are none.
+
+    Values are counted first. Each key's two middle ranks are then narrowed down: the values between
+    a lower and an upper end are counted in ``RANGES`` ranges, and the range that holds the rank
+    becomes the next one, until ``ranked`` different values are left. So no task holds a key's
+    values, however many there are. The smallest and largest value fall into different ranges, so
+    every round narrows.
+    """
+    rows = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
+    counts = materialize(rows.where("_v IS NOT NULL").groupBy("_k", "_v").agg(F.count("*").alias("_n")))
+    ends = counts.groupBy("_k").agg(
+        F.sum("_n").alias("_all"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_values")
+    )
+    middle = F.explode(F.array(F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2))).alias("_rank")
+    wanted = materialize(ends.select("_k", middle, "_low", "_high", "_values").distinct())
+    inside = F.col("_v").between(F.col("_low"), F.col("_high"))
+    while not wanted.where(F.col("_values") > ranked).isEmpty():
+        part = F.floor((F.col("_v") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * RANGES)
+        cut = join_groups(counts, wanted, ["_k"]).where(inside)
+        cut = cut.withColumn("_part", F.coalesce(F.least(part, F.lit(RANGES - 1)), F.lit(0))).withColumnRenamed("_low", "_from")
+        sums = cut.groupBy("_k", "_rank", "_from", "_part").agg(
+            F.sum("_n").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_values")
+        )
+        upto = F.sum("_n").over(W.partitionBy("_k", "_rank", "_from").orderBy("_part"))
+        # Ranks count from the lower end; at most RANGES rows for each.
+        found = sums.withColumn("_upto", upto).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
+        left = F.col("_rank") - (F.col("_upto") - F.col("_n"))
+        wanted = materialize(found.select("_k", left.alias("_rank"), "_low", "_high", "_values"))
+    last = join_groups(counts, wanted, ["_k"]).where(inside)
+    upto = F.sum("_n").over(W.partitionBy("_k", "_rank", "_low").orderBy("_v"))
+    last = last.withColumn("_upto", upto).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
+    medians = last.groupBy("_k").agg(F.avg("_v").alias("_m"))
+    found = join_groups(rows.select("_k").distinct(), medians, ["_k"], "left")
+    return found.select(F.col("_k").alias(key), F.col("_m").alias(name))
 
 
 def profile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -137,11 +175,25 @@ def centre_by_group(df: DataFrame, keys: list[str], value: str, out: str, where=
 def first_difference(df: DataFrame, order: str, columns: list[str], series: list[str] | None = None) -> DataFrame:
     """Add ``d_<column>`` against the previous row of each series; the first row is dropped.
 
-    For month- or day-level series; ``series`` names the columns that identify one.
+    ``series`` names the columns that identify one; without it all rows are one series. Rows are dealt
+    by ranges of (series, order), so one long series is in many tasks; the last row of a range is
+    carried to the next, which is one row for each range.
     """
-    w = W.partitionBy(*(series or [])).orderBy(order)
-    out = df.withColumns({f"d_{c}": F.col(c) - F.lag(c).over(w) for c in columns})
-    return out.na.drop(subset=[f"d_{c}" for c in columns])
+    by = [*(series or []), order]
+    placed = df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id())
+    placed = materialize(placed)
+    row = F.struct(*by, *columns)
+    inside = W.partitionBy("_range").orderBy(*by)
+    last = placed.groupBy("_range").agg(F.max_by(row, F.struct(*by)).alias("_last"))
+    # A row for each range: their number is that of tasks, not of rows.
+    carried = last.withColumn("_border", F.lag("_last").over(W.orderBy("_range"))).select("_range", "_border")
+    out = placed.withColumn("_before", F.lag(row).over(inside)).join(F.broadcast(carried), "_range")
+    before = F.coalesce("_before", "_border")
+    same = F.lit(True)
+    for c in series or []:
+        same = same & before[c].eqNullSafe(F.col(c))
+    out = out.withColumns({f"d_{c}": F.when(same, F.col(c) - before[c]) for c in columns})
+    return out.drop("_range", "_before", "_border").na.drop(subset=[f"d_{c}" for c in columns])
 
 
 def pivot_wide(df: DataFrame, rows: str, column: str, value: str, levels: list) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from farebox.session import attach_row, materialize
 
 MIN_WEIGHT = 1e-4  # fixed value: smaller donor weights are set to zero
+# Units a pool starts with, and that enter at a time: products among them are their square for each treated unit.
+POOL = 64
 ENTERS = 1e-10  # of the products' size: a unit outside the pool enters above this
 
 
@@ -127,7 +129,7 @@ def simplex_optimum(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
 
 
 def synthetic_control_weights(
-    panel: DataFrame, unit: str, t: str, y: str, treated: list | None = None, donors: int = 500
+    panel: DataFrame, unit: str, t: str, y: str, treated: list | None = None, donors: int = POOL
 ) -> DataFrame:
     """Donor weights (treated, donor, w) from pre-intervention rows.
 
@@ -185,10 +187,12 @@ def fit_pools(pool: DataFrame, cells: DataFrame, kind: str) -> DataFrame:
     among = first.join(second, "treated").join(cells.select(F.col("i").alias("donor"), F.col("j").alias("other"), "v"), ["donor", "other"], "left")
 
     def solve(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas().sort_values(["donor", "other"])
-        names = frame["donor"].drop_duplicates().to_numpy()
-        n = len(names)
-        gram, cross = frame["v"].to_numpy(dtype=float).reshape(n, n), frame["cross"].to_numpy(dtype=float).reshape(n, n)[:, 0]
+        donor, other = (table.column(c).to_numpy() for c in ("donor", "other"))
+        names, row = np.unique(donor, return_inverse=True)
+        column = np.searchsorted(names, other)
+        gram, cross = np.full((len(names), len(names)), np.nan), np.zeros(len(names))
+        gram[row, column] = table.column("v").to_numpy()
+        cross[row] = table.column("cross").to_numpy()
         while np.isnan(gram).any():  # leave out the donor that lacks the most pairs
             keep = np.arange(len(names)) != np.isnan(gram).sum(axis=1).argmax()
             names, gram, cross = names[keep], gram[np.ix_(keep, keep)], cross[keep]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from farebox.functions import distributions as dist
 from farebox.functions.numeric import distance_bin, distance_class, stars
 from farebox.functions.geo import haversine, project_tm
-from farebox.operators import synth
+from farebox.operators import panels, synth
 from farebox.operators.events import event_time_join, nearest_pooled, nearest_same_weekday
 from farebox.operators.regression import ols_fit
 from farebox.operators.spatial import distance_to_point, within_distance_of_lines
@@ -313,3 +313,34 @@ def test_donors_beyond_the_pool_enter(spark):
             got = {(r.treated, r.donor): r.w for r in synth.synthetic_control_weights(panel, "u", "t", "y", treated, donors).collect()}
             assert got.keys() == whole.keys() and all(abs(got[k] - whole[k]) < 1e-6 for k in whole)
         assert abs(whole[0, 1] - 0.5) < 1e-6 and abs(whole[0, 2] - 0.5) < 1e-6
+
+
+@pytest.mark.parametrize("ranked", [1, 3, 4096])
+def test_medians_by_counting_equal_the_definition(spark, ranked):
+    rng = np.random.default_rng(ranked)
+    rows = [(int(k) if k < 5 else None, float(v)) for k, v in zip(rng.integers(0, 6, 400), np.round(rng.exponential(5, 400) ** 3, 1))]
+    rows += [(9, None), (10, 7.0), (11, -1.0), (11, 4.0), (12, 3.0), (12, 3.0), (12, 1e9)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    got = {r.k: r.m for r in panels.median_by(df, "k", "v", "m", ranked).collect()}
+    want = {}
+    for k in {k for k, _ in rows}:
+        values = [v for j, v in rows if j == k and v is not None]
+        want[k] = float(np.median(values)) if values else None
+    assert got == pytest.approx(want)
+
+
+def test_median_of_ten_million_different_values(spark):
+    """One group whose values no task may hold at once: at most 4,096 of them are ranked."""
+    n = 10_000_000
+    df = spark.range(n).selectExpr("1 AS k", "CAST((id * 7919) % 10000000 AS DOUBLE) AS v")
+    assert panels.median_by(df, "k", "v", "m").first().m == (n - 1) / 2
+
+
+@pytest.mark.parametrize("series", [None, ["s"], ["s", "z"]])
+def test_differences_over_ranges(spark, series):
+    rng = np.random.default_rng(3)
+    rows = [(int(s) if s else None, "z", t, float(rng.normal())) for t in range(120) for s in ([0, 1, 2] if series else [1])]
+    df = spark.createDataFrame(rows, "s long, z string, t long, y double").repartition(5)
+    got = {(r.s, r.t): r.d_y for r in panels.first_difference(df, "t", ["y"], series).collect()}
+    value = {(s, t): y for s, _, t, y in rows}
+    assert got == pytest.approx({(s, t): y - value[s, t - 1] for (s, t), y in value.items() if t})
