@@ -77,3 +77,60 @@ def test_risk_correction_holds_back():
     harmless = np.logaddexp(0.0, z)
     assert harmless[~positive].mean() - 0.3 * harmless[positive].mean() > -0.05
     assert np.isfinite(w).all()
+
+
+def brute_train(documents, positive, width, prior, steps):
+    """The same descent with the risk written out and its slope taken by differences; also which branches were seen."""
+    x = np.zeros((len(documents), width))
+    for k, numbers in enumerate(documents):
+        x[k, numbers] = 1.0
+
+    def parts(v):
+        z = x @ v[:-1] + v[-1]
+        found = prior * np.mean(np.log1p(np.exp(-z[positive])))
+        rest = np.mean(np.log1p(np.exp(z[~positive]))) - prior * np.mean(np.log1p(np.exp(z[positive])))
+        return found, rest
+
+    v = np.append(np.zeros(width), np.log(prior / (1 - prior)))
+    moment, square, mean, seen = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1), set()
+    for step in range(1, steps + 1):
+        whole = parts(v)[1] >= 0
+        seen.add(bool(whole))
+        risk = (lambda u: sum(parts(u))) if whole else (lambda u: -parts(u)[1])
+        g = np.zeros(width + 1)
+        for k in range(width + 1):
+            up, down = v.copy(), v.copy()
+            up[k], down[k] = up[k] + 1e-5, down[k] - 1e-5
+            g[k] = (risk(up) - risk(down)) / 2e-5
+        g[:-1] += tx.PENALTY * v[:-1]
+        moment, square = 0.9 * moment + 0.1 * g, 0.999 * square + 0.001 * g * g
+        v = v - tx.SPEED * (1 - step / (steps + 1)) * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        if 2 * step > steps:
+            mean += v / (steps - steps // 2)
+    return mean, seen
+
+
+@pytest.mark.parametrize("seed, prior", [(0, 0.1), (1, 0.6), (2, 0.6)])
+def test_training_equals_the_risk_written_out(seed, prior):
+    rng = np.random.default_rng(seed)
+    width, n = 6, 60
+    positive = np.arange(n) < 15
+    chance = np.where(positive[:, None], np.linspace(0.9, 0.2, width), np.linspace(0.05, 0.4, width))
+    documents = [np.flatnonzero(row) for row in rng.random((n, width)) < chance]
+    want, seen = brute_train(documents, positive, width, prior, 120)
+    number, counts = np.concatenate(documents), np.array([len(d) for d in documents])
+    weights, bias = tx.train(number, counts, positive, width, prior, steps=120)
+    assert np.allclose([*weights, bias], want, rtol=1e-3, atol=1e-4)
+    assert seen == {True, False}  # the plain risk and its correction both acted
+
+
+def test_scores_equal_direct_sums():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(0, 60))) for _ in range(40)] + [None, "", "abcabc abcabc"]
+    grams = sorted({int.from_bytes(g, "big") for t in texts[:20] for g in brute_grams(t)})[::3]
+    weights = np.linspace(-1, 1, len(grams))
+    model = tx.Classifier(np.array(grams, np.uint64), weights, -0.4)
+    weight = dict(zip(grams, weights))
+    for text, score in zip(texts, model.score(pa.array(texts, pa.string()))):
+        z = -0.4 + sum(weight.get(int.from_bytes(g, "big"), 0.0) for g in set(brute_grams(text)))
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
