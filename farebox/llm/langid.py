@@ -8,7 +8,8 @@ language with the smallest estimate wins, the alphabetically first among equals.
 Texts are lower-cased; runs of anything but letters are one blank. They are cut into segments
 that are parsed side by side, so that a step of the automata is a step of all segments and
 languages at once; a phrase ends with its segment, for every language alike. A step is one look
-into a table that leads on, or restarts at the root where no longer phrase exists.
+into a table that leads on, or restarts at the root where no longer phrase exists. Each language has
+its own letters, and one of very many letters a hash table, so a worker holds 32 MB for each at most.
 
 The sample is ``REFERENCE`` characters of each language, of pieces of documents in the order of the
 hash of id and piece number. Null texts and texts without a letter get ``und`` and score 0, as do all texts where
@@ -30,12 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from farebox.llm.arrays import append_columns, text_buffer
+from farebox.llm.lookup import Lookup
 
 REFERENCE = 40_000
 # Characters of a piece, and ranges of the draw (as bits) in which characters are summed.
 PIECE = 2000
 DRAW_BITS = 16
 SEGMENT = 512
+# Cells of a language's table (32 MB); beyond it the transitions are hashed.
+TABLE_CELLS = 8 << 20
 UNKNOWN = "und"
 SLICE = 2 << 20
 
@@ -106,27 +110,63 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
 
 
 class Automata:
-    """The automata of all languages in one table."""
+    """The automata of all languages, each over its own letters.
 
-    def __init__(self, references: dict[str, str]):
+    An automaton of few letters is a table of states by letters; one whose table would be over
+    ``TABLE_CELLS`` is a hash table of its transitions, of which there are three per character at most.
+    A step's value is twice the next state, and one more where a new phrase begins.
+    """
+
+    def __init__(self, references: dict[str, str], table_cells: int = TABLE_CELLS):
         self.languages = sorted(references)
         texts = [normalised(pa.array([references[x]], pa.large_string()))[0] for x in self.languages]
         self.bits = np.array([math.log2(len(t) + 2) for t in texts])
         self.symbols = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.int32)
-        width = len(self.symbols) + 1
-        tables, self.roots, size = [], [], 0
-        for text in texts:
-            steps = suffix_automaton((np.searchsorted(self.symbols, text) + 1).tolist())
-            table = np.full((len(steps), width), -1, np.int32)
+        # Number of each symbol among a language's own; 0 for those that it lacks.
+        self.own = np.zeros((len(texts), len(self.symbols) + 1), np.int32)
+        self.dense: list[int] = []
+        self.hashed: dict[int, tuple[Lookup, int, np.ndarray]] = {}
+        tables, bases, widths, size = [], [], [], 0
+        for k, text in enumerate(texts):
+            mine = np.unique(text)
+            self.own[k, np.searchsorted(self.symbols, mine) + 1] = np.arange(1, len(mine) + 1)
+            steps, width = suffix_automaton((np.searchsorted(mine, text) + 1).tolist()), len(mine) + 1
             state = np.repeat(np.arange(len(steps)), [len(s) for s in steps])
-            table[state, [a for s in steps for a in s]] = [b + size for s in steps for b in s.values()]
-            # A missing step begins a new phrase with its symbol; the lowest bit counts it.
-            begin = np.where(table[0] < 0, size, table[0])
-            tables.append(np.where(table < 0, 2 * begin + 1, 2 * table).astype(np.int32))
-            self.roots.append(size)
-            size += len(steps)
-        self.width = width
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            letter = np.array([a for s in steps for a in s], np.int64)
+            onward = np.array([b for s in steps for b in s.values()], np.int64)
+            # A missing step begins a new phrase with its symbol, or stays at the root.
+            begin = np.ones(width, np.int32)
+            at_root = state == 0
+            begin[letter[at_root]] = 2 * onward[at_root] + 1
+            if len(steps) * width <= table_cells:
+                table = np.tile(begin, (len(steps), 1))
+                table[state, letter] = 2 * onward
+                tables.append(table.ravel())
+                self.dense.append(k)
+                bases.append(size)
+                widths.append(width)
+                size += table.size
+            else:
+                self.hashed[k] = Lookup(state * width + letter, (2 * onward).astype(np.int32)), width, begin
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        self.bases, self.widths = np.array(bases, np.int64)[:, None], np.array(widths, np.int64)[:, None]
+
+    def nbytes(self) -> int:
+        hashed = sum(x.keys.nbytes + x.values.nbytes + begin.nbytes for x, _, begin in self.hashed.values())
+        return self.table.nbytes + self.own.nbytes + hashed
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The step of every language (rows of ``state``) with the symbol of each segment (its columns)."""
+        own = self.own[:, symbol]
+        if not self.hashed:
+            return self.table[self.bases + state * self.widths + own]
+        out = np.empty(state.shape, np.int32)
+        if self.dense:
+            out[self.dense] = self.table[self.bases + state[self.dense] * self.widths + own[self.dense]]
+        for k, (onward, width, begin) in self.hashed.items():
+            value, found = onward.get((state[k] * np.int64(width) + own[k]).astype(np.uint64))
+            out[k] = np.where(found, value, begin[own[k]])
+        return out
 
     def number(self, text: np.ndarray) -> np.ndarray:
         """Symbols of normalised text; 0 for those of no reference."""
@@ -147,12 +187,12 @@ class Automata:
         starts, lengths, owner = starts[by], lengths[by], owner[by]
         symbols = self.number(text)
         active = np.searchsorted(-lengths, -np.arange(1, SEGMENT + 1), "right")
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(starts), axis=1)
+        state = np.zeros((len(self.languages), len(starts)), np.int32)
         found = np.ones(state.shape, np.int32)
         for t, n in enumerate(active):
             if not n:
                 break
-            step = self.table[state[:, :n] * np.int64(self.width) + symbols[starts[:n] + t]]
+            step = self.step(state[:, :n], symbols[starts[:n] + t])
             found[:, :n] += step & 1
             # A segment's first symbol begins its first phrase and isn't a second one.
             if not t:

@@ -99,3 +99,24 @@ def test_reference_from_few_long_documents(spark):
     assert sorted(known) == sorted([f"l{k}" for k in ids[:8]] + ["mixed"])
     assert all(len(t.replace("\n", "")) == li.REFERENCE for t in known.values())
     assert known == li.references(docs.repartition(5))
+
+
+def test_many_letters_stay_small():
+    """Eight languages, three of them with 3,000 letters: dense tables would be some 3 GB."""
+    rng = random.Random(5)
+    plain = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(li.REFERENCE))
+    wide = lambda: "".join(chr(0x4E00 + min(int(rng.expovariate(1 / 400)), 2999)) for _ in range(li.REFERENCE))
+    known = {f"l{k}": plain() if k < 5 else wide() for k in range(8)}
+    automata = li.Automata(known)
+    assert automata.nbytes() < 200 << 20 and sorted(automata.hashed) == [5, 6, 7]
+    texts = pa.array([known["l2"][100:900], known["l6"][5000:5400], known["l7"][:50] + "zq"])
+    assert automata.predict(texts)[0].to_pylist() == ["l2", "l6", "l7"]
+
+
+@pytest.mark.parametrize("table_cells", [0, 150, 1 << 20])
+def test_tables_and_hashes_agree(table_cells):
+    rng = random.Random(table_cells)
+    known = {x: "".join(rng.choice(letters + " ") for _ in range(60)) for x, letters in (("a", "abc"), ("b", "abcdefgh"), ("c", "xyz"))}
+    text, limits = li.normalised(pa.array(["".join(rng.choice("abcdefghxyzñ ") for _ in range(n)) for n in (0, 3, 40, 1500)]))
+    got = li.Automata(known, table_cells).phrases(text, limits)
+    assert (got == li.Automata(known).phrases(text, limits)).all()
