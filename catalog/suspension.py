@@ -303,4 +303,40 @@ def demand_scores(spark, sf):
     )
 
 
+# A forest of complete trees by a rule; a fitted one has the same table (demand.forest_nodes).
+def _node(tree, node):
+    if node < 7:
+        return tree, node, (tree * 5 + node * 3) % len(demand.FEATURES), ((tree * 7 + node * 11) % 19 + 1) / 20, 2 * node + 1, 2 * node + 2, 0.0
+    return tree, node, -1, 0.0, -1, -1, ((tree * 13 + node * 17) % 23) / 23
+
+
+FOREST = [_node(tree, node) for tree in range(8) for node in range(15)]
+
+
+def _unrounded(c):
+    low, high = f'min("{c}") OVER ()', f'max("{c}") OVER ()'
+    return f'CASE WHEN {high} > {low} THEN ("{c}" - {low}) / ({high} - {low}) ELSE "{c}" - {low} END'
+
+
+@query(f"""WITH RECURSIVE {_EVENTS}, s AS (SELECT event_id, {', '.join(f'CAST({x} AS DOUBLE) AS "{c}"' for c, x in _SCALED.items())} FROM e WHERE {_known}),
+x AS (SELECT event_id, [{', '.join(map(_unrounded, demand.FEATURES))}] AS x, min("{demand.TARGET}") OVER () AS lo, max("{demand.TARGET}") OVER () AS hi FROM s),
+nodes(tree, node, feature, threshold, low, high, value) AS (VALUES {', '.join(f'({t}, {n}, {f}, {h}::DOUBLE, {a}, {b}, {v!r}::DOUBLE)' for t, n, f, h, a, b, v in FOREST)}),
+walk AS (
+  SELECT event_id, x, tree, 0 AS node FROM x, (SELECT DISTINCT tree FROM nodes)
+  UNION ALL SELECT event_id, x, w.tree, CASE WHEN x[feature + 1] <= threshold THEN low ELSE high END
+  FROM walk w JOIN nodes n ON w.tree = n.tree AND w.node = n.node WHERE feature >= 0),
+pred AS (SELECT event_id, sum(value) / count(*) AS p FROM walk w JOIN nodes n ON w.tree = n.tree AND w.node = n.node WHERE feature < 0 GROUP BY 1)
+SELECT e.event_id, round(p, 6) AS prediccion_normalizada, CASE WHEN p IS NOT NULL THEN CAST(greatest(round_even(p * (hi - lo) + lo, 0), 0) AS BIGINT) END AS prediccion_entradas,
+  '{demand.MODEL_NAME}' AS modelo_utilizado, {_known} AS exito, CASE WHEN {_known} THEN '' ELSE {_message} END AS mensaje
+FROM e LEFT JOIN x ON x.event_id = e.event_id LEFT JOIN pred ON pred.event_id = e.event_id""")
+def demand_scores_by_nodes(spark, sf):
+    """All scenarios through a forest that is a table of nodes."""
+    rows = scenarios(spark, sf)
+    scaler = materialize(demand.fit_scaler(demand.demand_features(rows).where("exito")))
+    nodes = literal_table(spark, FOREST, demand.NODES)
+    return demand.score_scenarios(rows.drop(demand.TARGET), nodes, scaler).select(
+        "event_id", "prediccion_normalizada", "prediccion_entradas", "modelo_utilizado", "exito", "mensaje"
+    )
+
+
 QUERIES = Q

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.schemas import MAX_DEMAND_FALLBACK, ZONE_LETTERS
-from farebox.session import attach_row
+from farebox.session import attach_row, checkpoint_dir
 
 # ---- fixed values: names, order and defaults the published model was trained with ----
 LETTER_COLUMNS = [f"Letra_{z}" for z in ZONE_LETTERS]
 FEATURES = ["Mes", "Día", "Hora", "Minuto", "Segundo", *LETTER_COLUMNS, "lat", "lon"]
 TARGET = "Entradas"
-MODEL_NAME = "Random Forest (max_depth=5)"
+DEPTH = 5
+MODEL_NAME = f"Random Forest (max_depth={DEPTH})"
 # Defaults of a scenario that leaves a field out.
 SCENARIO_DEFAULTS = {
     "mes": 4, "dia": 1, "hora": 7, "minuto": 0, "segundo": 0, "letra_zona": "A", "lat": 4.6097, "lon": -74.0817,
@@ -68,7 +71,7 @@ def fit_demand_model(training: DataFrame, scaler: DataFrame, seed: int = 42, tre
     """Random forest of depth 5 on scaled features and target. Persist the model with ``.save``."""
     data = assemble(minmax_scale(training, scaler, [*FEATURES, TARGET]))
     forest = RandomForestRegressor(
-        featuresCol="features", labelCol=TARGET, predictionCol="pred", maxDepth=5, numTrees=trees, seed=seed,
+        featuresCol="features", labelCol=TARGET, predictionCol="pred", maxDepth=DEPTH, numTrees=trees, seed=seed,
         featureSubsetStrategy="all",
     )
     return forest.fit(data.select("features", TARGET))
@@ -88,9 +91,48 @@ def denormalise(pred, low=None, high=None):
     return F.when(value.isNotNull(), F.greatest(F.rint(value), F.lit(0.0))).cast("long")
 
 
-def score_scenarios(scenarios: DataFrame, model: RandomForestRegressionModel, scaler: DataFrame | None) -> DataFrame:
+# A fitted forest as rows: inner nodes have a feature (a position in FEATURES) and go to ``low`` up to the
+# threshold, else to ``high``; leaves have the feature -1. Nodes of a tree are numbered from 0, the root.
+NODES = "tree int, node int, feature int, threshold double, low int, high int, value double"
+
+
+def forest_nodes(model: RandomForestRegressionModel) -> DataFrame:
+    """The nodes of a fitted forest, from the table that the model is saved as."""
+    spark = SparkSession.active()
+    path = f"{checkpoint_dir(spark)}/forest-{uuid.uuid4().hex}"
+    model.write().save(path)
+    saved = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    leaf = F.col("leftChild") < 0
+    return saved.select(
+        F.col("treeID").cast("int").alias("tree"), F.col("id").cast("int").alias("node"),
+        F.when(leaf, -1).otherwise(F.col("split.featureIndex")).cast("int").alias("feature"),
+        F.when(leaf, 0.0).otherwise(F.col("split.leftCategoriesOrThreshold")[0]).cast("double").alias("threshold"),
+        F.col("leftChild").cast("int").alias("low"), F.col("rightChild").cast("int").alias("high"), F.col("prediction").alias("value"),
+    )
+
+
+def walk_forest(df: DataFrame, nodes: DataFrame, features: str, out: str, depth: int = DEPTH) -> DataFrame:
+    """Add the mean over all trees of the leaf that the array ``features`` leads to, in ``depth`` steps at most.
+
+    The forest is one row of arrays, as big as the model, beside every row; a walk is a fold over the
+    levels, so rows are neither multiplied nor moved. A walk that ends at no leaf is an error.
+    """
+    entry = F.struct("node", "feature", "threshold", "low", "high", "value")
+    trees = nodes.groupBy("tree").agg(F.sort_array(F.collect_list(entry)).alias("t"))
+    forest = trees.agg(F.collect_list("t").alias("_forest"))
+    step = "CASE WHEN t[n].feature < 0 THEN n WHEN {x}[t[n].feature] <= t[n].threshold THEN t[n].low ELSE t[n].high END".format(x=features)
+    walk = f"t[aggregate(sequence(1, {depth}), 0, (n, k) -> {step})]"
+    leaves = F.expr(f"transform(_forest, t -> {walk})")
+    values = F.transform(leaves, lambda n: F.when(n["feature"] < 0, n["value"]).otherwise(F.raise_error(F.lit("trees deeper than stated")).cast("double")))
+    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values)
+    return attach_row(df, forest).withColumn(out, mean).drop("_forest")
+
+
+def score_scenarios(scenarios: DataFrame, model: RandomForestRegressionModel | DataFrame, scaler: DataFrame | None) -> DataFrame:
     """Predictions for all scenarios in one pass; failed rows keep their message.
 
+    ``model`` is a fitted forest or its table of nodes (``NODES``).
+
     Without a scaler the features enter as they are and the published maximum is used.
     """
     # Feature names differ from scenario fields by case only, so the fields are kept aside.
@@ -100,8 +142,11 @@ def score_scenarios(scenarios: DataFrame, model: RandomForestRegressionModel, sc
         low, high = F.col(f"{TARGET}_min"), F.col(f"{TARGET}_max")
     else:
         ready, low, high = df, None, None
-    vector = array_to_vector(F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in FEATURES]))
-    scored = model.transform(ready.withColumn("features", vector))
+    values = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in FEATURES])
+    if isinstance(model, DataFrame):
+        scored = walk_forest(ready.withColumn("features", values), model, "features", "pred")
+    else:
+        scored = model.transform(ready.withColumn("features", array_to_vector(values)))
     pred = F.when(F.col("exito"), F.col("pred"))
     return scored.select(
         "_in.*",

@@ -298,6 +298,15 @@ def test_demand_model(spark, tmp_path):
     assert out[7].exito and 30 < out[7].prediccion_entradas < 120 < out[20].prediccion_entradas
     assert not out[8].exito and out[8].prediccion_entradas is None and "Zona 'Z' no válida" in out[8].mensaje
     assert demand.score_scenarios(scen, model, None).count() == 3
+    # The forest as a table of nodes gives the same.
+    nodes = demand.forest_nodes(model)
+    assert nodes.select("tree").distinct().count() == 10 and nodes.columns == [c.split()[0] for c in demand.NODES.split(", ")]
+    grid = spark.createDataFrame([(h, z) for h in range(24) for z in "abtz"], "hora int, letra_zona string")
+    for kind in (scaler, None):
+        by_model, by_nodes = (sorted(map(str, demand.score_scenarios(grid, m, kind).collect())) for m in (model, nodes))
+        assert by_model == by_nodes
+    with pytest.raises(Exception, match="deeper than stated"):
+        demand.walk_forest(grid.select(F.array(*[F.lit(0.5)] * 19).alias("x")), nodes, "x", "p", depth=2).collect()
 
 
 def test_donors_beyond_the_pool_enter(spark):
