@@ -15,7 +15,7 @@ from catalog.sqltools import r
 from farebox.operators import clean, dims
 from farebox.plans import etl, kpis
 from farebox.schemas import RAW_COLUMNS
-from farebox.session import checkpoint_dir
+from farebox.session import checkpoint_dir, materialize, scratch
 from farebox.sources import facts, raw, reference, sinks
 from farebox.streaming.ingest import ingest_incremental
 
@@ -33,6 +33,20 @@ def folder(spark):
     return f"{checkpoint_dir(spark)}/roundtrip-{uuid.uuid4().hex}"
 
 
+# Rows of a JSON document written for the readers: 1.4 MB of station points.
+DOCUMENT_ROWS = 10_000
+
+
+def write_documents(rows, document, path):
+    """The rows as JSON documents of some ``DOCUMENT_ROWS`` rows, a file for each; ``document`` makes one of a list of rows."""
+    with scratch(rows.sparkSession):
+        rows = materialize(rows)
+        files = rows.count() // DOCUMENT_ROWS + 1
+        dealt = rows.groupBy(F.pmod(F.xxhash64(*rows.columns), F.lit(files)))
+        documents = dealt.agg(F.to_json(document(F.collect_list(F.struct(*rows.columns)))).alias("value")).select("value")
+        documents.write.option("maxRecordsPerFile", 1).text(path)
+
+
 SLOTS = f"slots AS ({cleaning.SLOT_SQL})"
 FACTS = "SELECT fecha, hora, codigo_linea, codigo_estacion, entradas, salidas, total FROM slots"
 
@@ -119,8 +133,8 @@ DAYS = f"{S.DAILY}, {S.holidays_sql('daily')}"
 @query(f"WITH {DAYS} SELECT date, local_name, local_name AS name FROM holidays")
 def holidays_file(spark, sf):
     out = folder(spark)
-    rows = F.struct(F.col("date").cast("string").alias("date"), F.col("local_name").alias("localName"), F.col("local_name").alias("name"))
-    S.holidays(S.daily(spark, sf)).agg(F.to_json(F.collect_list(rows)).alias("value")).write.text(out)
+    rows = S.holidays(S.daily(spark, sf)).select(F.col("date").cast("string").alias("date"), F.col("local_name").alias("localName"), F.col("local_name").alias("name"))
+    write_documents(rows, lambda listed: listed, out)
     return reference.read_holidays(spark, out)
 
 
@@ -144,13 +158,12 @@ def fuel_file(spark, sf):
 @query(f"WITH {S.HOURLY}, {S.STATIONS} SELECT codigo_estacion, 'E' || codigo_estacion AS nombre_estacion, {r('lon')} AS lon, {r('lat')} AS lat FROM stations")
 def stations_file(spark, sf):
     out = folder(spark)
-    feature = F.struct(
+    rows = S.stations(S.hourly(spark, sf)).select(
         F.struct(F.col("codigo_estacion").cast("string").alias("codigo_nodo_estacion"),
                  F.concat(F.lit("E"), F.col("codigo_estacion").cast("string")).alias("nombre_estacion")).alias("properties"),
         F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"),
     )
-    rows = S.stations(S.hourly(spark, sf)).agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value"))
-    rows.write.text(out)
+    write_documents(rows, lambda listed: F.struct(listed.alias("features")), out)
     return reference.read_stations(spark, out).withColumns({c: F.round(c, 6) for c in ("lon", "lat")})
 
 

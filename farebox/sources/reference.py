@@ -10,9 +10,10 @@ from farebox.schemas import EXTRA_STATIONS, WEATHER_SCHEMA
 from farebox.session import literal_table
 from farebox.sources.sinks import DIMS
 
+# Numbers are read as variants: as strings, each would be fetched anew from the open file, some 12 KB at a time.
 STATION_JSON = (
-    "features array<struct<properties:struct<codigo_nodo_estacion:string,nombre_estacion:string>,"
-    "geometry:struct<type:string,coordinates:array<string>>>>"
+    "features array<struct<properties:struct<codigo_nodo_estacion:variant,nombre_estacion:string>,"
+    "geometry:struct<type:string,coordinates:array<variant>>>>"
 )
 ROUTE_JSON = "features array<struct<geometry:struct<type:string,coordinates:string>>>"
 
@@ -65,7 +66,10 @@ def read_dim(spark: SparkSession, path: str, value: str = "string") -> DataFrame
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
-    """GeoJSON points as rows; features that are not points with two coordinates give null ones."""
+    """GeoJSON points of a file, or of all files of a folder, as rows; a task reads a file as a whole.
+
+    Features that are not points with two coordinates give null ones.
+    """
     feat = (
         spark.read.schema(STATION_JSON).option("multiLine", True).json(path)
         .select(F.explode("features").alias("f"))
@@ -73,10 +77,10 @@ def read_stations(spark: SparkSession, path: str) -> DataFrame:
     point = (F.col("f.geometry.type") == "Point") & (F.size("f.geometry.coordinates") >= 2)
 
     def coord(i):
-        return F.when(point, F.try_element_at("f.geometry.coordinates", F.lit(i)).cast("double"))
+        return F.when(point, F.try_element_at("f.geometry.coordinates", F.lit(i)).cast("string").cast("double"))
 
     return feat.select(
-        F.col("f.properties.codigo_nodo_estacion").cast("double").cast("long").alias("codigo_estacion"),
+        F.col("f.properties.codigo_nodo_estacion").cast("string").cast("double").cast("long").alias("codigo_estacion"),
         F.col("f.properties.nombre_estacion").alias("nombre_estacion"),
         coord(1).alias("lon"),
         coord(2).alias("lat"),

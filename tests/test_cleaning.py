@@ -1,11 +1,13 @@
 """Raw files to facts: schema, rules, repeat runs."""
 
 import datetime as dt
+import json
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import roundtrips
 from farebox.functions.calendar import holiday_type, parse_ts
 from farebox.functions.text import display_name, dotted_thousands, hour_band, normalize_name
 from farebox.operators import clean, dims
@@ -362,6 +364,41 @@ def test_reference_readers(spark, tmp_path):
     assert sorted((r.mes.month, r.precio_cop_gal) for r in reference.read_fuel(spark, str(tmp_path / "f.csv")).collect()) == [(1, 15800.0), (2, 15900.0)]
 
 
+def bytes_read(spark):
+    return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics() if s.getScheme() == "file")
+
+
+def test_stations_are_read_once(spark, tmp_path):
+    """Numbers are not fetched anew from the file one by one."""
+    point = '{"properties":{"codigo_nodo_estacion":%d,"nombre_estacion":"E"},"geometry":{"type":"Point","coordinates":[-74.%d,4.6E0]}}'
+    (tmp_path / "s.geojson").write_text('{"features":[' + ",\n".join(point % (i, i) for i in range(2000)) + "]}")
+    before = bytes_read(spark)
+    got = reference.read_stations(spark, str(tmp_path / "s.geojson")).collect()
+    assert bytes_read(spark) - before < 3 * (tmp_path / "s.geojson").stat().st_size
+    assert sorted(map(tuple, got)) == [(i, "E", float(f"-74.{i}"), 4.6) for i in range(2000)]
+
+
+def test_station_numbers_in_every_notation(spark, tmp_path):
+    point = '{"properties":{"codigo_nodo_estacion":%s},"geometry":{"type":"Point","coordinates":[%s,%s]}}'
+    odd = [("9001", "-7.41E1", "4.6"), ('"9002"', '"-74.1"', '" 4.6 "'), ("9003.0", "5e-324", "1e400"), ("9e3", "null", "4.60000000000000000000000000000000000000000001")]
+    (tmp_path / "s.geojson").write_text('{"features":[' + ",".join(point % x for x in odd) + ',{"geometry":{"type":"Point","coordinates":7}}]}')
+    got = reference.read_stations(spark, str(tmp_path / "s.geojson")).select("codigo_estacion", "lon", "lat").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(9001, -74.1, 4.6), (9002, -74.1, 4.6), (9003, 5e-324, float("inf")), (9000, None, 4.6), (None, None, None)], key=str)
+
+
+@pytest.mark.parametrize("users", [[], [None], [*range(95), None, 3, 3]])
+def test_stations_are_written_in_files_of_some_rows(spark, tmp_path, monkeypatch, users):
+    rows = [(dt.datetime(2024, 1, 1), u, "view", 1.0, '{"k": 1}') for u in users]
+    spark.createDataFrame(rows, "ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(roundtrips, "folder", lambda spark: str(tmp_path / "out"))
+    monkeypatch.setattr(roundtrips, "DOCUMENT_ROWS", 10, raising=False)
+    got = roundtrips.stations_file(spark, str(tmp_path)).collect()
+    assert sorted((r.codigo_estacion, r.nombre_estacion) for r in got if r.codigo_estacion is not None) == sorted({(u, f"E{u}") for u in users if u is not None})
+    assert [tuple(r) for r in got if r.codigo_estacion is None] == [(None,) * 4] * (None in users)
+    held = [len(json.loads(p.read_text())["features"]) for p in (tmp_path / "out").glob("part-*") if p.stat().st_size]
+    assert sum(held) == len(set(users)) and max(held, default=0) <= 30
+
+
 def test_holiday_types(spark):
     days = [dt.date(2025, 6, 2), dt.date(2025, 7, 20), dt.date(2025, 7, 19), dt.date(2025, 5, 1)]
     df = spark.createDataFrame([(d,) for d in days], "d date")
