@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -70,6 +71,37 @@ def test_bins_never_miss_a_frequent_phrase():
     assert sorted(Counter(triples[1].tolist()).values()) == [1, 1, 4]
 
 
+@pytest.mark.parametrize("bin_bits", [3, 12, 26, co.BIN_BITS])
+def test_packed_bins_unpack(bin_bits):
+    bins = np.random.default_rng(bin_bits).integers(0, 1 << bin_bits, 3000)
+    bins = np.concatenate([bins, bins[:500], bins[:20].repeat(40), [0, (1 << bin_bits) - 1]])
+    known, n = np.unique(bins, return_counts=True)
+    rows = [(block << co.span_bits(bin_bits), *co.unpack(*row)) for block, *row in co.pack(bins.copy(), 30, bin_bits)]
+    assert np.concatenate([start + at for start, at, _ in rows]).tolist() == known.tolist()
+    assert np.concatenate([times for *_, times in rows]).tolist() == np.minimum(n, 30).tolist()
+    assert co.pack(bins[:0], 30, bin_bits) == []
+
+
+def test_bins_outnumber_the_phrases_of_large_tables(spark):
+    """Six gigabytes have some 50 phrases for each of 2 ** 26 bins, so that little was cut; many more bins cost a task no more memory."""
+    assert 2**co.BIN_BITS >= 10**10
+    docs = spark.createDataFrame([("one two three", "en")] * 30 + [("one two four", "en")] * 29, "text string, lang string")
+    frequent = co.frequent_bins(docs, 30)
+    assert len(frequent.value) == 2**co.TABLE_BITS // 8
+    full = {"one", "two", "three", "one two", "two three", "one two three"}
+    assert int(np.unpackbits(frequent.value).sum()) == len(full)
+    rows = [(r.w1, r.w2, r.w3, r.w4) for r in co.windows(docs, frequent).select("w1", "w2", "w3", "w4").distinct().collect()]
+    assert set(rows) == {("one", "two", "three", None), ("one", "two", None, None), ("two", "three", None, None), ("two", None, None, None), ("three", None, None, None), (None,) * 4}
+
+
+def test_counts_add_up_over_tasks_and_packings(spark):
+    """A phrase is counted in several packings of several tasks; one less than the least is not enough."""
+    docs = spark.createDataFrame([("a b",)] * 29 + [("c d",)] * 30, "text string").selectExpr("text", "'en' AS lang").repartition(4)
+    for held in (1, 7, co.HELD):
+        bits = b"".join(r.bits for r in co.count_bins(docs, 30, 20, held).collect())
+        assert int(np.unpackbits(np.frombuffer(bits, np.uint8)).sum()) == 3
+
+
 def test_odd_tables(spark):
     rows = [("one two", "en", 1, "x"), (None, None, 2, "y")] * 40
     docs = spark.createDataFrame(rows, "text string, lang string, n int, w1 string")
